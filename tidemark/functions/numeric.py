@@ -13,10 +13,19 @@ def clean_double(value: Column) -> Column:
 
 
 def magnitude_label(amount: Column) -> Column:
-    """``$1.23B`` / ``$4.56M`` / ``$7,890``; a missing amount counts as 0."""
+    """``$1.23B`` / ``$4.56M`` / ``$7,890``; a missing amount counts as 0.
+
+    ``format_number`` rounds the binary value half-even, as most languages print it; ``format_string``
+    would round the shortest decimal text half-up.
+    """
     value = F.coalesce(amount.cast("double"), F.lit(0.0))
+
+    def scaled(unit: float, suffix: str) -> Column:
+        digits = F.call_function("format_number", value / F.lit(unit), F.lit("0.00"))
+        return F.concat(F.lit("$"), digits, F.lit(suffix))
+
     return (
-        F.when(value >= 1e9, F.format_string("$%.2fB", value / 1e9))
-        .when(value >= 1e6, F.format_string("$%.2fM", value / 1e6))
+        F.when(value >= 1e9, scaled(1e9, "B"))
+        .when(value >= 1e6, scaled(1e6, "M"))
         .otherwise(F.concat(F.lit("$"), F.format_number(value, 0)))
     )

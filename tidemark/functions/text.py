@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.params import DEFAULT_QUOTE
 
-_PAIR_NAME = r"^(.+)-([^-]*)$"
+_PAIR_NAME = r"^(.*)-([^-]*)$"
 
 
 def sanitise_id(identifier: Column) -> Column:
