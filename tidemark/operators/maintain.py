@@ -13,7 +13,7 @@ from datetime import date, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.params import ANCHORS, DAYS_BEFORE, QUOTES
+from tidemark.params import ANCHORS, DAYS_BEFORE, DEFAULT_QUOTE, QUOTES
 
 PAIR = ("coin_id", "quote")
 KEY = ("coin_id", "quote", "date")
@@ -31,11 +31,16 @@ def prefer_pair_rows(rows: DataFrame, legacy_col: str = "is_legacy") -> DataFram
     return modern.unionByName(legacy).drop(legacy_col)
 
 
-def migrate_legacy(store: DataFrame, legacy: DataFrame, quote: str = "BTC") -> DataFrame:
-    """Store plus the legacy series of entities that have no series in ``quote`` yet."""
+def legacy_to_move(store: DataFrame, legacy: DataFrame, quote: str = DEFAULT_QUOTE) -> DataFrame:
+    """Legacy series of entities that have no series in ``quote`` yet, as rows of that quote."""
     owned = store.filter(F.upper("quote") == quote).select("coin_id").distinct()
-    moved = legacy.join(owned, "coin_id", "left_anti").withColumn("quote", F.lit(quote))
-    return store.unionByName(moved.select(*store.columns))
+    moved = legacy.withColumn("quote", F.lit(quote)).join(owned, "coin_id", "left_anti")
+    return moved.select(*store.columns)
+
+
+def migrate_legacy(store: DataFrame, legacy: DataFrame, quote: str = DEFAULT_QUOTE) -> DataFrame:
+    """Store plus the legacy series it lacks."""
+    return store.unionByName(legacy_to_move(store, legacy, quote))
 
 
 def trim_leading(prices: DataFrame, keys: Sequence[str] = PAIR, close_col: str = "close") -> DataFrame:

@@ -15,6 +15,7 @@ PROJECTED_ANCHOR = date(2028, 3, 15)
 DAYS_BEFORE, DAYS_AFTER = 550, 880
 
 # History and trend limits
+HISTORY_FLOOR = date(2010, 1, 1)
 MIN_HISTORY_DATE = date(2024, 1, 10)
 TREND_START, TREND_MIN_POINTS = date(2023, 11, 1), 30
 

@@ -57,12 +57,8 @@ HISTORY_PAGE = _struct(
 # Landed ranking page: {Data: [{CoinInfo: {...}, RAW: {<quote>: {...}}}]}
 RANKING_RECORD = _struct(
     ("CoinInfo", _struct(("Name", _S), ("FullName", _S))),
-    (
-        "RAW",
-        T.MapType(
-            _S, _struct(("MKTCAP", _D), ("PRICE", _D), ("VOLUME24HOUR", _D), ("CIRCULATINGSUPPLY", _D))
-        ),
-    ),
+    # Fields per quote stay a map: an EMPTY entry has to be told from one with missing fields.
+    ("RAW", T.MapType(_S, T.MapType(_S, _S))),
 )
 RANKING_PAGE = _struct(("Response", _S), ("Message", _S), ("Data", T.ArrayType(RANKING_RECORD)))
 

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import unix_date
-from tidemark.params import RANKING_QUOTE, UNIVERSE_SIZE
+from tidemark.params import HISTORY_FLOOR, RANKING_QUOTE, UNIVERSE_SIZE
 from tidemark.schema import HISTORY_PAGE, RANKING_PAGE, SYMBOL_DICTIONARY, SYMBOL_INFO
 
 # Landing file names: eth-btc-0003.json is page 3 of the history of eth in btc, ranking-0002.json page 2
-_HISTORY_NAME = r"^(.+)-([^-]+)-(\d+)\.json$"
+HISTORY_NAME = r"^(.+)-([^-]+)-(\d+)\.json$"
 _PAGE_NAME = r"(\d+)\.json$"
 
 
@@ -26,9 +26,9 @@ def read_history_pages(spark: SparkSession, path: str) -> DataFrame:
         .option("pathGlobFilter", "*.json")
         .json(path)
         .select(
-            F.regexp_extract(name, _HISTORY_NAME, 1).alias("coin_id"),
-            F.upper(F.regexp_extract(name, _HISTORY_NAME, 2)).alias("quote"),
-            F.regexp_extract(name, _HISTORY_NAME, 3).cast("int").alias("page"),
+            F.regexp_extract(name, HISTORY_NAME, 1).alias("coin_id"),
+            F.upper(F.regexp_extract(name, HISTORY_NAME, 2)).alias("quote"),
+            F.regexp_extract(name, HISTORY_NAME, 3).cast("int").alias("page"),
             "*",
         )
     )
@@ -45,13 +45,13 @@ def failed_pages(pages: DataFrame) -> DataFrame:
     return pages.filter(F.col("Response") == "Error").drop("Data")
 
 
-def history_records(pages: DataFrame, start: date | None = None) -> DataFrame:
+def history_records(pages: DataFrame, start: date = HISTORY_FLOOR) -> DataFrame:
     """Unnest pages to daily rows. Records without a time, or before ``start``, are dropped.
 
     The end of a fetch only steers paging; it does not filter. ``page`` and ``pos`` keep the order in
     which records were fetched.
     """
-    floor = datetime.combine(start, datetime.min.time(), timezone.utc).timestamp() if start else 0
+    floor = datetime.combine(start, datetime.min.time(), timezone.utc).timestamp()
     record = F.col("_r")
     return (
         pages.filter(F.col("Response").isNull() | (F.col("Response") != "Error"))
@@ -87,17 +87,15 @@ def ranked_entities(pages: DataFrame, n: int = UNIVERSE_SIZE, quote: str = RANKI
     The cut comes before the rank: sort and limit run as a distributed top-n, and only the ``n``
     survivors are numbered.
     """
-    raw = F.col("_r.RAW")[quote.upper()]
+    raw = F.try_element_at(F.col("_r.RAW"), F.lit(quote.upper()))
 
     def number(field: str) -> Column:
-        return F.coalesce(raw[field], F.lit(0.0))
+        return F.coalesce(F.try_element_at(raw, F.lit(field)).cast("double"), F.lit(0.0))
 
     symbol = F.coalesce(F.col("_r.CoinInfo.Name"), F.lit(""))
-    # {} is as empty as a missing entry
-    present = F.coalesce(*[raw[f] for f in ("MKTCAP", "PRICE", "VOLUME24HOUR", "CIRCULATINGSUPPLY")])
     return (
         pages.select("page", F.posexplode("Data").alias("pos", "_r"))
-        .filter(raw.isNotNull() & present.isNotNull())
+        .filter(raw.isNotNull() & (F.size(raw) > 0))
         .select(
             "page",
             "pos",

@@ -106,7 +106,7 @@ def scan_prices(
     end: date | None = None,
 ) -> DataFrame:
     """Scan the store. Quote and date bounds prune partitions; further columns are pruned by Spark."""
-    rows = spark.read.schema(_STORED).option("ignoreCorruptFiles", True).parquet(path)
+    rows = spark.read.schema(_STORED).parquet(path)
     if quote:
         rows = rows.filter(F.col("quote") == quote.upper())
     if start:
@@ -135,38 +135,46 @@ def _months_of(rows: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def merge_into_store(spark: SparkSession, path: str, delta: DataFrame) -> None:
+def merge_into_store(spark: SparkSession, path: str, delta: DataFrame, replace: bool = False) -> None:
     """Upsert ``delta`` (one row per key) into the store: newest wins per date, leading zeros trimmed.
 
-    Only (quote, month) partitions that change are rewritten. Where a series starts is decided over its
-    whole history, from two columns and with one row per pair as result. Running it twice with the same
-    delta gives the same store. Replacement is per partition, not one transaction over all of them.
+    With ``replace`` the series in the delta take the place of the stored ones. Only (quote, month)
+    partitions that change are rewritten. Where a series starts is decided over its whole history, from
+    the narrow columns and with one row per pair as result. Running it twice with the same delta gives
+    the same store. Replacement is per partition, not one transaction over all of them.
     """
     delta = materialise(
-        delta.withColumn("coin_id", sanitise_id(F.col("coin_id"))).withColumn("quote", F.upper("quote")),
+        delta.withColumn("coin_id", sanitise_id(F.col("coin_id")))
+        .withColumn("quote", F.upper("quote"))
+        .select(*PRICES.fieldNames()),
         "delta",
-    ).select(*PRICES.fieldNames())
-    store = scan_prices(spark, path)
-
-    # Where each touched series starts after the merge.
+    )
     pairs = delta.select(*PAIR).distinct()
     narrow = [*KEY, "close"]
-    before = store.join(pairs, list(PAIR), "left_semi").select(*narrow)
-    starts = (
-        upsert_keep_last(before, delta.select(*narrow))
+
+    def overlay(base: DataFrame, fresh: DataFrame) -> DataFrame:
+        if replace:
+            return base.join(pairs, list(PAIR), "left_anti").unionByName(fresh)
+        return upsert_keep_last(base, fresh)
+
+    # Where each touched series starts after the merge.
+    before = scan_prices(spark, path).join(pairs, list(PAIR), "left_semi").select(*narrow)
+    starts = materialise(
+        overlay(before, delta.select(*narrow))
         .groupBy(*PAIR)
         .agg(F.min(F.when(F.col("close") > 0, F.col("date"))).alias("_first"))
-        .filter(F.col("_first").isNotNull())
+        .filter(F.col("_first").isNotNull()),
+        "starts",
     )
-    starts = materialise(starts, "starts")
 
-    # Months that receive rows or lose leading ones.
-    losing = before.join(starts, list(PAIR)).filter(F.col("date") < F.col("_first"))
-    touched = materialise(_months_of(delta.select(*PRICES.fieldNames())).union(_months_of(losing)).distinct(), "months")
+    # Partitions that receive rows or lose leading ones. One entry per (quote, month), like the folder
+    # listing itself, so they become literal partition filters.
+    losing = before if replace else before.join(starts, list(PAIR)).filter("date < _first")
+    touched = _months_of(delta).union(_months_of(losing)).distinct().collect()
 
-    current = spark.read.schema(_STORED).parquet(path).join(touched, list(_PARTITIONS), "left_semi")
+    current = _partitions(spark.read.schema(_STORED).parquet(path), touched)
     merged = (
-        upsert_keep_last(current.select(*PRICES.fieldNames()), delta)
+        overlay(current.select(*PRICES.fieldNames()), delta)
         .join(starts, list(PAIR), "left")
         .filter(F.col("_first").isNull() | (F.col("date") >= F.col("_first")))
         .drop("_first")
@@ -174,15 +182,24 @@ def merge_into_store(spark: SparkSession, path: str, delta: DataFrame) -> None:
     # Staged first: the partitions being replaced are also being read.
     staged = materialise(merged, "merged")
     _overwrite_partitions(_laid_out(staged), path)
-    _drop_emptied(spark, path, touched.join(_months_of(staged), list(_PARTITIONS), "left_anti"))
+    kept = {(r["quote"], r["month"]) for r in _months_of(staged).collect()}
+    _drop_partitions(spark, path, [r for r in touched if (r["quote"], r["month"]) not in kept])
 
 
-def _drop_emptied(spark: SparkSession, path: str, emptied: DataFrame) -> None:
-    """Remove partitions whose last rows were trimmed: overwriting by partition leaves them in place.
+def _partitions(rows: DataFrame, wanted: list) -> DataFrame:
+    """Rows of the wanted (quote, month) partitions."""
+    by_quote: dict[str, list[str]] = {}
+    for row in wanted:
+        by_quote.setdefault(row["quote"], []).append(row["month"])
+    test = F.lit(False)
+    for quote, months in by_quote.items():
+        test = test | ((F.col("quote") == quote) & F.col("month").isin(months))
+    return rows.filter(test)
 
-    The list has one entry per (quote, month) at most.
-    """
+
+def _drop_partitions(spark: SparkSession, path: str, emptied: list) -> None:
+    """Remove partitions whose last rows were trimmed; overwriting by partition leaves them in place."""
     hadoop = spark._jvm.org.apache.hadoop.fs
-    for row in emptied.toLocalIterator():
+    for row in emptied:
         target = hadoop.Path(f"{path}/quote={row['quote']}/month={row['month']}")
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
