@@ -1 +1,300 @@
-"""Pending."""
+"""Source and sink queries. Inputs in the landed formats are derived from the tables by Spark, written to
+the shared folder where a file is needed, and read back with the library's readers."""
+
+from __future__ import annotations
+
+from datetime import date
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from catalogue.cycles import SQL_SHIPPING_INDEX
+from catalogue.cycles import TOP_N as SHIP_TOP_N
+from catalogue.cycles import WINDOW as SHIP_WINDOW
+from catalogue.filters import SQL_CLASSIFIED, classified_parts
+from catalogue.index import tidy_composition, tidy_index
+from catalogue.registry import query
+from catalogue.views import SQL_EVQ, SQL_PRT, events_daily_by_type, parts, shipping_daily, table
+from tidemark.functions import pair_name_fields, sanitise_id
+from tidemark.operators import maintain as mt
+from tidemark.operators.classify import accepted, skipped
+from tidemark.operators.index import compute_index
+from tidemark.schema import RANKING_PAGE
+from tidemark.session import scratch_path
+from tidemark.sources import lists, payloads, prices, results
+
+_ROWS = "coin_id, quote, date, open, high, low, close, volume_from, volume_to"
+
+
+@query(
+    "s01_pair_names",
+    """
+    SELECT CAST(user_id AS VARCHAR) AS coin_id, CASE WHEN event_type = 'view' THEN 'BTC' ELSE upper(event_type) END AS quote,
+      event_type = 'view' AS is_legacy, count(*) AS n
+    FROM events GROUP BY ALL""",
+)
+def s01_pair_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File names of the file-per-pair layout; files without a quote are legacy."""
+    user = F.col("user_id").cast("string")
+    name = F.when(F.col("event_type") == "view", F.concat(user, F.lit(".parquet"))).otherwise(
+        F.concat(user, F.lit("-"), "event_type", F.lit(".parquet"))
+    )
+    named = table(spark, sf_dir, "events").groupBy(name.alias("file")).agg(F.count(F.lit(1)).alias("n"))
+    coin, quote, legacy = pair_name_fields(F.col("file"))
+    return named.select(coin.alias("coin_id"), quote.alias("quote"), legacy.alias("is_legacy"), "n")
+
+
+_SQL_LAYOUT = f"""SELECT coin_id, CASE WHEN quote IN ('VIEW', 'SIGNUP') THEN 'BTC' ELSE quote END AS quote, date, close,
+    quote = 'VIEW' AS is_legacy FROM ({SQL_EVQ}) WHERE NOT (quote = 'SIGNUP' AND coin_id LIKE '%5')"""
+
+
+def _layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of two layouts: legacy series, and for most entities a pair series of the same quote."""
+    quote = F.col("quote")
+    rows = events_daily_by_type(spark, sf_dir).filter(~((quote == "SIGNUP") & F.col("coin_id").like("%5")))
+    return rows.select(
+        "coin_id",
+        F.when(quote.isin("VIEW", "SIGNUP"), "BTC").otherwise(quote).alias("quote"),
+        "date",
+        "close",
+        (quote == "VIEW").alias("is_legacy"),
+    )
+
+
+@query(
+    "s02_legacy_precedence",
+    f"""WITH r AS ({_SQL_LAYOUT})
+    SELECT coin_id, quote, date, close FROM r
+    WHERE NOT is_legacy OR (coin_id, quote) NOT IN (SELECT (coin_id, quote) FROM r WHERE NOT is_legacy)""",
+)
+def s02_legacy_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mt.prefer_pair_rows(_layout(spark, sf_dir))
+
+
+@query("s03_list_pairs", "SELECT DISTINCT CAST(user_id AS VARCHAR) AS coin_id, upper(event_type) AS quote FROM events")
+def s03_list_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prices.list_pairs(events_daily_by_type(spark, sf_dir))
+
+
+@query(
+    "s03_list_coins",
+    "SELECT DISTINCT CAST(user_id AS VARCHAR) AS coin_id FROM events WHERE event_type = 'error'",
+)
+def s03_list_coins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prices.list_coins(events_daily_by_type(spark, sf_dir), "error")
+
+
+@query(
+    "s04_store_roundtrip",
+    f"SELECT {_ROWS} FROM ({SQL_EVQ}) WHERE quote = 'CLICK' AND date BETWEEN DATE '2024-01-05' AND DATE '2024-01-25'",
+)
+def s04_store_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "store")
+    prices.write_prices(events_daily_by_type(spark, sf_dir), path)
+    return prices.scan_prices(spark, path, "click", date(2024, 1, 5), date(2024, 1, 25))
+
+
+@query(
+    "s04_store_merge",
+    f"""SELECT coin_id, quote, date, open, high, low,
+      CASE WHEN date > DATE '2024-01-15' THEN close + 1 ELSE close END AS close, volume_from, volume_to
+    FROM ({SQL_EVQ}) WHERE date <= DATE '2024-01-20' OR date > DATE '2024-01-15'""",
+)
+def s04_store_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An increment that overlaps the stored days; merged twice to the same effect."""
+    path = scratch_path(spark, "store")
+    rows = events_daily_by_type(spark, sf_dir)
+    prices.write_prices(rows.filter(F.col("date") <= "2024-01-20"), path)
+    delta = rows.filter(F.col("date") > "2024-01-15").withColumn("close", F.col("close") + 1)
+    prices.merge_into_store(spark, path, delta)
+    prices.merge_into_store(spark, path, delta)
+    return prices.scan_prices(spark, path)
+
+
+@query(
+    "s05_sanitise_ids",
+    """SELECT p_partkey, regexp_replace(p_name || '/' || p_brand || ':' || p_type, '[^\\p{L}\\p{N}_-]', '_', 'g') AS safe_id
+    FROM part""",
+)
+def s05_sanitise_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.concat("p_name", F.lit("/"), "p_brand", F.lit(":"), "p_type")
+    return table(spark, sf_dir, "part").select("p_partkey", sanitise_id(raw).alias("safe_id"))
+
+
+@query(
+    "s06_migrate_legacy",
+    f"""WITH r AS ({_SQL_LAYOUT})
+    SELECT coin_id, quote, date, close FROM r WHERE NOT is_legacy
+    UNION ALL
+    SELECT coin_id, 'BTC', date, close FROM r
+    WHERE is_legacy AND coin_id NOT IN (SELECT coin_id FROM r WHERE NOT is_legacy AND quote = 'BTC')""",
+)
+def s06_migrate_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _layout(spark, sf_dir)
+    store = rows.filter(~F.col("is_legacy")).drop("is_legacy")
+    legacy = rows.filter("is_legacy").select("coin_id", "date", "close")
+    return mt.migrate_legacy(store, legacy)
+
+
+def _history_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """History pages as JSON text: one page per series and ten days, short pages are error responses.
+
+    A page holds at most ten records, as many as there are days in it.
+    """
+    record = F.struct(
+        (F.unix_date("date").cast("bigint") * 86400).alias("time"),
+        "open",
+        "high",
+        "low",
+        "close",
+        F.col("volume_from").alias("volumefrom"),
+        F.col("volume_to").alias("volumeto"),
+    )
+    failed = F.count(F.lit(1)) < 2
+    data = F.struct(F.sort_array(F.collect_list(record)).alias("Data"))
+    payload = F.struct(
+        F.when(failed, "Error").otherwise("Success").alias("Response"),
+        F.when(failed, "Invalid symbol").otherwise("").alias("Message"),
+        F.when(~failed, data).alias("Data"),
+    )
+    page = F.floor((F.dayofmonth("date") - 1) / 10).cast("int")
+    return (
+        events_daily_by_type(spark, sf_dir)
+        .groupBy("coin_id", "quote", page.alias("page"))
+        .agg(F.to_json(payload).alias("payload"))
+    )
+
+
+_SQL_PAGES = f"""SELECT *, (day(date) - 1) // 10 AS page,
+    count(*) OVER (PARTITION BY coin_id, quote, (day(date) - 1) // 10) AS n FROM ({SQL_EVQ})"""
+
+
+@query(
+    "s07_history_ingest",
+    f"SELECT {_ROWS} FROM ({_SQL_PAGES}) WHERE n >= 2 AND date >= DATE '2024-01-08'",
+)
+def s07_history_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = payloads.parse_history_pages(_history_payloads(spark, sf_dir))
+    return payloads.history_records(pages, date(2024, 1, 8)).drop("page", "pos")
+
+
+@query(
+    "s07_failed_pages",
+    f"""SELECT coin_id, quote, CAST(page AS INTEGER) AS page, 'Error' AS "Response", 'Invalid symbol' AS "Message"
+    FROM ({_SQL_PAGES}) WHERE n < 2""",
+)
+def s07_failed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return payloads.failed_pages(payloads.parse_history_pages(_history_payloads(spark, sf_dir)))
+
+
+def _ranking_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranking pages of 100 parts as JSON; small parts have an empty entry, the smallest none for the quote."""
+    fields = F.create_map(
+        F.lit("MKTCAP"),
+        F.col("p_retailprice").cast("string"),
+        F.lit("PRICE"),
+        F.col("p_size").cast("string"),
+    )
+    empty = F.create_map().cast("map<string,string>")
+    size = F.col("p_size")
+    raw = F.create_map(
+        F.when(size > 3, F.lit("USD")).otherwise(F.lit("EUR")), F.when(size > 6, fields).otherwise(empty)
+    )
+    record = F.struct(
+        F.struct(F.col("p_brand").alias("Name"), F.col("p_name").alias("FullName")).alias("CoinInfo"),
+        raw.alias("RAW"),
+    )
+    listed = F.sort_array(F.collect_list(F.struct("p_partkey", F.to_json(record).alias("json"))))
+    body = F.array_join(F.transform(listed, lambda r: r["json"]), ",")
+    return (
+        table(spark, sf_dir, "part")
+        .groupBy(F.floor(F.col("p_partkey") / 100).cast("int").alias("page"))
+        .agg(F.concat(F.lit('{"Data":['), body, F.lit("]}")).alias("payload"))
+        .select("page", F.from_json("payload", RANKING_PAGE)["Data"].alias("Data"))
+    )
+
+
+@query(
+    "s08_rank_ingest",
+    """
+    SELECT lower(p_brand) AS id, p_brand AS symbol, p_name AS name, p_retailprice AS market_cap,
+      CAST(row_number() OVER (ORDER BY p_partkey) AS INTEGER) AS market_cap_rank, CAST(p_size AS DOUBLE) AS current_price,
+      0.0::DOUBLE AS volume_24h, 0.0::DOUBLE AS circulating_supply
+    FROM part WHERE p_size > 6 ORDER BY p_partkey LIMIT 1000""",
+)
+def s08_rank_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return payloads.ranked_entities(_ranking_pages(spark, sf_dir), 1000, "usd")
+
+
+@query(
+    "s09_symbol_dictionary",
+    """SELECT c_name AS key, CAST(c_custkey AS VARCHAR) AS "Id", c_name AS "Name", c_mktsegment AS "Symbol",
+      CAST(NULL AS VARCHAR) AS "CoinName", c_name || ' (' || c_mktsegment || ')' AS "FullName"
+    FROM customer""",
+)
+def s09_symbol_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    info = F.struct(
+        F.col("c_custkey").cast("string").alias("Id"),
+        F.col("c_name").alias("Name"),
+        F.col("c_mktsegment").alias("Symbol"),
+        F.concat("c_name", F.lit(" ("), "c_mktsegment", F.lit(")")).alias("FullName"),
+    )
+    raw = table(spark, sf_dir, "customer").select(F.to_json(F.create_map("c_name", info)).alias("payload"))
+    return payloads.parse_symbol_maps(raw)
+
+
+@query(
+    "s10_accepted_roundtrip",
+    f"""SELECT id, symbol, name, market_cap, p_partkey AS position FROM ({SQL_CLASSIFIED}) WHERE reason IS NULL""",
+)
+def s10_accepted_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "accepted")
+    lists.write_entities(accepted(classified_parts(spark, sf_dir)).withColumnRenamed("p_partkey", "position"), path)
+    return lists.read_entities(spark, path).select("id", "symbol", "name", "market_cap", "position")
+
+
+def _awkward(name: str) -> Column:
+    """Names with a separator and quotes inside some of them."""
+    return F.when(F.col(name) == "SMALL", 'S;M "A" L').otherwise(F.col(name))
+
+
+@query(
+    "s12_skipped_roundtrip",
+    f"""SELECT id AS coin_id, CASE WHEN name = 'SMALL' THEN '"S' ELSE name END AS name,
+      CASE WHEN name = 'SMALL' THEN 'M ""A"" L"' ELSE symbol END AS symbol,
+      CASE WHEN name = 'SMALL' THEN symbol ELSE reason END AS reason,
+      CASE WHEN name = 'SMALL' THEN reason
+           ELSE 'https://www.cryptocompare.com/coins/' || upper(symbol) || '/overview' END AS url
+    FROM ({SQL_CLASSIFIED}) WHERE reason IS NOT NULL""",
+)
+def s12_skipped_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written with quoting, read by a plain split, so quoted separators move the fields."""
+    path = scratch_path(spark, "skipped")
+    rows = skipped(classified_parts(spark, sf_dir)).withColumn("name", _awkward("name"))
+    lists.write_skipped(rows, path)
+    return lists.read_skipped(spark, path)
+
+
+@query(
+    "s13_index_roundtrip",
+    f"""WITH {SQL_SHIPPING_INDEX}
+    SELECT date, round(index_price, 6) AS index_price, round(total_volume, 4) AS total_volume, coin_count FROM idx""",
+)
+def s13_index_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "index")
+    result = compute_index(shipping_daily(spark, sf_dir), SHIP_TOP_N, SHIP_WINDOW, share=False)
+    results.write_index(result.index, path)
+    return tidy_index(results.read_index(spark, path))
+
+
+@query(
+    "s14_composition_roundtrip",
+    f"""WITH {SQL_SHIPPING_INDEX}
+    SELECT date, CAST(rank AS INTEGER) AS rank, coin_id, round(volume, 4) AS volume, round(weight, 9) AS weight, price
+    FROM comp WHERE strftime(date, '%Y-%m') = '1998-03'""",
+)
+def s14_composition_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "composition")
+    result = compute_index(shipping_daily(spark, sf_dir), SHIP_TOP_N, SHIP_WINDOW)
+    results.write_composition(result.composition, path)
+    return tidy_composition(results.read_composition(spark, path, "1998-03"))

@@ -66,7 +66,9 @@ def previous_dates(composition: DataFrame) -> DataFrame:
     return steps.select(
         "date",
         "previous_date",
-        (month_key(F.col("previous_date")) != month_key(F.col("date"))).alias("carried_over"),
+        F.coalesce(
+            month_key(F.col("previous_date")) != month_key(F.col("date")), F.lit(False)
+        ).alias("carried_over"),
     )
 
 

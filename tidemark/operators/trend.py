@@ -103,10 +103,11 @@ def backfill(
         .filter(F.col("first_date") < F.lit(cutoff))
     )
     scaled = (
-        firsts.join(by_date.withColumnRenamed("date", "first_date"), "first_date")
+        firsts.withColumnRenamed("first_date", "date")
+        .join(by_date, "date")
         .select(
             "coin_id",
-            "first_date",
+            F.col("date").alias("first_date"),
             (F.col("first_price") / F.nullif(F.col("index_price"), F.lit(0.0))).alias("k"),
         )
         .filter(F.col("k").isNotNull())
