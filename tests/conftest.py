@@ -22,7 +22,8 @@ def spark(tmp_path_factory):
         spark__driver__memory="4g",
     )
     session.sparkContext.setLogLevel("ERROR")
-    session.sparkContext.setCheckpointDir(str(scratch / "checkpoint"))
+    if not session.conf.get("spark.checkpoint.dir", None):
+        session.sparkContext.setCheckpointDir(str(scratch / "checkpoint"))
     yield session
     session.stop()
 

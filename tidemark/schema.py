@@ -16,10 +16,8 @@ OHLCV = ("open", "high", "low", "close", "volume_from", "volume_to")
 # One row per (coin_id, quote, date)
 PRICES = _struct(("coin_id", _S), ("quote", _S), ("date", T.DateType()), *((c, _D) for c in OHLCV))
 
-# Columns found inside one file of the file-per-pair layout. The date is the saved frame index, under
-# one of these names depending on whether the index was named when the file was written.
-PAIR_FILE_DATE_COLUMNS = ("date", "__index_level_0__")
-PAIR_FILE = _struct(*((c, T.TimestampNTZType()) for c in PAIR_FILE_DATE_COLUMNS), *((c, _D) for c in OHLCV))
+# Rows decoded from the file-per-pair layout
+PAIR_FILE_ROWS = _struct(("file", _S), ("date", T.DateType()), *((c, _D) for c in OHLCV))
 
 ENTITY = _struct(
     ("id", _S),

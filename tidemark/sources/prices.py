@@ -6,15 +6,18 @@ partitions it needs; an increment rewrites only the months it touches.
 
 from __future__ import annotations
 
+import io
+from collections.abc import Iterator
 from datetime import date
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import clean_double, month_partition, pair_name_fields, sanitise_id
 from tidemark.operators.maintain import KEY, PAIR, prefer_pair_rows, trim_leading, upsert_keep_last
-from tidemark.schema import OHLCV, PAIR_FILE, PAIR_FILE_DATE_COLUMNS, PRICES
+from tidemark.schema import OHLCV, PAIR_FILE_ROWS, PRICES
 from tidemark.session import materialise
 
 _PARTITIONS = ("quote", "month")
@@ -24,24 +27,38 @@ _STORED = T.StructType(
 )
 
 
+def _decode_pair_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of small parquet files given as bytes; a file that cannot be read yields nothing."""
+    for batch in batches:
+        for path, content in zip(batch["path"], batch["content"]):
+            try:
+                frame = pd.read_parquet(io.BytesIO(content))
+                rows = frame.reindex(columns=list(OHLCV)).astype("float64")
+                rows.insert(0, "date", pd.to_datetime(frame.index).date)
+                rows.insert(0, "file", path.rsplit("/", 1)[-1])
+            except Exception:  # noqa: BLE001 - whatever is wrong with it, the file is skipped
+                continue
+            yield rows
+
+
 def read_pair_files(spark: SparkSession, path: str) -> DataFrame:
     """Read the file-per-pair layout (``eth-btc.parquet``, legacy ``eth.parquet``) as long rows.
 
     Unreadable files are skipped. Missing columns are NULL, NaN becomes NULL, dates are cut to the day.
     Result: ``PRICES`` columns plus ``is_legacy``.
+
+    The files were saved from data frames one by one, so their physical types differ (nanosecond dates,
+    whole numbers or doubles in the same column), which the parquet source cannot read under one
+    schema. Spark lists and distributes the files, each of them tens of KB, and tasks decode them.
     """
     files = (
-        spark.read.schema(PAIR_FILE)
-        .option("ignoreCorruptFiles", True)
-        .option("pathGlobFilter", "*.parquet")
-        .parquet(path)
+        spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("path", "content")
     )
-    coin, quote, legacy = pair_name_fields(F.col("_metadata.file_name"))
-    day = F.coalesce(*[F.col(c) for c in PAIR_FILE_DATE_COLUMNS])
-    return files.select(
+    coin, quote, legacy = pair_name_fields(F.col("file"))
+    return files.mapInPandas(_decode_pair_files, PAIR_FILE_ROWS).select(
         coin.alias("coin_id"),
         quote.alias("quote"),
-        F.to_date(day).alias("date"),
+        "date",
         *[clean_double(F.col(c)).alias(c) for c in OHLCV],
         legacy.alias("is_legacy"),
     )
