@@ -111,7 +111,7 @@ def urgent_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy(F.to_date("o_orderdate").alias("date"))
         .agg(
             (
-                F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint")) / F.count(F.lit(1)) / F.lit(100.0)
+                F.sum(F.rint(F.col("o_totalprice") * 100).cast("bigint")) / F.count(F.lit(1)) / F.lit(100.0)
             ).alias("close")
         )
     )

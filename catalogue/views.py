@@ -32,7 +32,7 @@ PART_RULES = RuleSet(
 
 
 def _cents(amount: str) -> Column:
-    return F.round(F.col(amount) * 100).cast("bigint")
+    return F.rint(F.col(amount) * 100).cast("bigint")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 
 def day_number(day: Column) -> Column:
-    """Days since 1970-01-01: the single numeric key that RANGE frames order by."""
+    """Days since 1970-01-01, a number that calendar gaps can be read from."""
     return F.unix_date(day)
 
 

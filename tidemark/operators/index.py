@@ -45,8 +45,10 @@ def ranked_members(
     """
     if price_mask not in PRICE_MASKS:
         raise ValueError(f"price_mask must be one of {PRICE_MASKS}")
-    day = F.col(columns.date)
-    source = prices.filter(day <= F.lit(end)) if end else prices
+    day, volume = F.col(columns.date), F.col(columns.volume)
+    # Rows without a volume neither rank nor complete a window.
+    source = prices.filter(volume.isNotNull() & ~F.isnan(volume.cast("double")))
+    source = source.filter(day <= F.lit(end)) if end else source
     if start:
         recent = source.filter(day >= F.lit(start - timedelta(days=window - 1)))
         smoothed = smooth_and_mask(

@@ -1,13 +1,15 @@
 """Daily series building blocks: roll-up, calendar alignment, trailing mean, warm-up mask, daily rank.
 
-Everything stays in long form. Gaps are handled by RANGE frames on the day number, so no dense
-calendar is materialised for the index.
+Everything stays in long form with one row per entity and day. Gaps are recognised from the day number,
+so no dense calendar is materialised for the index.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,23 +69,48 @@ def date_range(prices: DataFrame, columns: Columns = DEFAULT_COLUMNS) -> DataFra
     return prices.agg(F.min(columns.date).alias("min_date"), F.max(columns.date).alias("max_date"))
 
 
-def _trailing(window: int, columns: Columns) -> Window:
-    return Window.partitionBy(columns.entity).orderBy("_day").rangeBetween(-(window - 1), 0)
+_STEP = 4
 
 
-def _full_mean(value: Column, frame: Window, window: int) -> Column:
-    return F.when(F.count(value).over(frame) == window, F.avg(value).over(frame))
+def _full_window_mean(rows: DataFrame, window: int, value: str, entity: str, out: str) -> DataFrame:
+    """Mean of ``value`` over the last ``window`` calendar days, NULL unless every day has a value.
+
+    ``rows`` has one row per entity and day, numbered by ``_day``. Sums over 1, 4, 16, ... rows are built
+    from each other with LAG and then added up to ``window``, which costs O(log window) per row; a sliding
+    frame adds up the whole window again for every row. A NULL anywhere in the window makes the sum NULL,
+    and the row ``window - 1`` places back must be exactly that many days older, so gaps are seen too.
+    Sums are only ever added, never subtracted, so nothing cancels.
+    """
+    series = Window.partitionBy(entity).orderBy("_day")
+
+    def back(column: str, places: int) -> Column:
+        return F.lag(column, places).over(series) if places else F.col(column)
+
+    sums = [("_sum1", 1)]
+    rows = rows.withColumn("_sum1", F.col(value))
+    while sums[-1][1] * _STEP <= window:
+        name, size = sums[-1]
+        total = reduce(add, [back(name, size * k) for k in range(_STEP)])
+        sums.append((f"_sum{size * _STEP}", size * _STEP))
+        rows = rows.withColumn(sums[-1][0], total)
+    parts, covered = [], 0
+    for name, size in reversed(sums):
+        while window - covered >= size:
+            parts.append(back(name, covered))
+            covered += size
+    complete = back("_day", window - 1) == F.col("_day") - (window - 1)
+    kept = [F.col(c) for c in rows.columns if not c.startswith("_sum")]
+    return rows.select(*kept, F.when(complete, reduce(add, parts) / F.lit(float(window))).alias(out))
 
 
 def rolling_volume(
     prices: DataFrame, window: int, columns: Columns = DEFAULT_COLUMNS, out: str = "volume_sma"
 ) -> DataFrame:
     """Mean volume of the last ``window`` CALENDAR days, NULL unless every one of them has a volume."""
-    return (
-        prices.withColumn("_day", day_number(F.col(columns.date)))
-        .withColumn(out, _full_mean(F.col(columns.volume), _trailing(window, columns), window))
-        .drop("_day")
+    rows = prices.withColumn("_day", day_number(F.col(columns.date))).withColumn(
+        "_volume", clean_double(F.col(columns.volume))
     )
+    return _full_window_mean(rows, window, "_volume", columns.entity, out).drop("_day", "_volume")
 
 
 def first_volume_days(prices: DataFrame, columns: Columns = DEFAULT_COLUMNS) -> DataFrame:
@@ -106,9 +133,9 @@ def smooth_and_mask(
     """Trailing mean volume, and the price masked during warm-up.
 
     The price of an entity is NULL up to and including day ``first volume + window - 1``; an entity
-    without any volume is not masked. Both results come from one window over one sort. When ``prices``
-    is only a recent slice, ``first_volume`` brings the first days of the whole history; the join has
-    the window's own key and shares its shuffle.
+    without any volume is not masked. Both results come from windows over one shuffle and sort. When
+    ``prices`` is only a recent slice, ``first_volume`` brings the first days of the whole history; the
+    join has the windows' own key and shares their shuffle.
     """
     volume = F.col(columns.volume)
     series = prices.select(
@@ -128,15 +155,9 @@ def smooth_and_mask(
     else:
         series = series.join(first_volume, columns.entity, "left")
         first = F.col("_first")
+    smoothed = _full_window_mean(series, window, columns.volume, columns.entity, sma)
     past_warm_up = F.col("_first").isNull() | (F.col("_day") > F.col("_first") + (window - 1))
-    return series.select(
-        columns.entity,
-        columns.date,
-        columns.price,
-        "_day",
-        _full_mean(volume, _trailing(window, columns), window).alias(sma),
-        first.alias("_first"),
-    ).select(
+    return smoothed.withColumn("_first", first).select(
         columns.entity,
         columns.date,
         F.when(past_warm_up, F.col(columns.price)).alias(masked),

@@ -12,6 +12,8 @@ _DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # One daily series fits: a few thousand narrow rows. Beyond this a window buffer goes through the sorter.
+    "spark.sql.windowExec.buffer.in.memory.threshold": "16384",
 }
 
 
