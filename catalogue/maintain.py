@@ -160,8 +160,8 @@ def i07_single_quote(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def i01_i02_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Upsert, then trim: the order in which a store is refreshed."""
+    """Upsert and trim at once, as in a bulk merge."""
     base = _zeroed(spark, sf_dir).filter(F.col("date") <= "2024-01-20").select(*_COLUMNS)
     newer = events_daily_by_type(spark, sf_dir).filter(F.col("date") > "2024-01-10")
     delta = newer.withColumn("close", F.col("close") + 1).select(*_COLUMNS)
-    return mt.trim_leading(mt.upsert_keep_last(base, delta))
+    return mt.refresh(base, delta)

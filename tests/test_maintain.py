@@ -103,3 +103,26 @@ def test_fetch_plan_cap(spark):
     last = spark.createDataFrame([("eth", "BTC", d(10))], "coin_id string, quote string, last_date date")
     row = mt.fetch_plan(entities, last, as_of=d(20), quotes=["btc"], cap=d(10)).first()
     assert (row["mode"], row["end_date"]) == ("current", d(10))
+
+
+def test_refresh_equals_upsert_then_trim(spark, plan_of):
+    zeros = [("z", "BTC", d(n), 0.0) for n in (1, 2, 3)]
+    base = spark.createDataFrame(zeros + [("a", "BTC", d(n), float(n)) for n in (1, 2, 3)] + [("o", "BTC", d(1), 0.0)], SCHEMA)
+    delta = spark.createDataFrame(
+        [("z", "BTC", d(3), 5.0), ("z", "BTC", d(4), 0.0), ("a", "BTC", d(1), 0.0), ("a", "BTC", d(2), None)]
+        + [("n", "USD", d(1), 0.0), ("n", "USD", d(2), 1.0)],
+        SCHEMA,
+    )
+    both = mt.refresh(base, delta)
+    assert plan_of(both).count("Exchange") == 1
+
+    def text(df):
+        return sorted(map(str, df.collect()))
+
+    assert text(both) == text(mt.trim_leading(mt.upsert_keep_last(base, delta)))
+    assert rows_of(both.filter("coin_id in ('z', 'a', 'o')")) == [
+        ("a", "BTC", 3, 3.0),
+        ("o", "BTC", 1, 0.0),
+        ("z", "BTC", 3, 5.0),
+        ("z", "BTC", 4, 0.0),
+    ]

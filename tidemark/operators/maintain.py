@@ -80,6 +80,29 @@ def upsert_keep_last(
     return kept.unionByName(fresh.select(*base.columns))
 
 
+def refresh(
+    base: DataFrame, delta: DataFrame, keys: Sequence[str] = PAIR, close_col: str = "close"
+) -> DataFrame:
+    """``upsert_keep_last`` and ``trim_leading`` in one shuffle and one sort by series.
+
+    For bulk merges, where the trim moves all rows anyway: within a series sorted by date and age, a row
+    survives when the next one has another date. Base and delta each hold one row per key.
+    """
+    both = base.withColumn("_new", F.lit(0)).unionByName(
+        delta.select(*base.columns).withColumn("_new", F.lit(1))
+    )
+    series = Window.partitionBy(*keys).orderBy("date", "_new")
+    whole = series.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    newest = ~F.lead("date").over(series).eqNullSafe(F.col("date"))
+    positive = F.when(F.col("_newest") & (F.col(close_col) > 0), F.col("date"))
+    return (
+        both.withColumn("_newest", newest)
+        .withColumn("_first", F.min(positive).over(whole))
+        .filter(F.col("_newest") & (F.col("_first").isNull() | (F.col("date") >= F.col("_first"))))
+        .select(*base.columns)
+    )
+
+
 def dedup_pages(records: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     """Keep the first record per key in the order pages were fetched."""
     return keep_one(records, keys, [F.col("page"), F.col("pos")])
