@@ -57,7 +57,7 @@ def test_landing_to_store_in_batch_and_as_a_stream(spark, tmp_path):
     page(batch, "eth-btc-0000.json", [(2, 3.0), (3, 4.0)])
     page(batch, "eth-btc-0001.json", [(0, 0.0), (1, 2.0), (2, 99.0)])
     (batch / "bad-btc-0000.json").write_text(json.dumps({"Response": "Error", "Message": "no"}))
-    failed = history.ingest_landing(spark, str(batch), store, create=True)
+    failed = history.ingest_landing(spark, str(batch), store)
     assert failed.count() == 1
     assert closes(spark, store) == {("eth", 1): 2.0, ("eth", 2): 3.0, ("eth", 3): 4.0}
 

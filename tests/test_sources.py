@@ -220,10 +220,30 @@ def test_skipped_list(spark, tmp_path):
     assert got["wbtc"] == ("Wrapped Bitcoin", "WBTC", "why", "u")
     assert got["a"] == ('"S', '1 ""q"""', "", "why")  # quotes mean nothing to the reader
     short = tmp_path / "short.csv"
-    short.write_text("Coin ID;Name;Symbol;Reason;URL\nx;1;2;3\ny;1;2;3;4;5\n\n")
+    short.write_text("Coin ID;Name;Symbol;Reason;URL\nx;1;2;3\n\t y;1;2;3;4;5 \n\n")
     assert [tuple(r) for r in lists.read_skipped(spark, str(short)).collect()] == [("y", "1", "2", "3", "4")]
 
 
+def test_skipped_list_spreads_a_hot_id(spark, tmp_path):
+    path = str(tmp_path / "hot")
+    rows = spark.range(4000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("c"), "id")).alias("coin_id"),
+        *[F.lit("x").alias(c) for c in ("name", "symbol", "reason")],
+        F.col("id").cast("string").alias("url"),
+    )
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        lists.write_skipped(rows, path)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    parts = [p.read_text().splitlines()[1:] for p in sorted((tmp_path / "hot").glob("*.csv"))]
+    assert max(map(len, parts)) < 2000 and sum(map(len, parts)) == 4000
+    ids = [line.split(";")[0] for part in parts for line in part]
+    assert ids == sorted(ids)
+    hot = [int(line.rsplit(";", 1)[1]) for part in parts for line in part if line.startswith("hot;")]
+    assert hot == sorted(hot)
+
+
 def test_results_round_trip(spark, tmp_path):
     index = spark.createDataFrame([(day(n), 0.04, 12500.0, 50) for n in (1, 2, 3)], INDEX)
     comp = spark.createDataFrame([(day(1), 1, "eth", 1.0, 0.8, 0.05), (day(1, 2), 1, "eth", 1.0, 0.8, 0.05)], COMPOSITION)

@@ -43,15 +43,11 @@ def merge_pages(
 
 
 def ingest_landing(
-    spark: SparkSession, landing: str, store: str, start: date = HISTORY_FLOOR, create: bool = False
+    spark: SparkSession, landing: str, store: str, start: date = HISTORY_FLOOR, full_refresh: bool = False
 ) -> DataFrame:
     """Merge a landing folder into the store; returns the failed pages."""
     pages = read_history_pages(spark, landing)
-    if create:
-        records = dedup_pages(history_records(pages, start)).select(*PRICES.fieldNames())
-        write_prices(records, store)
-    else:
-        merge_pages(spark, pages, store, start)
+    merge_pages(spark, pages, store, start, full_refresh)
     return failed_pages(pages)
 
 

@@ -33,9 +33,11 @@ def read_entities(spark: SparkSession, path: str, multi_line: bool = False) -> D
 def write_skipped(skipped: DataFrame, path: str) -> None:
     """Ordered by id over all part files; every part starts with the header.
 
-    Only fields that need it are quoted, and quotes are doubled inside.
+    Only fields that need it are quoted, and quotes are doubled inside. The row number keeps rows of one
+    id in their order and lets the sort spread an id with very many rows over several tasks.
     """
-    named = skipped.orderBy("coin_id").select(
+    numbered = skipped.withColumn("_row", F.monotonically_increasing_id())
+    named = numbered.orderBy("coin_id", "_row").select(
         *[F.col(c).alias(title) for c, title in zip(SKIPPED.fieldNames(), SKIPPED_HEADER)]
     )
     (
@@ -62,7 +64,7 @@ def read_skipped(spark: SparkSession, path: str) -> DataFrame:
         .option("quote", "")
         .csv(path)
     )
-    fields = F.split(F.trim("line"), ";")
+    fields = F.split(F.regexp_replace("line", r"^\s+|\s+$", ""), ";")
     return lines.filter(F.size(fields) >= 5).select(
         *[fields[i].alias(c) for i, c in enumerate(SKIPPED.fieldNames())]
     )

@@ -158,8 +158,12 @@ def merge_into_store(spark: SparkSession, path: str, delta: DataFrame, replace:
     With ``replace`` the series in the delta take the place of the stored ones. Only (quote, month)
     partitions that change are rewritten. Where a series starts is decided over its whole history, from
     the narrow columns and with one row per pair as result. Running it twice with the same delta gives
-    the same store. Replacement is per partition, not one transaction over all of them.
+    the same store. Replacement is per partition, not one transaction over all of them. A store that
+    does not exist yet is created.
     """
+    if not store_exists(spark, path):
+        write_prices(delta, path)
+        return
     delta = materialise(
         delta.withColumn("coin_id", sanitise_id(F.col("coin_id")))
         .withColumn("quote", F.upper("quote"))
@@ -203,6 +207,16 @@ def merge_into_store(spark: SparkSession, path: str, delta: DataFrame, replace:
     _drop_partitions(spark, path, [r for r in touched if (r["quote"], r["month"]) not in kept])
 
 
+def _hadoop_path(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def store_exists(spark: SparkSession, path: str) -> bool:
+    files, target = _hadoop_path(spark, path)
+    return files.exists(target)
+
+
 def _partitions(rows: DataFrame, wanted: list) -> DataFrame:
     """Rows of the wanted (quote, month) partitions."""
     by_quote: dict[str, list[str]] = {}
@@ -216,7 +230,6 @@ def _partitions(rows: DataFrame, wanted: list) -> DataFrame:
 
 def _drop_partitions(spark: SparkSession, path: str, emptied: list) -> None:
     """Remove partitions whose last rows were trimmed; overwriting by partition leaves them in place."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
     for row in emptied:
-        target = hadoop.Path(f"{path}/quote={row['quote']}/month={row['month']}")
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        files, target = _hadoop_path(spark, f"{path}/quote={row['quote']}/month={row['month']}")
+        files.delete(target, True)

@@ -45,7 +45,7 @@ def deliver_landing(
     start: date = HISTORY_FLOOR,
     files_per_batch: int = 10_000,
 ) -> StreamingQuery:
-    """Merge every landing file that was not merged yet into an existing store, then stop."""
+    """Merge every landing file that was not merged yet into the store, then stop."""
 
     def merge(batch: DataFrame, _: int) -> None:
         merge_pages(batch.sparkSession, batch, store, start)
