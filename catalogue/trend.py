@@ -112,11 +112,13 @@ def _late(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "p04_backfill",
-    f"WITH {_SQL_STRICT}, {_SQL_BACKFILL} SELECT coin_id, date, round(price, 4) AS price, is_backfilled FROM filled",
+    f"WITH {_SQL_STRICT}, {_SQL_BACKFILL} SELECT coin_id, date, "
+    "CASE WHEN is_backfilled THEN round(price, 4) ELSE price END AS price, is_backfilled FROM filled",
 )
 def p04_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tr.backfill(_late(spark, sf_dir), _stored_index(spark, sf_dir), _CUTOFF)
-    return rows.withColumn("price", F.round("price", 4))
+    shown = F.when(F.col("is_backfilled"), F.round("price", 4)).otherwise(F.col("price"))
+    return rows.withColumn("price", shown)
 
 
 @query(
