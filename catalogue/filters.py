@@ -112,6 +112,28 @@ def f08_index_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cl.index_rows(rows, PART_RULES)
 
 
+_SQL_SERIES = """SELECT replace(lower(p_name), ' ', '-') AS id, CAST(l_shipdate AS DATE) AS date,
+    CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) AS volume_to
+    FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL"""
+
+
+@query(
+    "f08_index_prices",
+    f"""SELECT id AS coin_id, date, volume_to
+    FROM ({_sql_flags(_SQL_SERIES, name="''", symbol="lower(id)")}) WHERE {_EXCLUDE} IS NULL""",
+)
+def f08_index_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Series of many rows per entity; the rules run once per entity."""
+    named = parts(spark, sf_dir).select(F.col("p_partkey").alias("l_partkey"), F.col("id").alias("coin_id"))
+    series = (
+        table(spark, sf_dir, "lineitem")
+        .join(named, "l_partkey")
+        .groupBy("coin_id", F.to_date("l_shipdate").alias("date"))
+        .agg(F.sum(F.col("l_quantity").cast("bigint")).cast("double").alias("volume_to"))
+    )
+    return cl.index_prices(series, PART_RULES)
+
+
 @query("f09_reasons", f"SELECT reason, count(*) AS n FROM ({SQL_CLASSIFIED}) WHERE reason IS NOT NULL GROUP BY reason")
 def f09_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cl.reason_counts(cl.skipped(classified_parts(spark, sf_dir)))

@@ -159,6 +159,22 @@ def test_index_filter_on_records_and_on_bare_ids(workflow, plan_of):
     assert "Exchange" not in plan and "Python" not in plan
 
 
+def test_rules_run_once_per_entity_and_share_the_shuffle(spark, plan_of):
+    from tidemark.operators.index import weighted_index
+
+    coins = ["eth", "wbtc", "usdt", "sol", "ada", "aethx", "sui"]
+    rows = [(c, date(2024, 1, n), 1.0, 5.0) for c in coins for n in range(1, 5)]
+    prices = spark.createDataFrame(rows, "coin_id string, date date, close double, volume_to double")
+    kept = cl.index_prices(prices)
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, cl.index_rows(prices).collect()))
+    assert {r["coin_id"] for r in cl.index_ids(prices).collect()} == {"eth", "sol", "ada", "sui"}
+    plan = plan_of(weighted_index(cl.index_prices(prices), 3, 2))
+    # prices by entity, ids by entity, ranks by date
+    assert plan.count("Exchange") == 3 and "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    # The patterns run above the grouping and nowhere else.
+    assert plan.count("RLIKE") == plan.split("HashAggregate(keys=[coin_id")[-3].count("RLIKE") > 0
+
+
 def test_history_filters_and_append(spark):
     prices = spark.createDataFrame(
         [("a", date(2024, 1, 9)), ("b", date(2024, 1, 10)), ("b", date(2024, 2, 1))], "coin_id string, date date"

@@ -77,25 +77,28 @@ def is_base_derivative(
     return ~is_allowed(coin_id, symbol, rules) & _derivative(coin_id, name, symbol, rules)
 
 
-def skip_reason(coin_id: Column, name: Column, symbol: Column, rules: RuleSet = DEFAULT_RULES) -> Column:
-    """Why an entity is not downloaded; NULL keeps it. The base asset itself is kept."""
+def _first_reason(coin_id: Column, name: Column, symbol: Column, rules: RuleSet, base_too: bool) -> Column:
+    """The first rule that applies, in the order in which they are decided."""
+    chain = F.when(is_allowed(coin_id, symbol, rules), F.lit(None).cast("string"))
+    if base_too:
+        chain = chain.when(_base(coin_id, symbol, rules), F.lit(rules.base_reason))
     return (
-        F.when(is_allowed(coin_id, symbol, rules), F.lit(None).cast("string"))
-        .when(_stable(coin_id, symbol, rules), F.lit(rules.stable_reason))
+        chain.when(_stable(coin_id, symbol, rules), F.lit(rules.stable_reason))
         .when(_wrapped(coin_id, name, rules), F.lit(rules.wrapped_reason))
         .when(_derivative(coin_id, name, symbol, rules), F.lit(rules.derivative_reason))
     )
 
 
+def skip_reason(coin_id: Column, name: Column, symbol: Column, rules: RuleSet = DEFAULT_RULES) -> Column:
+    """Why an entity is not downloaded; NULL keeps it. The base asset itself is kept."""
+    return _first_reason(coin_id, name, symbol, rules, base_too=False)
+
+
 def exclusion_reason(
     coin_id: Column, name: Column, symbol: Column, rules: RuleSet = DEFAULT_RULES
 ) -> Column:
     """Why an entity is not in the index; NULL keeps it. The allow-list is tested before the base asset."""
-    return F.when(is_allowed(coin_id, symbol, rules), F.lit(None).cast("string")).otherwise(
-        F.when(_base(coin_id, symbol, rules), F.lit(rules.base_reason)).otherwise(
-            skip_reason(coin_id, name, symbol, rules)
-        )
-    )
+    return _first_reason(coin_id, name, symbol, rules, base_too=True)
 
 
 def classify(
@@ -144,13 +147,41 @@ def index_entities(entities: DataFrame, rules: RuleSet = DEFAULT_RULES, **column
     return accepted(classify(entities, rules, "index", **columns))
 
 
-def index_rows(prices: DataFrame, rules: RuleSet = DEFAULT_RULES, id_col: str = "coin_id") -> DataFrame:
-    """Price rows whose bare id may enter the index: the name is empty and the symbol is the id.
+def index_rows(rows: DataFrame, rules: RuleSet = DEFAULT_RULES, id_col: str = "coin_id") -> DataFrame:
+    """Rows whose bare id may enter the index: the name is empty and the symbol is the id.
 
-    A plain row filter. It is pushed to the scan stage, so excluded entities are never shuffled.
+    A plain row filter, for tables with one or few rows per entity.
     """
     coin = F.col(id_col)
-    return prices.filter(exclusion_reason(coin, F.lit(""), F.upper(coin), rules).isNull())
+    return rows.filter(exclusion_reason(coin, F.lit(""), F.upper(coin), rules).isNull())
+
+
+def index_ids(prices: DataFrame, rules: RuleSet = DEFAULT_RULES, id_col: str = "coin_id") -> DataFrame:
+    """Distinct ids of a series table that may enter the index.
+
+    The test mentions the row count, which is always positive: otherwise the optimizer would move it below
+    the grouping, and through a semi-join to the prices, and run the patterns on every row after all.
+    """
+    coin = F.col(id_col)
+    reason = exclusion_reason(coin, F.lit(""), F.upper(coin), rules)
+    return (
+        prices.groupBy(id_col)
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .filter(F.when(F.col("_rows") > 0, reason).isNull())
+        .select(id_col)
+    )
+
+
+def index_prices(prices: DataFrame, rules: RuleSet = DEFAULT_RULES, id_col: str = "coin_id") -> DataFrame:
+    """Series that may enter the index: like ``index_rows``, but the rules run once per entity.
+
+    The patterns cost more than everything else that happens to a price row. The ids come from a scan of
+    one column with map-side distinct; the semi-join has the key of the windows that follow, so the prices
+    are shuffled once for both. A hash join needs no sort of them, and its table holds only the ids of one
+    partition.
+    """
+    ids = index_ids(prices, rules, id_col).hint("shuffle_hash")
+    return prices.join(ids, id_col, "left_semi")
 
 
 def reason_counts(skipped_rows: DataFrame) -> DataFrame:

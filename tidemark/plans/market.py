@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.operators import report
-from tidemark.operators.classify import index_rows
+from tidemark.operators.classify import index_ids, index_prices
 from tidemark.operators.cycles import (
     DEFAULT_CYCLES,
     Cycle,
@@ -31,10 +31,9 @@ def eligible_prices(prices: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFr
     """Rows that may enter the index; raises when there are no prices, or none that may."""
     if prices.isEmpty():
         raise NoDataError("No cached price data found")
-    rows = index_rows(prices, rules)
-    if rows.isEmpty():
+    if index_ids(prices, rules).isEmpty():
         raise NoDataError("No eligible coins found")
-    return rows
+    return index_prices(prices, rules)
 
 
 def build_index(
