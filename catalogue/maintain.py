@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalogue.registry import query
-from catalogue.views import SQL_EV, SQL_EVQ, events_daily, events_daily_by_type, sql_events, table
+from catalogue.views import SQL_EVQ, events_daily, events_daily_by_type, sql_events, table
 from tidemark.operators import maintain as mt
 
 _OUT = "coin_id, quote, date, close, volume_to"

@@ -14,7 +14,7 @@ from catalogue.cycles import WINDOW as SHIP_WINDOW
 from catalogue.filters import SQL_CLASSIFIED, classified_parts
 from catalogue.index import tidy_composition, tidy_index
 from catalogue.registry import query
-from catalogue.views import SQL_EVQ, SQL_PRT, events_daily_by_type, parts, shipping_daily, table
+from catalogue.views import SQL_EVQ, events_daily_by_type, shipping_daily, table
 from tidemark.functions import pair_name_fields, sanitise_id
 from tidemark.operators import maintain as mt
 from tidemark.operators.classify import accepted, skipped

@@ -4,36 +4,41 @@ from __future__ import annotations
 
 from datetime import date, datetime, timezone
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import DataStreamReader
 
 from tidemark.functions import unix_date
 from tidemark.params import HISTORY_FLOOR, RANKING_QUOTE, UNIVERSE_SIZE
 from tidemark.schema import HISTORY_PAGE, RANKING_PAGE, SYMBOL_DICTIONARY, SYMBOL_INFO
 
 # Landing file names: eth-btc-0003.json is page 3 of the history of eth in btc, ranking-0002.json page 2
-HISTORY_NAME = r"^(.+)-([^-]+)-(\d+)\.json$"
+_HISTORY_NAME = r"^(.+)-([^-]+)-(\d+)\.json$"
 _PAGE_NAME = r"(\d+)\.json$"
 
 
-def read_history_pages(spark: SparkSession, path: str) -> DataFrame:
-    """History pages with ``coin_id, quote, page`` taken from the file name."""
+def history_pages(reader: DataFrameReader | DataStreamReader, path: str) -> DataFrame:
+    """History pages with ``coin_id, quote, page`` taken from the file name, read in batch or as a stream."""
     name = F.col("_metadata.file_name")
     return (
-        spark.read.schema(HISTORY_PAGE)
+        reader.schema(HISTORY_PAGE)
         .option("multiLine", True)
         .option("pathGlobFilter", "*.json")
         .json(path)
         .select(
-            F.regexp_extract(name, HISTORY_NAME, 1).alias("coin_id"),
-            F.upper(F.regexp_extract(name, HISTORY_NAME, 2)).alias("quote"),
-            F.regexp_extract(name, HISTORY_NAME, 3).cast("int").alias("page"),
+            F.regexp_extract(name, _HISTORY_NAME, 1).alias("coin_id"),
+            F.upper(F.regexp_extract(name, _HISTORY_NAME, 2)).alias("quote"),
+            F.regexp_extract(name, _HISTORY_NAME, 3).cast("int").alias("page"),
             "*",
         )
     )
 
 
+def read_history_pages(spark: SparkSession, path: str) -> DataFrame:
+    return history_pages(spark.read, path)
+
+
 def parse_history_pages(raw: DataFrame, payload: str = "payload") -> DataFrame:
     """The same from a text column; other columns are kept."""
     others = [c for c in raw.columns if c != payload]

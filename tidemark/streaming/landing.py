@@ -10,31 +10,16 @@ from __future__ import annotations
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.params import HISTORY_FLOOR
 from tidemark.plans.history import merge_pages
-from tidemark.schema import HISTORY_PAGE
 from tidemark.session import shared_folder
-from tidemark.sources.payloads import HISTORY_NAME
+from tidemark.sources.payloads import history_pages
 
 
 def stream_history_pages(spark: SparkSession, landing: str, files_per_batch: int = 10_000) -> DataFrame:
-    name = F.col("_metadata.file_name")
-    return (
-        spark.readStream.schema(HISTORY_PAGE)
-        .option("multiLine", True)
-        .option("pathGlobFilter", "*.json")
-        .option("maxFilesPerTrigger", files_per_batch)
-        .json(landing)
-        .select(
-            F.regexp_extract(name, HISTORY_NAME, 1).alias("coin_id"),
-            F.upper(F.regexp_extract(name, HISTORY_NAME, 2)).alias("quote"),
-            F.regexp_extract(name, HISTORY_NAME, 3).cast("int").alias("page"),
-            "*",
-        )
-    )
+    return history_pages(spark.readStream.option("maxFilesPerTrigger", files_per_batch), landing)
 
 
 def deliver_landing(
