@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, licences, sharding
+from tidemark.llm import bpe, licences, one_bit, sharding, voronoi
 from tidemark.llm.common import table
 
 
+def op1_one_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return one_bit.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.round_trip(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -18,9 +23,16 @@ def op7_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_voronoi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voronoi.knn_join(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op6_byte_bpe, op7_histogram_sort, op9_licence_scan)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_one_bit_codes, op6_byte_bpe, op7_histogram_sort, op8_voronoi_join, op9_licence_scan)
+}
 ORACLES: dict[str, str] = {}
