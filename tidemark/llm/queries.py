@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, licences, one_bit, sharding, voronoi
+from tidemark.llm import bpe, licences, one_bit, sharding, simhash, voronoi
 from tidemark.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_one_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one_bit.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op4_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.round_trip(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -33,6 +37,6 @@ def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_one_bit_codes, op6_byte_bpe, op7_histogram_sort, op8_voronoi_join, op9_licence_scan)
+    for f in (op1_one_bit_codes, op4_simhash_balls, op6_byte_bpe, op7_histogram_sort, op8_voronoi_join, op9_licence_scan)
 }
 ORACLES: dict[str, str] = {}
