@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, licences, one_bit, sharding, simhash, voronoi
+from tidemark.llm import bpe, licences, one_bit, ordinal, sharding, simhash, voronoi
 from tidemark.llm.common import table
 
 
@@ -18,6 +18,11 @@ def op4_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return ordinal.score_toxicity(docs, ordinal.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.round_trip(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -37,6 +42,14 @@ def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_one_bit_codes, op4_simhash_balls, op6_byte_bpe, op7_histogram_sort, op8_voronoi_join, op9_licence_scan)
+    for f in (
+        op1_one_bit_codes,
+        op4_simhash_balls,
+        op5_ordinal_toxicity,
+        op6_byte_bpe,
+        op7_histogram_sort,
+        op8_voronoi_join,
+        op9_licence_scan,
+    )
 }
 ORACLES: dict[str, str] = {}
