@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, licences, one_bit, ordinal, sharding, simhash, suffixes, voronoi
+from tidemark.llm import bpe, licences, one_bit, ordinal, packing, sharding, simhash, suffixes, voronoi
 from tidemark.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_one_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one_bit.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op2_differencing_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_one_bit_codes,
+        op2_differencing_packing,
         op3_suffix_dedup,
         op4_simhash_balls,
         op5_ordinal_toxicity,
