@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, licences, one_bit, ordinal, packing, sharding, simhash, suffixes, voronoi
+from tidemark.llm import bpe, katz, licences, one_bit, ordinal, packing, sharding, simhash, suffixes, voronoi
 from tidemark.llm.common import table
 
 
@@ -48,6 +48,10 @@ def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(table(spark, sf_dir, "documents"))
 
 
+def op10_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -60,6 +64,7 @@ QUERIES = {
         op7_histogram_sort,
         op8_voronoi_join,
         op9_licence_scan,
+        op10_katz_scores,
     )
 }
 ORACLES: dict[str, str] = {}
