@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import id_and_text, id_text_pairs, ship
@@ -182,3 +182,21 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return hashed.join(named.select("value", "component_id"), "value").select(
         "doc_id", F.lower(F.lpad(F.hex("value"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``docs`` with one document of each near-duplicate group: the one of least id. All columns stay.
+
+    Of rows that share an id one stays, the first by hash of the text. Rows with a NULL id cannot be named as
+    members of a group; of those with equal texts one stays.
+    """
+    groups = near_duplicates(docs.filter(F.col("doc_id").isNotNull()), radius).select("doc_id", "component_id")
+    groups = materialise(groups, "groups")
+    # Those that go are far fewer than those that stay, so the smaller list is joined.
+    gone = groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    named = docs.filter(F.col("doc_id").isNotNull()).join(gone, "doc_id", "left_anti").select(*docs.columns)
+    if not groups.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
+        marker = "_row_of_id"
+        named = named.withColumn(marker, F.row_number().over(first)).filter(F.col(marker) == 1).drop(marker)
+    return named.unionByName(docs.filter(F.col("doc_id").isNull()).dropDuplicates(["text"]))
