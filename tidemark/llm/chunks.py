@@ -53,7 +53,7 @@ def batch_bytes(batch: pa.RecordBatch) -> bytes:
 
 def read_batch(data: bytes) -> pa.RecordBatch:
     with pa.ipc.open_stream(data) as reader:
-        return pa.Table.from_batches(reader, reader.schema).combine_chunks().to_batches()[0]
+        return reader.read_next_batch()
 
 
 def _cut(batches: Iterator[pa.RecordBatch], text_at: int, chunk_bytes: int) -> Iterator[pa.RecordBatch]:
