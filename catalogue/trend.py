@@ -23,7 +23,8 @@ def _sql_trend(series: str, start: date, points: int) -> str:
     SELECT coin_id, regr_slope(y, x) AS a, regr_intercept(y, x) AS b, regr_r2(y, x) AS r2, count(*) AS n_points
     FROM (SELECT coin_id, date, datediff('day', DATE '{start}', date)::DOUBLE AS x,
             close / first_value(close) OVER (PARTITION BY coin_id ORDER BY date) AS y
-          FROM ({series}) WHERE date >= DATE '{start}')
+          FROM ({series}))
+    WHERE date >= DATE '{start}'
     GROUP BY coin_id HAVING count(*) >= {points}"""
 
 
@@ -149,9 +150,9 @@ def p06_half_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     "p07_fit",
     f"""
     WITH t AS ({_sql_trend(SQL_LIN, START, MIN_POINTS)}),
-    y AS (SELECT coin_id, date, datediff('day', DATE '{START}', date)::DOUBLE AS x,
+    y AS (SELECT * FROM (SELECT coin_id, date, datediff('day', DATE '{START}', date)::DOUBLE AS x,
             close / first_value(close) OVER (PARTITION BY coin_id ORDER BY date) AS y
-          FROM ({SQL_LIN}) WHERE date >= DATE '{START}')
+          FROM ({SQL_LIN})) WHERE date >= DATE '{START}')
     {sql_slice("SELECT y.coin_id, y.date, y.y, t.a * y.x + t.b AS fitted FROM y JOIN t USING (coin_id)",
                "x.coin_id, x.date, round(x.y, 7) AS y, round(x.fitted, 7) AS fitted")} WHERE c.cycle = {_LAST}""",
 )

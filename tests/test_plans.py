@@ -123,6 +123,8 @@ def test_errors(spark, tmp_path):
         market.build_index(spark, store)
     with pytest.raises(market.NoDataError, match="No cached price data"):
         market.build_index(spark, store, quote="USD")
-    prices.write_prices(rows(spark, ["eth", "sol", "ada"], 3), store)
+    with pytest.raises(FileExistsError):
+        prices.write_prices(rows(spark, ["eth", "sol", "ada"], 3), store)
+    prices.merge_into_store(spark, store, rows(spark, ["eth", "sol", "ada"], 3))
     with pytest.raises(market.NoDataError, match="Could not calculate"):
         market.build_index(spark, store, window=60)

@@ -12,6 +12,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import sanitise_id
 from tidemark.params import (
     DEFAULT_RULES,
     ENTITY_PAGE,
@@ -208,18 +209,18 @@ def with_history_before(
     """Entities with at least one price before ``cutoff``; entities without prices are dropped.
 
     ``min(date) < cutoff`` holds exactly when some row is before ``cutoff``, so the date test reaches
-    the scan and only the ids of early rows are read.
+    the scan and only the ids of early rows are read. Series are looked up by the safe form of the id.
     """
-    early = prices.filter(F.col("date") < F.lit(cutoff)).select(F.col("coin_id").alias(id_col)).distinct()
-    return entities.join(early, id_col, "left_semi")
+    early = prices.filter(F.col("date") < F.lit(cutoff)).select(F.col("coin_id").alias("_stored")).distinct()
+    return entities.join(early, sanitise_id(F.col(id_col)) == F.col("_stored"), "left_semi")
 
 
 def without_history_before(
     entities: DataFrame, prices: DataFrame, cutoff: date = MIN_HISTORY_DATE, id_col: str = "id"
 ) -> DataFrame:
     """The complement: recent entities, including those without any price."""
-    early = prices.filter(F.col("date") < F.lit(cutoff)).select(F.col("coin_id").alias(id_col)).distinct()
-    return entities.join(early, id_col, "left_anti")
+    early = prices.filter(F.col("date") < F.lit(cutoff)).select(F.col("coin_id").alias("_stored")).distinct()
+    return entities.join(early, sanitise_id(F.col(id_col)) == F.col("_stored"), "left_anti")
 
 
 def append_short_history(
@@ -235,7 +236,11 @@ def append_short_history(
     short = REASON_SHORT_HISTORY.split("{}")
     fresh = (
         recent.join(known, F.lower(F.col(id_col)) == F.col("_known"), "left_anti")
-        .join(_first_dates(prices).withColumnRenamed("coin_id", id_col), id_col, "left")
+        .join(
+            _first_dates(prices).withColumnRenamed("coin_id", "_stored"),
+            sanitise_id(F.col(id_col)) == F.col("_stored"),
+            "left",
+        )
         .select(
             F.col(id_col).alias("coin_id"),
             F.coalesce(F.col("name"), symbol).alias("name"),

@@ -14,7 +14,7 @@ from datetime import date, timedelta
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import cycle_label
+from tidemark.functions import clean_double, cycle_label
 from tidemark.params import ANCHORS, DAYS_AFTER, DAYS_BEFORE, SUMMARY_TOP_N
 
 
@@ -85,7 +85,7 @@ def normalise_at_anchor(
     after = F.when(F.col("days_from_anchor") >= 0, F.col(date_col))
     return (
         sliced.withColumn("anchor_value", F.min_by(F.col(value), after).over(group))
-        .filter(F.col("anchor_value") > 0)
+        .filter(clean_double(F.col("anchor_value")) > 0)
         .withColumn(out, F.col(value) / F.col("anchor_value"))
     )
 

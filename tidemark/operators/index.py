@@ -35,13 +35,16 @@ def ranked_members(
     end: date | None = None,
     columns: Columns = DEFAULT_COLUMNS,
     price_mask: str = "reference",
+    first_volume: DataFrame | None = None,
 ) -> DataFrame:
     """Members of the index per date: ``date, rank, coin_id, volume, price``; at most ``top_n`` per date.
 
     ``volume`` is the trailing mean. ``price_mask`` "reference" lets an entity rank on the last day of
     its warm-up, where its volume counts but its price is NULL; "strict" ranks only priced entities.
     ``start`` and ``end`` bound the dates returned; smoothing still sees the days before ``start``. With
-    a ``start`` only that many days are read in full, so a daily run does not sort the whole history.
+    a ``start`` only that many days are read in full, so a daily run does not sort the whole history; the
+    days of the first volumes come from the narrow columns of all of it, or from ``first_volume`` (entity and
+    ``_first``, a day number) where the caller knows them.
     """
     if price_mask not in PRICE_MASKS:
         raise ValueError(f"price_mask must be one of {PRICE_MASKS}")
@@ -52,7 +55,12 @@ def ranked_members(
     if start:
         recent = source.filter(day >= F.lit(start - timedelta(days=window - 1)))
         smoothed = smooth_and_mask(
-            recent, window, columns, "volume", "price", first_volume_days(source, columns)
+            recent,
+            window,
+            columns,
+            "volume",
+            "price",
+            first_volume_days(source, columns) if first_volume is None else first_volume,
         ).filter(day >= F.lit(start))
     else:
         smoothed = smooth_and_mask(source, window, columns, "volume", "price")
@@ -153,9 +161,12 @@ def single_day_index(
     return index_from_members(single_day_members(prices, day, top_n, columns), min_members=1)
 
 
-def index_stats(index: DataFrame, prices: DataFrame, columns: Columns = DEFAULT_COLUMNS) -> DataFrame:
-    """One row: entities processed, first and last valid date, days, mean member count."""
-    entities = prices.select(F.count_distinct(columns.entity)).scalar()
+def index_stats(index: DataFrame, entities: DataFrame, columns: Columns = DEFAULT_COLUMNS) -> DataFrame:
+    """One row: entities processed, first and last valid date, days, mean member count.
+
+    ``entities`` are the prices, or any shorter table with the same entities.
+    """
+    entities = entities.select(F.count_distinct(columns.entity)).scalar()
     return index.agg(
         F.min("date").alias("first_date"),
         F.max("date").alias("last_date"),
@@ -169,19 +180,25 @@ def latest(index: DataFrame, k: int = 5) -> DataFrame:
     return index.orderBy(F.col("date").desc()).limit(k)
 
 
-def coverage(prices: DataFrame, columns: Columns = DEFAULT_COLUMNS) -> DataFrame:
-    """First date, last date and number of days per entity."""
-    return (
-        prices.groupBy(F.col(columns.entity).alias("coin_id"))
-        .agg(
-            F.min(columns.date).alias("start_date"),
-            F.max(columns.date).alias("end_date"),
-            F.count(F.lit(1)).alias("days"),
-        )
+def coverage(prices: DataFrame, columns: Columns = DEFAULT_COLUMNS, quote: str | None = None) -> DataFrame:
+    """First date, last date and number of days per entity, of one quote or, where there are several, of each.
+
+    Prices with a ``quote`` column are grouped by it too, unless ``quote`` names the one that counts.
+    """
+    keys = [F.col(columns.entity).alias("coin_id")]
+    if quote:
+        prices = prices.filter(F.upper("quote") == quote.upper())
+    elif "quote" in prices.columns:
+        keys.append(F.upper("quote").alias("quote"))
+    return prices.groupBy(*keys).agg(
+        F.min(columns.date).alias("start_date"),
+        F.max(columns.date).alias("end_date"),
+        F.count(F.lit(1)).alias("days"),
     )
 
 
-def _between(column: Column, start: date | None, end: date | None) -> Column:
+def within(column: Column, start: date | None, end: date | None) -> Column:
+    """Test for a range of dates, both ends included; a missing end is open."""
     test = F.lit(True)
     if start:
         test = test & (column >= F.lit(start))
@@ -192,7 +209,7 @@ def _between(column: Column, start: date | None, end: date | None) -> Column:
 
 def in_range(rows: DataFrame, start: date | None = None, end: date | None = None) -> DataFrame:
     """Rows of a date range, both ends included."""
-    return rows.filter(_between(F.col("date"), start, end))
+    return rows.filter(within(F.col("date"), start, end))
 
 
 def composition_at(members: DataFrame, day: date) -> DataFrame:
@@ -207,7 +224,7 @@ def entity_history(members: DataFrame, coin_id: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class IndexResult:
-    """Index, composition and run statistics; all lazy."""
+    """Index, composition and run statistics. Reading them runs jobs; what ``share`` wrote is not computed again."""
 
     index: DataFrame
     composition: DataFrame
@@ -223,14 +240,18 @@ def compute_index(
     columns: Columns = DEFAULT_COLUMNS,
     price_mask: str = "reference",
     share: bool = True,
+    first_volume: DataFrame | None = None,
+    entities: DataFrame | None = None,
 ) -> IndexResult:
     """Index and composition from one ranking.
 
-    With ``share`` the ranked members (at most top_n rows per date) are written once to the shared
-    folder, so the expensive stages run once for both outputs and survive executor loss.
+    With ``share`` this call itself runs the ranking: the ranked members (at most top_n rows per date) are
+    written once to the shared folder, so the expensive stages run once for both outputs and survive executor
+    loss. Without it nothing runs before a result is read. ``first_volume`` is as in ``ranked_members``;
+    ``entities``, a table of the ids in ``prices``, spares the statistics a scan of them.
     """
-    members = ranked_members(prices, top_n, window, start, end, columns, price_mask)
+    members = ranked_members(prices, top_n, window, start, end, columns, price_mask, first_volume)
     if share:
         members = materialise(members, "members")
     index = index_from_members(members)
-    return IndexResult(index, composition_from_members(members), index_stats(index, prices, columns))
+    return IndexResult(index, composition_from_members(members), index_stats(index, prices if entities is None else entities, columns))

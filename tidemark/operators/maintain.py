@@ -13,6 +13,7 @@ from datetime import date, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import clean_double, sanitise_id
 from tidemark.params import ANCHORS, DAYS_BEFORE, DEFAULT_QUOTE, QUOTES
 
 PAIR = ("coin_id", "quote")
@@ -45,7 +46,8 @@ def migrate_legacy(store: DataFrame, legacy: DataFrame, quote: str = DEFAULT_QUO
 
 def trim_leading(prices: DataFrame, keys: Sequence[str] = PAIR, close_col: str = "close") -> DataFrame:
     """Drop rows before the first positive close of a series; a series without one stays whole."""
-    first = F.min(F.when(F.col(close_col) > 0, F.col("date"))).over(Window.partitionBy(*keys))
+    positive = clean_double(F.col(close_col)) > 0  # NaN would count as larger than 0
+    first = F.min(F.when(positive, F.col("date"))).over(Window.partitionBy(*keys))
     return (
         prices.withColumn("_first", first)
         .filter(F.col("_first").isNull() | (F.col("date") >= F.col("_first")))
@@ -94,7 +96,7 @@ def refresh(
     series = Window.partitionBy(*keys).orderBy("date", "_new")
     whole = series.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     newest = ~F.lead("date").over(series).eqNullSafe(F.col("date"))
-    positive = F.when(F.col("_newest") & (F.col(close_col) > 0), F.col("date"))
+    positive = F.when(F.col("_newest") & (clean_double(F.col(close_col)) > 0), F.col("date"))
     return (
         both.withColumn("_newest", newest)
         .withColumn("_first", F.min(positive).over(whole))
@@ -104,8 +106,13 @@ def refresh(
 
 
 def dedup_pages(records: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
-    """Keep the first record per key in the order pages were fetched."""
-    return keep_one(records, keys, [F.col("page"), F.col("pos")])
+    """One record per key: of the newest fetch, and within it the first in the order of its pages.
+
+    ``fetch`` and ``fetched`` (columns of the landing reader) tell fetches apart; without them all pages
+    are of one fetch.
+    """
+    newest = [F.col(c).desc_nulls_last() for c in ("fetch", "fetched") if c in records.columns]
+    return keep_one(records, keys, [*newest, F.col("page"), F.col("pos")])
 
 
 def last_dates(prices: DataFrame) -> DataFrame:
@@ -126,7 +133,8 @@ def fetch_plan(
     """What an external downloader has to fetch: one row per entity and quote.
 
     ``mode`` is "full" (nothing stored, or refresh forced), "incremental", or "current" (nothing to do,
-    ``start_date`` NULL). The quotes are a short parameter list and are exploded, not joined.
+    ``start_date`` NULL). The quotes are a short parameter list and are exploded, not joined. Series are
+    looked up by the safe form of the id, as they are stored; the list keeps the entity's own id.
     """
     end = as_of - timedelta(days=1)
     end = min(end, cap) if cap else end
@@ -140,7 +148,8 @@ def fetch_plan(
     full = F.lit(not (incremental and use_cache)) | seen.isNull()
     mode = F.when(full, "full").when(seen >= F.lit(end), "current").otherwise("incremental")
     return (
-        pairs.join(last, list(PAIR), "left")
+        pairs.withColumn("_stored", sanitise_id(F.col("coin_id")))
+        .join(last.withColumnRenamed("coin_id", "_stored"), ["_stored", "quote"], "left")
         .withColumn("mode", mode)
         .select(
             "coin_id",

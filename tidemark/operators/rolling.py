@@ -176,13 +176,14 @@ def top_per_date(
     """The ``n`` rows with the largest ``by`` per date; ties go to the smaller entity id.
 
     ``row_number() <= n`` becomes a group limit that runs before the shuffle, so a date sends at most
-    ``n`` rows per task however many entities it has. Spark does that up to a threshold on ``n``; beyond
-    it the same reduction is made explicitly by ranking within ``presplit`` slices of a date first.
+    ``n`` rows per task however many entities it has. Spark does that for ``n`` below a threshold. For all other ``n``,
+    or where the threshold is switched off, the rows of a date are ranked in ``presplit`` slices first, so that no
+    task ever sorts all entities of a date. The rows are the same either way.
     """
     order = [F.col(by).desc(), F.col(columns.entity)]
     kept = rows.filter(F.col(by).isNotNull())
-    threshold = int(rows.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
-    if n >= threshold > -1:
+    limited_by_spark = n < int(rows.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    if not limited_by_spark:
         piece = F.pmod(F.xxhash64(columns.entity), F.lit(presplit))
         local = Window.partitionBy(columns.date, piece).orderBy(*order)
         kept = kept.withColumn(rank, F.row_number().over(local)).filter(F.col(rank) <= n).drop(rank)

@@ -8,17 +8,32 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import half_month_start
+from tidemark.functions import clean_double, half_month_start
 from tidemark.operators.cycles import DEFAULT_CYCLES, Cycle, cycle_slice, normalise_at_anchor
 from tidemark.params import MIN_HISTORY_DATE, SUMMARY_TOP_N, TREND_MIN_POINTS, TREND_START
 
 
-def _trend_rows(prices: DataFrame, start: date, as_of: date | None, value: str) -> DataFrame:
+BASES = ("series", "window")
+
+
+def _trend_parts(
+    prices: DataFrame, start: date, as_of: date | None, value: str, base: str
+) -> tuple[DataFrame, Column, Column, Column]:
+    """Rows, and the expressions x, y and base value of a fit over [start, as_of].
+
+    Base "series" needs the first price of the whole series, so all rows stay and those outside the window
+    have a NULL ``x``, which the regressions skip; for base "window" they are not read.
+    """
+    if base not in BASES:
+        raise ValueError(f"base must be one of {BASES}")
     day = F.col("date")
     window = day >= F.lit(start) if as_of is None else day.between(F.lit(start), F.lit(as_of))
-    return prices.filter(window & F.col(value).isNotNull()).select(
-        "coin_id", "date", value, F.datediff(day, F.lit(start)).cast("double").alias("x")
-    )
+    rows = prices.select("coin_id", "date", clean_double(F.col(value)).alias(value)).filter(F.col(value).isNotNull())
+    if base == "window":
+        rows = rows.filter(window)
+    rows = rows.withColumn("x", F.when(window, F.datediff(day, F.lit(start)).cast("double")))
+    y = F.col(value)
+    return rows, F.col("x"), y, F.nullif(F.min_by(y, day), F.lit(0.0))
 
 
 def linear_trend(
@@ -27,21 +42,21 @@ def linear_trend(
     as_of: date | None = None,
     min_points: int = TREND_MIN_POINTS,
     value: str = "close",
+    base: str = "series",
 ) -> DataFrame:
     """Least squares ``y = a * x + b`` per entity over [start, as_of]; x = days since start.
 
-    ``y`` is the price relative to the entity's first price in the window. Slope and intercept are
-    linear in y, so they are fitted on the raw price and divided by that first price: one aggregate
-    with map-side combine, no second pass. Entities with fewer than ``min_points`` are dropped.
+    ``y`` is the price relative to the first price of the series as it is given, so that a series which was
+    backfilled starts at 1.0 before the fit; with base "window", to the first price inside the window. Slope
+    and intercept are linear in y, so they are fitted on the raw price and divided by that first price: one
+    aggregate with map-side combine, no second pass. Entities with fewer than ``min_points`` are dropped.
     """
-    y, x = F.col(value), F.col("x")
-    base = F.nullif(F.min_by(y, F.col("date")), F.lit(0.0))
+    rows, x, y, first = _trend_parts(prices, start, as_of, value, base)
     return (
-        _trend_rows(prices, start, as_of, value)
-        .groupBy("coin_id")
+        rows.groupBy("coin_id")
         .agg(
-            (F.regr_slope(y, x) / base).alias("a"),
-            (F.regr_intercept(y, x) / base).alias("b"),
+            (F.regr_slope(y, x) / first).alias("a"),
+            (F.regr_intercept(y, x) / first).alias("b"),
             F.regr_r2(y, x).alias("r2"),
             F.regr_count(y, x).alias("n_points"),
         )
@@ -159,26 +174,22 @@ def fitted_line(
     as_of: date | None = None,
     min_points: int = TREND_MIN_POINTS,
     value: str = "close",
+    base: str = "series",
 ) -> DataFrame:
     """Trend line next to the normalised price on the trend's days inside the last cycle.
 
     The fit is a window over the entity, so the series is read and shuffled once.
     """
     series = Window.partitionBy("coin_id")
-    y, x = F.col(value), F.col("x")
-
-    def over(measure: Column) -> Column:
-        return measure.over(series)
-
-    base = F.nullif(over(F.min_by(y, F.col("date"))), F.lit(0.0))
-    rows = _trend_rows(prices, start, as_of, value).select(
+    rows, x, y, _ = _trend_parts(prices, start, as_of, value, base)
+    rows = rows.select(
         "*",
-        over(F.regr_slope(y, x)).alias("_slope"),
-        over(F.regr_intercept(y, x)).alias("_intercept"),
-        over(F.regr_count(y, x)).alias("_n"),
-        base.alias("_base"),
-    )
-    fitted = rows.filter((F.col("_n") >= min_points) & F.col("_base").isNotNull()).select(
+        F.regr_slope(y, x).over(series).alias("_slope"),
+        F.regr_intercept(y, x).over(series).alias("_intercept"),
+        F.regr_count(y, x).over(series).alias("_n"),
+        F.min_by(y, F.col("date")).over(series).alias("_base"),
+    ).filter(x.isNotNull() & (F.col("_base") != 0))
+    fitted = rows.filter(F.col("_n") >= min_points).select(
         "coin_id",
         "date",
         (y / F.col("_base")).alias("y"),

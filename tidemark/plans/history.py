@@ -5,17 +5,22 @@ from __future__ import annotations
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.operators.maintain import dedup_pages, fetch_plan, last_dates, legacy_to_move
+from tidemark.functions import sanitise_id
+from tidemark.operators.maintain import dedup_pages, fetch_plan, last_dates, legacy_to_move, prefer_pair_rows
 from tidemark.params import HISTORY_FLOOR, QUOTES
 from tidemark.schema import PRICES
+from tidemark.session import materialise
 from tidemark.sources.payloads import failed_pages, history_records, read_history_pages
 from tidemark.sources.prices import (
-    load_pair_files,
+    decode_pair_files,
     merge_into_store,
+    pair_file_rows,
     read_pair_files,
     scan_prices,
-    write_prices,
+    series_state,
+    skipped_pair_files,
 )
 
 
@@ -23,8 +28,11 @@ def plan_fetch(
     spark: SparkSession, entities: DataFrame, store: str | None, as_of: date, quotes=QUOTES, **options
 ) -> DataFrame:
     """Work list for a downloader. Without a store everything is fetched in full."""
-    prices = scan_prices(spark, store) if store else spark.createDataFrame([], PRICES)
-    return fetch_plan(entities, last_dates(prices), as_of, quotes, **options)
+    if store:
+        last = series_state(spark, store).select("coin_id", "quote", "last_date")
+    else:
+        last = last_dates(spark.createDataFrame([], PRICES))
+    return fetch_plan(entities, last, as_of, quotes, **options)
 
 
 def merge_pages(
@@ -51,14 +59,19 @@ def ingest_landing(
     return failed_pages(pages)
 
 
-def import_pair_files(spark: SparkSession, folder: str, store: str) -> None:
-    """Convert a file-per-pair folder into a store; trimmed like any other write."""
-    write_prices(load_pair_files(spark, folder).select(*PRICES.fieldNames()), store)
+def import_pair_files(spark: SparkSession, folder: str, store: str) -> DataFrame:
+    """Bring a file-per-pair folder into a store, trimmed like any other write; returns the files that were skipped.
+
+    In an existing store the series of the folder are replaced and all others stay.
+    """
+    decoded = materialise(decode_pair_files(spark, folder), "pair-files")
+    merge_into_store(spark, store, prefer_pair_rows(pair_file_rows(decoded)), replace=True)
+    return skipped_pair_files(decoded)
 
 
 def migrate_legacy_files(spark: SparkSession, folder: str, store: str) -> None:
     """Add the legacy series of a folder whose entities have no series in the default quote yet."""
     files = read_pair_files(spark, folder)
     legacy = files.filter("is_legacy").drop("is_legacy")
-    added = legacy_to_move(scan_prices(spark, store), legacy)
+    added = legacy_to_move(scan_prices(spark, store), legacy.withColumn("coin_id", sanitise_id(F.col("coin_id"))))
     merge_into_store(spark, store, added.select(*PRICES.fieldNames()))

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark.functions import day_number
 from tidemark.operators import report
-from tidemark.operators.classify import index_ids, index_prices
+from tidemark.operators.classify import index_rows
 from tidemark.operators.cycles import (
     DEFAULT_CYCLES,
     Cycle,
@@ -17,9 +19,10 @@ from tidemark.operators.cycles import (
     index_cycles_dual,
     label_dates,
 )
-from tidemark.operators.index import IndexResult, compute_index
+from tidemark.operators.index import IndexResult, compute_index, in_range
 from tidemark.params import DEFAULT_QUOTE, DEFAULT_RULES, INDEX_TOP_N, VOLUME_WINDOW, RuleSet
-from tidemark.sources.prices import scan_prices
+from tidemark.session import materialise
+from tidemark.sources.prices import scan_prices, series_state
 from tidemark.sources.results import read_composition, read_index, write_result
 
 
@@ -27,13 +30,17 @@ class NoDataError(ValueError):
     """Nothing to compute from."""
 
 
-def eligible_prices(prices: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
-    """Rows that may enter the index; raises when there are no prices, or none that may."""
-    if prices.isEmpty():
+def eligible_series(series: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
+    """``coin_id, first_volume`` of the stored series that may enter the index, written once.
+
+    One row per series, so the rules run once for each; raises when there are no series, or none that may.
+    """
+    if series.isEmpty():
         raise NoDataError("No cached price data found")
-    if index_ids(prices, rules).isEmpty():
+    eligible = materialise(index_rows(series, rules).select("coin_id", "first_volume"), "eligible")
+    if eligible.isEmpty():
         raise NoDataError("No eligible coins found")
-    return index_prices(prices, rules)
+    return eligible
 
 
 def build_index(
@@ -52,21 +59,35 @@ def build_index(
 ) -> IndexResult:
     """Compute the index from the store and, where paths are given, write both results.
 
-    ``entities`` restricts the universe (a short list; longer ones belong in a semi-join before).
+    ``entities`` restricts the universe (a short list; longer ones belong in a semi-join before). With
+    ``start`` or ``end`` only these dates are replaced in the stored results, and only the days that smoothing
+    needs are read from the store: this is the daily run.
     """
-    prices = scan_prices(spark, store, quote)
+    series = series_state(spark, store).filter(F.col("quote") == quote.upper())
     if entities is not None:
-        prices = prices.filter(prices["coin_id"].isin(list(entities)))
+        series = series.filter(F.col("coin_id").isin(list(entities)))
+    eligible = eligible_series(series, rules)
+    # The days before ``start`` that smoothing needs, and no more.
+    prices = scan_prices(spark, store, quote, start - timedelta(days=window - 1) if start else None, end)
     result = compute_index(
-        eligible_prices(prices, rules), top_n, window, start, end, price_mask=price_mask
+        prices.join(eligible.select("coin_id"), "coin_id", "left_semi"),
+        top_n,
+        window,
+        start,
+        end,
+        price_mask=price_mask,
+        first_volume=eligible.select("coin_id", day_number(F.col("first_volume")).alias("_first")),
+        entities=eligible,
     )
     if result.index.isEmpty():
         raise NoDataError("Could not calculate the index for any date")
     if index_path and composition_path:
-        write_result(result, index_path, composition_path)
+        write_result(result, index_path, composition_path, start, end)
         # Hand back what was written instead of a plan that computes it again.
-        stored = read_index(spark, index_path)
-        members = result.composition if result.composition.isEmpty() else read_composition(spark, composition_path)
+        stored = in_range(read_index(spark, index_path), start, end)
+        members = result.composition
+        if not members.isEmpty():
+            members = in_range(read_composition(spark, composition_path), start, end)
         result = IndexResult(stored, members, result.stats)
     return result
 

@@ -9,30 +9,62 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamReader
 
-from tidemark.functions import unix_date
+from tidemark.functions import clean_double, unix_date
 from tidemark.params import HISTORY_FLOOR, RANKING_QUOTE, UNIVERSE_SIZE
 from tidemark.schema import HISTORY_PAGE, RANKING_PAGE, SYMBOL_DICTIONARY, SYMBOL_INFO
 
-# Landing file names: eth-btc-0003.json is page 3 of the history of eth in btc, ranking-0002.json page 2
-_HISTORY_NAME = r"^(.+)-([^-]+)-(\d+)\.json$"
+# Landing file names: eth-btc-0003.json is page 3 of the history of eth in btc, eth-btc@20240105-0003.json the same of
+# the fetch labelled 20240105 (labels sort by age), ranking-0002.json page 2 of the ranking
+_HISTORY_NAME = r"^(.+)-([^-@]+)(?:@([0-9A-Za-z_]+))?-(\d+)\.json$"
 _PAGE_NAME = r"(\d+)\.json$"
+_CORRUPT = "_corrupt"
+
+
+def _with_corrupt(schema: T.StructType) -> T.StructType:
+    return T.StructType([*schema.fields, T.StructField(_CORRUPT, T.StringType(), True)])
+
+
+def _marked(pages: DataFrame, fault: Column) -> DataFrame:
+    """Pages with a fault become error responses: their records are not used, and ``failed_pages`` lists them."""
+    return pages.withColumns(
+        {
+            "Response": F.when(fault.isNotNull(), "Error").otherwise(F.col("Response")),
+            "Message": F.coalesce(fault, F.col("Message")),
+        }
+    ).drop(_CORRUPT)
 
 
 def history_pages(reader: DataFrameReader | DataStreamReader, path: str) -> DataFrame:
-    """History pages with ``coin_id, quote, page`` taken from the file name, read in batch or as a stream."""
+    """History pages with ``coin_id, quote, fetch, page`` taken from the file name, read in batch or as a stream.
+
+    ``fetch`` is NULL without a label; ``fetched``, the day on which the file was last written, then orders fetches:
+    unlabelled pages of one day count as one fetch. A page that is not valid JSON, and a file whose name does not
+    fit, are error responses with a message.
+    """
     name = F.col("_metadata.file_name")
-    return (
-        reader.schema(HISTORY_PAGE)
+
+    def part(i: int) -> Column:
+        return F.nullif(F.regexp_extract(name, _HISTORY_NAME, i), F.lit(""))
+
+    pages = (
+        reader.schema(_with_corrupt(HISTORY_PAGE))
         .option("multiLine", True)
+        .option("columnNameOfCorruptRecord", _CORRUPT)
         .option("pathGlobFilter", "*.json")
         .json(path)
         .select(
-            F.regexp_extract(name, _HISTORY_NAME, 1).alias("coin_id"),
-            F.upper(F.regexp_extract(name, _HISTORY_NAME, 2)).alias("quote"),
-            F.regexp_extract(name, _HISTORY_NAME, 3).cast("int").alias("page"),
+            F.coalesce(part(1), name).alias("coin_id"),
+            F.upper(part(2)).alias("quote"),
+            part(3).alias("fetch"),
+            F.to_date("_metadata.file_modification_time").alias("fetched"),
+            part(4).cast("int").alias("page"),
             "*",
         )
     )
+    fault = F.when(F.col("page").isNull(), "File name is not that of a history page").when(
+        F.col(_CORRUPT).isNotNull(), "Not valid JSON"
+    )
+    return _marked(pages, fault)
 
 
 def read_history_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -42,11 +74,16 @@ def read_history_pages(spark: SparkSession, path: str) -> DataFrame:
 def parse_history_pages(raw: DataFrame, payload: str = "payload") -> DataFrame:
     """The same from a text column; other columns are kept."""
     others = [c for c in raw.columns if c != payload]
-    return raw.select(*others, F.from_json(payload, HISTORY_PAGE).alias("_p")).select(*others, "_p.*")
+    options = {"columnNameOfCorruptRecord": _CORRUPT}
+    parsed = F.from_json(payload, _with_corrupt(HISTORY_PAGE), options)
+    return _marked(
+        raw.select(*others, parsed.alias("_p")).select(*others, "_p.*"),
+        F.when(F.col(_CORRUPT).isNotNull(), "Not valid JSON"),
+    )
 
 
 def failed_pages(pages: DataFrame) -> DataFrame:
-    """Error responses, kept aside; the series they belong to stays as stored."""
+    """Error responses and pages that could not be read, kept aside; the series they belong to stays as stored."""
     return pages.filter(F.col("Response") == "Error").drop("Data")
 
 
@@ -54,21 +91,23 @@ def history_records(pages: DataFrame, start: date = HISTORY_FLOOR) -> DataFrame:
     """Unnest pages to daily rows. Records without a time, or before ``start``, are dropped.
 
     The end of a fetch only steers paging; it does not filter. ``page`` and ``pos`` keep the order in
-    which records were fetched.
+    which records were fetched; ``fetch`` and ``fetched`` of the landing reader tell fetches apart. NaN is NULL.
     """
+    labels = [c for c in ("fetch", "fetched") if c in pages.columns]
     floor = datetime.combine(start, datetime.min.time(), timezone.utc).timestamp()
     record = F.col("_r")
     return (
         pages.filter(F.col("Response").isNull() | (F.col("Response") != "Error"))
-        .select("coin_id", "quote", "page", F.posexplode("Data.Data").alias("pos", "_r"))
+        .select("coin_id", "quote", *labels, "page", F.posexplode("Data.Data").alias("pos", "_r"))
         .filter(record["time"] >= F.lit(int(floor)))
         .select(
             "coin_id",
             "quote",
             unix_date(record["time"]).alias("date"),
-            *[record[c].alias(c) for c in ("open", "high", "low", "close")],
-            record["volumefrom"].alias("volume_from"),
-            record["volumeto"].alias("volume_to"),
+            *[clean_double(record[c]).alias(c) for c in ("open", "high", "low", "close")],
+            clean_double(record["volumefrom"]).alias("volume_from"),
+            clean_double(record["volumeto"]).alias("volume_to"),
+            *labels,
             "page",
             "pos",
         )

@@ -1,7 +1,9 @@
 """The price store: one long table, partitioned by quote and month.
 
 Layout ``<path>/quote=BTC/month=2024-01/*.parquet``. A scan names its quote and dates and reads only the
-partitions it needs; an increment rewrites only the months it touches.
+partitions it needs; an increment reads and rewrites only the months it touches. ``<path>/_series`` holds one row per
+series (first and last date, first positive close, first volume), so that neither an increment nor a
+daily index has to look at the whole history. Ids are stored in their safe form, one row per key, NULL for NaN.
 """
 
 from __future__ import annotations
@@ -11,14 +13,16 @@ from collections.abc import Iterator
 from datetime import date
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import clean_double, month_partition, pair_name_fields, sanitise_id
-from tidemark.operators.maintain import KEY, PAIR, prefer_pair_rows, trim_leading, upsert_keep_last
+from tidemark.operators.maintain import PAIR, prefer_pair_rows, upsert_keep_last
 from tidemark.schema import OHLCV, PAIR_FILE_ROWS, PRICES
 from tidemark.session import materialise
+from tidemark.sources.files import delete_folder, store_exists
 
 _PARTITIONS = ("quote", "month")
 _STORED = T.StructType(
@@ -27,25 +31,36 @@ _STORED = T.StructType(
 )
 
 
+_DECODED = T.StructType([*PAIR_FILE_ROWS.fields, T.StructField("error", T.StringType(), True)])
+_STATE = T.StructType(
+    [T.StructField(name, T.StringType(), True) for name in PAIR]
+    + [T.StructField(name, T.DateType(), True) for name in ("first_date", "first_close", "first_volume", "last_date")]
+)
+
+
 def _decode_pair_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of small parquet files given as bytes; a file that cannot be read yields nothing."""
+    """Rows of small parquet files given as bytes; a file that is not readable parquet gives one row with the error.
+
+    A cell that is no number is NULL. Anything but a fault of the file itself fails the task.
+    """
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"]):
+            file = path.rsplit("/", 1)[-1]
             try:
                 frame = pd.read_parquet(io.BytesIO(content))
-                rows = frame.reindex(columns=list(OHLCV)).astype("float64")
-                rows.insert(0, "date", pd.to_datetime(frame.index).date)
-                rows.insert(0, "file", path.rsplit("/", 1)[-1])
-            except Exception:  # noqa: BLE001 - whatever is wrong with it, the file is skipped
+                dates = pd.to_datetime(frame.index)
+            except (pa.ArrowInvalid, OSError, ValueError) as error:  # not parquet, or its index holds no dates
+                nothing = dict.fromkeys(_DECODED.fieldNames())
+                yield pd.DataFrame([nothing | {"file": file, "error": str(error)[:500]}], dtype=object)
                 continue
-            yield rows
-
+            rows = frame.reindex(columns=list(OHLCV)).apply(pd.to_numeric, errors="coerce").astype("float64")
+            rows.insert(0, "date", dates.date)
+            rows.insert(0, "file", file)
+            yield rows.assign(error=None)
 
-def read_pair_files(spark: SparkSession, path: str) -> DataFrame:
-    """Read the file-per-pair layout (``eth-btc.parquet``, legacy ``eth.parquet``) as long rows.
 
-    Unreadable files are skipped. Missing columns are NULL, NaN becomes NULL, dates are cut to the day.
-    Result: ``PRICES`` columns plus ``is_legacy``.
+def decode_pair_files(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of all pair files, and a row with ``error`` for each that cannot be read.
 
     The files were saved from data frames one by one, so their physical types differ (nanosecond dates,
     whole numbers or doubles in the same column), which the parquet source cannot read under one
@@ -54,8 +69,13 @@ def read_pair_files(spark: SparkSession, path: str) -> DataFrame:
     files = (
         spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("path", "content")
     )
+    return files.mapInPandas(_decode_pair_files, _DECODED)
+
+
+def pair_file_rows(decoded: DataFrame) -> DataFrame:
+    """``PRICES`` columns plus ``is_legacy`` of the readable files."""
     coin, quote, legacy = pair_name_fields(F.col("file"))
-    return files.mapInPandas(_decode_pair_files, PAIR_FILE_ROWS).select(
+    return decoded.filter(F.col("error").isNull()).select(
         coin.alias("coin_id"),
         quote.alias("quote"),
         "date",
@@ -64,25 +84,57 @@ def read_pair_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def skipped_pair_files(decoded: DataFrame) -> DataFrame:
+    """``file, error`` of the files that could not be read."""
+    return decoded.filter(F.col("error").isNotNull()).select("file", "error")
+
+
+def read_pair_files(spark: SparkSession, path: str) -> DataFrame:
+    """Read the file-per-pair layout (``eth-btc.parquet``, legacy ``eth.parquet``) as long rows.
+
+    Unreadable files are skipped; ``skipped_pair_files`` lists them. Missing columns are NULL, NaN becomes
+    NULL, dates are cut to the day. Result: ``PRICES`` columns plus ``is_legacy``.
+    """
+    return pair_file_rows(decode_pair_files(spark, path))
+
+
 def load_pair_files(spark: SparkSession, path: str) -> DataFrame:
     """Pair files as the reader sees them: a legacy file counts only where the pair file is absent."""
     return prefer_pair_rows(read_pair_files(spark, path))
 
 
-def _laid_out(prices: DataFrame) -> DataFrame:
-    """Rows ready to be written: stored columns, spread by partition, sorted within a file.
+def series_rows(prices: DataFrame, trim: bool = False) -> DataFrame:
+    """Rows as the store holds them: safe ids, upper-case quotes, NULL for NaN, one row per key.
 
-    ``rebalance`` is resolved by AQE from real sizes: a month that holds a large share of the rows is
-    split over several tasks, small months share one. The sort gives row groups narrow id ranges.
+    Where ids become equal in their safe form, the row of the smaller original id stays. With ``trim`` rows
+    before the first positive close of the stored series go. One shuffle and one sort by series.
     """
-    stored = prices.select(
+    rows = prices.select(
         sanitise_id(F.col("coin_id")).alias("coin_id"),
-        "date",
-        *OHLCV,
         F.upper("quote").alias("quote"),
-        month_partition(F.col("date")).alias("month"),
+        "date",
+        *[clean_double(F.col(c)).alias(c) for c in OHLCV],
+        F.col("coin_id").alias("_raw"),
     )
-    return stored.hint("rebalance", *[F.col(c) for c in _PARTITIONS]).sortWithinPartitions(
+    series = Window.partitionBy(*PAIR).orderBy("date", "_raw", *[F.col(c).desc_nulls_last() for c in OHLCV])
+    whole = series.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumn("_one", ~F.lag("date").over(series).eqNullSafe(F.col("date")))
+    keep = F.col("_one")
+    if trim:
+        first = F.min(F.when(F.col("_one") & (F.col("close") > 0), F.col("date"))).over(whole)
+        rows = rows.withColumn("_first", first)
+        keep = keep & (F.col("_first").isNull() | (F.col("date") >= F.col("_first")))
+    return rows.filter(keep).select(*PRICES.fieldNames())
+
+
+def _laid_out(stored: DataFrame) -> DataFrame:
+    """Rows ready to be written, spread by partition, sorted within a file.
+
+    ``rebalance`` is resolved by AQE from real sizes: a month that holds a large share of the rows is
+    split over several tasks, small months share one. The sort gives row groups narrow id ranges.
+    """
+    rows = stored.select("coin_id", "date", *OHLCV, "quote", month_partition(F.col("date")).alias("month"))
+    return rows.hint("rebalance", *[F.col(c) for c in _PARTITIONS]).sortWithinPartitions(
         *_PARTITIONS, "coin_id", "date"
     )
 
@@ -97,8 +149,12 @@ def _overwrite_partitions(laid_out: DataFrame, path: str) -> None:
 
 
 def write_prices(prices: DataFrame, path: str, trim: bool = True) -> None:
-    """Write whole series, replacing the (quote, month) partitions they fall into."""
-    _overwrite_partitions(_laid_out(trim_leading(prices) if trim else prices), path)
+    """Create a store from whole series. An existing store is refused: ``merge_into_store`` changes one."""
+    spark = prices.sparkSession
+    if store_exists(spark, path):
+        raise FileExistsError(f"{path} exists; use merge_into_store")
+    _overwrite_partitions(_laid_out(series_rows(prices, trim)), path)
+    series_state(spark, path)
 
 
 def write_bucketed(prices: DataFrame, table: str, buckets: int) -> None:
@@ -132,7 +188,9 @@ def scan_prices(
         )
     if end:
         rows = rows.filter((F.col("month") <= f"{end:%Y-%m}") & (F.col("date") <= F.lit(end)))
-    return rows.select(*PRICES.fieldNames())
+    return rows.select(
+        *[clean_double(F.col(c)).alias(c) if c in OHLCV else F.col(c) for c in PRICES.fieldNames()]
+    )
 
 
 def list_pairs(prices: DataFrame) -> DataFrame:
@@ -152,69 +210,113 @@ def _months_of(rows: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def merge_into_store(spark: SparkSession, path: str, delta: DataFrame, replace: bool = False) -> None:
-    """Upsert ``delta`` (one row per key) into the store: newest wins per date, leading zeros trimmed.
+def _state_of(rows: DataFrame) -> DataFrame:
+    day = F.col("date")
+    return rows.groupBy(*PAIR).agg(
+        F.min(day).alias("first_date"),
+        F.min(F.when(F.col("close") > 0, day)).alias("first_close"),
+        F.min(F.when(F.col("volume_to").isNotNull(), day)).alias("first_volume"),
+        F.max(day).alias("last_date"),
+    )
+
+
+def series_state(spark: SparkSession, path: str) -> DataFrame:
+    """One row per stored series: ``coin_id, quote, first_date, first_close, first_volume, last_date``.
+
+    Kept by every write. Where it is missing (another program wrote the store, or a write was cut
+    short) it is made from one scan.
+    """
+    if not store_exists(spark, _state_path(path)):
+        _state_of(scan_prices(spark, path)).write.parquet(_state_path(path))
+    return spark.read.schema(_STATE).parquet(_state_path(path))
 
-    With ``replace`` the series in the delta take the place of the stored ones. Only (quote, month)
-    partitions that change are rewritten. Where a series starts is decided over its whole history, from
-    the narrow columns and with one row per pair as result. Running it twice with the same delta gives
-    the same store. Replacement is per partition, not one transaction over all of them. A store that
-    does not exist yet is created.
+
+def _state_path(path: str) -> str:
+    return f"{path}/_series"
+
+
+def _span_months(series: DataFrame) -> DataFrame:
+    """(quote, month) of every month from the first to the last date of each series."""
+    months = F.sequence(F.trunc("first_date", "MM"), F.col("last_date"), F.expr("interval 1 month"))
+    return series.select("quote", F.explode(months).alias("_m")).select(
+        "quote", month_partition(F.col("_m")).alias("month")
+    ).distinct()
+
+
+def merge_into_store(spark: SparkSession, path: str, delta: DataFrame, replace: bool = False) -> None:
+    """Upsert ``delta`` into the store: newest wins per date, leading zeros trimmed.
+
+    With ``replace`` the series in the delta take the place of the stored ones. Other series are left alone.
+    Only the (quote, month) partitions that change are read and rewritten: the series state tells where
+    stored series start. Only a series whose start can move to a later day is read as a whole: one without
+    a positive close so far that gets one, and one whose first positive close or first volume is overwritten by
+    none. Running it twice with the same delta gives the same store. Replacement is per partition, not one
+    transaction over all of them; the state is removed first and written last, so a merge that is cut short
+    leaves none, and the next one makes it anew. A store that does not exist yet is created.
     """
     if not store_exists(spark, path):
         write_prices(delta, path)
         return
-    delta = materialise(
-        delta.withColumn("coin_id", sanitise_id(F.col("coin_id")))
-        .withColumn("quote", F.upper("quote"))
-        .select(*PRICES.fieldNames()),
-        "delta",
-    )
-    pairs = delta.select(*PAIR).distinct()
-    narrow = [*KEY, "close"]
-
-    def overlay(base: DataFrame, fresh: DataFrame) -> DataFrame:
-        if replace:
-            return base.join(pairs, list(PAIR), "left_anti").unionByName(fresh)
-        return upsert_keep_last(base, fresh)
-
-    # Where each touched series starts after the merge.
-    before = scan_prices(spark, path).join(pairs, list(PAIR), "left_semi").select(*narrow)
-    starts = materialise(
-        overlay(before, delta.select(*narrow))
-        .groupBy(*PAIR)
-        .agg(F.min(F.when(F.col("close") > 0, F.col("date"))).alias("_first"))
-        .filter(F.col("_first").isNotNull()),
-        "starts",
-    )
+    keys = list(PAIR)
+    delta = materialise(series_rows(delta), "delta")
+    state = series_state(spark, path)
+    arriving = _state_of(delta).select(*keys, F.col("first_close").alias("_close"))
+    known = state.join(arriving, keys)
+    if replace:
+        whole = known.select(*_STATE.fieldNames())
+    else:
+        lost = (
+            delta.join(state, keys)
+            .filter(
+                ((F.col("date") == F.col("first_close")) & ~F.coalesce(F.col("close") > 0, F.lit(False)))
+                | ((F.col("date") == F.col("first_volume")) & F.col("volume_to").isNull())
+            )
+            .select(*_STATE.fieldNames())
+        )
+        gained = known.filter(F.col("first_close").isNull() & F.col("_close").isNotNull())
+        whole = lost.union(gained.select(*_STATE.fieldNames())).distinct()
+    whole = materialise(whole, "whole-series")
+
+    # One entry per (quote, month), like the folder listing itself, so they become literal partition filters.
+    touched = _months_of(delta).union(_span_months(whole)).distinct().collect()
+    current = _partitions(spark.read.schema(_STORED).parquet(path), touched).select(*PRICES.fieldNames())
+    if replace:
+        both = current.join(arriving, keys, "left_anti").unionByName(delta)
+        starts = arriving.select(*keys, F.col("_close").alias("_first"))
+    else:
+        both = upsert_keep_last(current, delta)
+        moved = _state_of(both.join(whole, keys, "left_semi")).select(*keys, F.col("first_close").alias("_first"))
+        steady = (
+            arriving.join(whole, keys, "left_anti")
+            .join(state, keys, "left")
+            .select(*keys, F.least("first_close", "_close").alias("_first"))
+        )
+        starts = moved.unionByName(steady)
+    starts = materialise(starts.filter(F.col("_first").isNotNull()), "starts")
+
+    def from_start(rows: DataFrame) -> DataFrame:
+        kept = rows.join(starts, keys, "left")
+        return kept.filter(F.col("_first").isNull() | (F.col("date") >= F.col("_first"))).drop("_first")
 
-    # Partitions that receive rows or lose leading ones. One entry per (quote, month), like the folder
-    # listing itself, so they become literal partition filters.
-    losing = before if replace else before.join(starts, list(PAIR)).filter("date < _first")
-    touched = _months_of(delta).union(_months_of(losing)).distinct().collect()
-
-    current = _partitions(spark.read.schema(_STORED).parquet(path), touched)
-    merged = (
-        overlay(current.select(*PRICES.fieldNames()), delta)
-        .join(starts, list(PAIR), "left")
-        .filter(F.col("_first").isNull() | (F.col("date") >= F.col("_first")))
-        .drop("_first")
-    )
     # Staged first: the partitions being replaced are also being read.
-    staged = materialise(merged, "merged")
+    staged = materialise(from_start(both), "merged")
+    renewed = _state_of(staged.join(whole, keys, "left_semi"))
+    grown = (
+        state.join(arriving.join(whole, keys, "left_anti"), keys, "left_semi")
+        .unionByName(_state_of(from_start(delta.join(whole, keys, "left_anti"))))
+        .groupBy(*keys)
+        .agg(*[F.min(c).alias(c) for c in ("first_date", "first_close", "first_volume")], F.max("last_date").alias("last_date"))
+    )
+    following = materialise(
+        state.join(arriving, keys, "left_anti").unionByName(renewed).unionByName(grown), "series-state"
+    )
+    delete_folder(spark, _state_path(path))
     _overwrite_partitions(_laid_out(staged), path)
     kept = {(r["quote"], r["month"]) for r in _months_of(staged).collect()}
-    _drop_partitions(spark, path, [r for r in touched if (r["quote"], r["month"]) not in kept])
-
-
-def _hadoop_path(spark: SparkSession, path: str):
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
-
-
-def store_exists(spark: SparkSession, path: str) -> bool:
-    files, target = _hadoop_path(spark, path)
-    return files.exists(target)
+    for row in touched:  # overwriting by partition leaves those in place whose last rows were trimmed
+        if (row["quote"], row["month"]) not in kept:
+            delete_folder(spark, f"{path}/quote={row['quote']}/month={row['month']}")
+    following.write.parquet(_state_path(path))
 
 
 def _partitions(rows: DataFrame, wanted: list) -> DataFrame:
@@ -226,10 +328,3 @@ def _partitions(rows: DataFrame, wanted: list) -> DataFrame:
     for quote, months in by_quote.items():
         test = test | ((F.col("quote") == quote) & F.col("month").isin(months))
     return rows.filter(test)
-
-
-def _drop_partitions(spark: SparkSession, path: str, emptied: list) -> None:
-    """Remove partitions whose last rows were trimmed; overwriting by partition leaves them in place."""
-    for row in emptied:
-        files, target = _hadoop_path(spark, f"{path}/quote={row['quote']}/month={row['month']}")
-        files.delete(target, True)
