@@ -25,22 +25,28 @@ CHUNK_BYTES = 1 << 22
 _SCHEMA = "chunk long, body binary, sizes binary, rows binary"
 
 
+#: Blocks above this many bytes are compressed; the many short ones of a very large corpus are not worth it.
+_COMPRESSED = 512
+
+
 def pack(*columns: np.ndarray) -> bytes:
-    """Arrays of any number types as one compressed block; whole numbers are stored as differences."""
-    fields = []
+    """Arrays of equal length and any number types as one block; whole numbers are stored as differences."""
+    parts = [f"{len(columns[0])} {' '.join(c.dtype.str for c in columns)}\n".encode()]
     for c in columns:
-        if c.dtype.kind == "i" and c.dtype.itemsize > 1:
-            c = np.diff(c, prepend=c.dtype.type(0))
-        fields.append(pa.array(c))
-    batch = pa.RecordBatch.from_arrays(fields, [str(i) for i in range(len(fields))])
-    return zstandard.compress(batch_bytes(batch), 3)
+        parts.append((np.diff(c, prepend=c.dtype.type(0)) if c.dtype.kind == "i" else c).tobytes())
+    block = b"".join(parts)
+    return b"Z" + zstandard.compress(block, 3) if len(block) > _COMPRESSED else b"R" + block
 
 
 def unpack(block: bytes) -> list[np.ndarray]:
+    data = zstandard.decompress(block[1:]) if block[:1] == b"Z" else block[1:]
+    at = data.index(b"\n") + 1
+    n, *types = data[:at].decode().split()
     out = []
-    for c in read_batch(zstandard.decompress(block)).columns:
-        values = c.to_numpy(zero_copy_only=False)
-        out.append(np.cumsum(values, dtype=values.dtype) if values.dtype.kind == "i" and values.dtype.itemsize > 1 else values)
+    for kind in types:
+        c = np.frombuffer(data, kind, int(n), at)
+        at += c.nbytes
+        out.append(np.cumsum(c, dtype=c.dtype) if c.dtype.kind == "i" else c)
     return out
 
 

@@ -31,7 +31,7 @@ from tidemark.session import materialise
 
 LENGTH, GRAM = 100, 32
 #: Text whose first digits meet in one task, and text whose last digits do.
-BUCKET_BYTES = 1 << 26
+BUCKET_BYTES = 1 << 24
 #: Suffixes of one first digit that go on together; the passages of a more common one are spread by their hash.
 HOT_SUFFIXES = 1 << 13
 #: Passage starts in one block of the search for synchronising positions: positions fit in 16 bits.
@@ -66,10 +66,14 @@ def hash_at(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-def _places(data: np.ndarray, length: int, gram: int) -> np.ndarray:
-    """Synchronising position of the passage at every start: leftmost least hash of its grams."""
+def _runs(data: np.ndarray, ends: np.ndarray, sizes: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """Rows (low, high, at): the passages at the starts low..high have their synchronising position at ``at``.
+
+    The position is the leftmost least hash of the grams of a passage. Blocks of starts are searched one
+    after another, so the arrays stay small; a run that meets the end of a block becomes two.
+    """
     n = len(data) - length + 1
-    out = np.empty(max(0, n), np.int64)
+    runs = [np.zeros((3, 0), np.int64)]
     for start in range(0, n, _BLOCK - length):
         part = data[start : start + _BLOCK]
         h = (part.astype(np.uint32) + np.uint32(1)) * np.uint32(0x9E3779B1)
@@ -87,9 +91,18 @@ def _places(data: np.ndarray, length: int, gram: int) -> np.ndarray:
             width *= 2
         if width < window:
             least = np.minimum(least[: len(least) - (window - width)], least[window - width :])
-        found = (least & np.uint32(0xFFFF)).astype(np.int64) + start
-        out[start : start + len(found)] = found
-    return out
+        places = (least & np.uint32(0xFFFF)).astype(np.int64) + start
+        starts = np.arange(start, start + len(places))
+        # Passages do not cross the ends of documents.
+        first, last = np.searchsorted(ends, [start, start + len(places)], "right")
+        own_ends = ends[first : last + 1]
+        own_sizes = np.minimum(own_ends, start + len(places)) - np.maximum(own_ends - sizes[first : last + 1], start)
+        inside = starts + length <= np.repeat(own_ends, own_sizes)
+        starts, places = starts[inside], places[inside]
+        if len(starts):
+            new = np.flatnonzero((np.diff(places, prepend=-1) != 0) | (np.diff(starts, prepend=-2) != 1))
+            runs.append(np.stack([starts[new], starts[np.append(new[1:], len(starts)) - 1], places[new]]))
+    return np.concatenate(runs, axis=1)
 
 
 class _Suffixes:
@@ -101,14 +114,7 @@ class _Suffixes:
         self.ends = np.cumsum(self.sizes)
         ids = self.rows.column("doc_id")
         self.ids = ids.fill_null(_FIRST_DOC).to_numpy(zero_copy_only=False).astype(np.int64)
-        places = _places(self.data, length, gram)
-        starts = np.arange(len(places))
-        inside = starts + length <= np.repeat(self.ends, self.sizes)[: len(places)]
-        starts, places = starts[inside], places[inside]
-        new = np.flatnonzero((np.diff(places, prepend=-1) != 0) | (np.diff(starts, prepend=-2) != 1))
-        self.low = starts[new]
-        self.high = starts[np.append(new[1:], len(starts)) - 1] if len(new) else starts[:0]
-        self.at = places[new]
+        self.low, self.high, self.at = _runs(self.data, self.ends, self.sizes, length, gram)
         self.gram = hash_at(self.data, self.at, gram)
         both = _mix(hash_at(self.data, self.low, length), hash_at(self.data, self.high, length))
         self.span = _mix(both, ((self.high - self.low) << 16 | (self.at - self.low)).astype(np.uint64))
@@ -248,7 +254,7 @@ def _covered(row, answers: pd.DataFrame, buckets: int, length: int, gram: int) -
     np.add.at(edge, s.high[p.repeated] + length, -1)
     np.add.at(edge, p.at[p.repeat], 1)
     np.add.at(edge, p.at[p.repeat] + length, -1)
-    return s, np.cumsum(edge[:-1]) > 0
+    return s, np.cumsum(edge[:-1], dtype=np.int32) > 0
 
 
 def _digest(_key, chunk: pd.DataFrame, answers: pd.DataFrame, buckets: int, length: int, gram: int) -> pd.DataFrame:
@@ -265,13 +271,19 @@ def _digest(_key, chunk: pd.DataFrame, answers: pd.DataFrame, buckets: int, leng
 
 
 def _whole_characters(data: np.ndarray, covered: np.ndarray) -> np.ndarray:
-    """A character goes only if all its bytes are covered."""
-    if not len(data):
-        return covered
-    character = np.cumsum((data & 0xC0) != 0x80) - 1
-    character -= character[0]
-    whole = np.bincount(character, covered) == np.bincount(character)
-    return whole[character]
+    """A character goes only if all its bytes are covered: the ends of covered runs give way to characters they cut."""
+    covered = covered.copy()
+    step = np.diff(covered.view(np.int8), prepend=0, append=0)
+    first, after = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+    inner = np.append((data & 0xC0) == 0x80, False)
+    back = after[inner[after]] - 1
+    while len(first := first[inner[first]]):
+        covered[first] = False
+        first = first + 1
+    while len(back):
+        covered[back] = False
+        back = back[inner[back]] - 1
+    return covered
 
 
 def _cleaned(_key, chunk: pa.Table, answers: pa.Table, text_at: int, buckets: int, length: int, gram: int) -> pa.Table:
