@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import classify as cl
 from tidemark.params import DEFAULT_RULES
 
+# Ids and names of traded assets with the class that each must get; they have to be as they are traded.
 WRAPPED = [
     ("steth", "Lido Staked Ether"),
     ("wsteth", "Wrapped stETH"),
