@@ -24,14 +24,15 @@ from tidemark.llm.common import id_and_text, id_text_pairs, ship
 
 #: The classifier is fitted on at most this many labelled documents of each label.
 SAMPLE_PER_LABEL = 5000
-#: A feature enters if at least MIN_DOCS toxic documents have it, and toxic ones so many times as often as clean ones.
-MIN_DOCS, MIN_LIFT = 3, 4.0
+#: A feature enters if at least MIN_DOCS toxic documents have it, toxic ones so many times as often as clean ones, and
+#: the two shares differ by MIN_DEVIATIONS standard deviations: of very many features some differ by chance.
+MIN_DOCS, MIN_LIFT, MIN_DEVIATIONS = 3, 4.0, 6.0
 #: A marker is a feature that toxic documents have so many times as often; a toxic document with SEVERE_MARKERS
 #: different ones is of grade 2.
 MARKER_LIFT, MARKER_DOCS, SEVERE_MARKERS = 50.0, 5, 3
-PENALTY, ROUNDS = 2e-4, 400
-#: Documents at least this likely to be above grade 0 are toxic.
-THRESHOLD = 0.5
+PENALTY, ROUNDS = 2e-5, 600
+#: Documents at least this likely to be above grade 0 are toxic. Clean documents stay far below (held out: under 0.05).
+THRESHOLD = 0.25
 PREFIXES = (4, 5)
 
 SCHEMA = "doc_id long, expected_severity double, p_toxic double, severity int, toxic boolean"
@@ -107,7 +108,10 @@ def fit(documents: list[np.ndarray], toxic: np.ndarray, toxic_share: float) -> O
     markers = np.bincount(row[marker[column]], minlength=len(documents))
     grade = np.where(toxic, np.where(markers >= SEVERE_MARKERS, 2, 1), 0)
 
-    kept = (in_toxic >= MIN_DOCS) & (lift >= MIN_LIFT)
+    share = (in_toxic + in_clean) / (n_toxic + n_clean)
+    spread = np.sqrt(share * (1 - share) * (1 / n_toxic + 1 / n_clean))
+    differs = in_toxic / n_toxic - in_clean / n_clean >= MIN_DEVIATIONS * np.maximum(spread, 1e-12)
+    kept = (in_toxic >= MIN_DOCS) & (lift >= MIN_LIFT) & differs
     names, place = names[kept], np.cumsum(kept) - 1
     use = kept[column]
     row, column = row[use], place[column[use]]
