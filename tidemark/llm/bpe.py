@@ -28,7 +28,7 @@ MATRIX_CELLS = 1 << 20
 #: Pieces remembered by a worker; the memory is emptied when it is full.
 REMEMBERED = 600_000
 #: Characters of text whose distinct pieces are merged together.
-TEXT_BLOCK = 1 << 23
+TEXT_BLOCK = 1 << 22
 #: Groups of padded lengths; a piece goes to the first that holds it. Longer ones get a matrix of their own length.
 WIDTHS = (2, 3, 4, 5, 6, 7, 8, 10, 12, 16, 24, 32, 48, 64, 128, 256, 512, 1024)
 

@@ -13,6 +13,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -69,7 +70,7 @@ def _cut(batches: Iterator[pa.RecordBatch], text_at: int, chunk_bytes: int) -> I
         if not batch.num_rows:
             continue
         batch = batch.set_column(text_at, batch.schema.field(text_at), batch.column(text_at).fill_null(""))
-        sizes = pa.compute.binary_length(batch.column(text_at)).to_numpy(zero_copy_only=False).astype(np.int64)
+        sizes = pc.binary_length(batch.column(text_at)).to_numpy(zero_copy_only=False).astype(np.int64)
         group = (np.cumsum(sizes) - sizes) // chunk_bytes
         edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
         for start, stop in zip(edges, edges[1:]):

@@ -7,7 +7,9 @@ import zipfile
 from collections.abc import Iterable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,7 +47,16 @@ def input_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
+#: Text that is turned into Python objects at a time.
+SLICE_BYTES = 1 << 22
+
+
 def id_text_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
-    """Lists of ids and texts, one pair of lists per Arrow batch."""
+    """Lists of ids and texts of a few MB; a longer text comes alone."""
     for batch in batches:
-        yield batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+        ids, texts = batch.column("doc_id"), batch.column("text")
+        sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+        group = (np.cumsum(sizes) - sizes) // SLICE_BYTES
+        edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(ids)]
+        for start, stop in zip(edges, edges[1:]):
+            yield ids.slice(start, stop - start).to_pylist(), texts.slice(start, stop - start).to_pylist()

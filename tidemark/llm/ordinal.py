@@ -206,6 +206,6 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOL
 
     @F.arrow_udf("boolean")
     def toxic(texts: pa.Array) -> pa.Array:
-        return pa.array([model.above(t or "")[0] >= threshold for t in texts.to_pylist()], pa.bool_())
+        return pa.array([model.above(t.as_py() or "")[0] >= threshold for t in texts], pa.bool_())
 
     return docs.filter(~toxic(F.col("text")))

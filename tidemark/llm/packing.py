@@ -31,9 +31,9 @@ PIECE = 512
 #: Windows that are filled together.
 GROUP_WINDOWS = 256
 #: Words remembered by a worker with their ids; the memory is emptied when it is full.
-REMEMBERED = 1_000_000
+REMEMBERED = 700_000
 #: Characters whose new words are tokenised together.
-TEXT_BLOCK = 1 << 24
+TEXT_BLOCK = 1 << 22
 
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"

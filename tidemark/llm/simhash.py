@@ -29,7 +29,7 @@ from tidemark.session import materialise
 BITS = 64
 SHINGLE_WORDS, SEED, RADIUS = 4, 42, 4
 #: Variants expanded and sorted at a time by a task.
-VARIANTS = 1 << 22
+VARIANTS = 1 << 21
 #: Fingerprints of one prefix and part; a larger prefix is shared out by a hash of the variant.
 PREFIX_ROWS = 1 << 16
 _ARROW = pa.schema([("doc_id", pa.int64()), ("value", pa.int64())])
