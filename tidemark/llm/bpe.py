@@ -26,7 +26,7 @@ _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: Cells of one matrix; larger groups are cut into several.
 MATRIX_CELLS = 1 << 20
 #: Pieces remembered by a worker; the memory is emptied when it is full.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 #: Characters of text whose distinct pieces are merged together.
 TEXT_BLOCK = 1 << 22
 #: Groups of padded lengths; a piece goes to the first that holds it. Longer ones get a matrix of their own length.

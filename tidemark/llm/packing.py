@@ -31,7 +31,7 @@ PIECE = 512
 #: Windows that are filled together.
 GROUP_WINDOWS = 256
 #: Words remembered by a worker with their ids; the memory is emptied when it is full.
-REMEMBERED = 700_000
+REMEMBERED = 400_000
 #: Characters whose new words are tokenised together.
 TEXT_BLOCK = 1 << 22
 

@@ -192,8 +192,9 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     groups = near_duplicates(docs.filter(F.col("doc_id").isNotNull()), radius).select("doc_id", "component_id")
     groups = materialise(groups, "groups")
-    # Those that go are far fewer than those that stay, so the smaller list is joined.
-    gone = groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    # Those that go are far fewer than those that stay, so the smaller list is hashed, partition by partition: the
+    # plan is the same at every size, and the texts are not sorted.
+    gone = groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct().hint("shuffle_hash")
     named = docs.filter(F.col("doc_id").isNotNull()).join(gone, "doc_id", "left_anti").select(*docs.columns)
     if not groups.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
         first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
