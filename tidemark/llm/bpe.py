@@ -25,7 +25,7 @@ _NONE = np.int64(1 << 40)
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: Cells of one matrix; larger groups are cut into several.
 MATRIX_CELLS = 1 << 20
-#: Pieces remembered by a worker; the memory is emptied when it is full.
+#: Pieces remembered by a worker; a full memory keeps those of the text at hand.
 REMEMBERED = 400_000
 #: Characters of text whose distinct pieces are merged together.
 TEXT_BLOCK = 1 << 22
@@ -181,7 +181,7 @@ class ByteBPE:
 
     def _learn(self, pieces: set[str]) -> None:
         if len(self.memory) + len(pieces) > REMEMBERED:
-            self.memory.clear()
+            self.memory = {p: self.memory[p] for p in pieces & self.memory.keys()}
         fresh = [p for p in pieces if p not in self.memory]
         self.memory.update(zip(fresh, map(tuple, self.encode_pieces([p.encode() for p in fresh]))))
 

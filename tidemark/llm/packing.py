@@ -30,8 +30,8 @@ CAPACITY = 2048
 PIECE = 512
 #: Windows that are filled together.
 GROUP_WINDOWS = 256
-#: Words remembered by a worker with their ids; the memory is emptied when it is full.
-REMEMBERED = 400_000
+#: Words remembered by a worker with their ids; a full memory keeps those of the text at hand.
+REMEMBERED = 800_000
 #: Characters whose new words are tokenised together.
 TEXT_BLOCK = 1 << 22
 
@@ -111,7 +111,7 @@ class WordTokenizer:
     def _learn(self, split: list[list[bytes]]) -> None:
         words = set().union(*split)
         if len(self.memory) + len(words) > REMEMBERED:
-            self.memory.clear()
+            self.memory = {w: self.memory[w] for w in words & self.memory.keys()}
         fresh = words.difference(self.memory)
         # A word of ASCII letters is one piece for the tokenizer, and one more sign behind it another: these
         # need its merges only. All other words go through it whole.
