@@ -191,6 +191,11 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     members of a group; of those with equal texts one stays.
     """
     groups = near_duplicates(docs.filter(F.col("doc_id").isNotNull()), radius).select("doc_id", "component_id")
+    return first_of_groups(docs, groups)
+
+
+def first_of_groups(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """``docs`` less those that ``groups`` (``doc_id, component_id`` of every row with an id) puts behind another."""
     groups = materialise(groups, "groups")
     # Those that go are far fewer than those that stay, so the smaller list is hashed, partition by partition: the
     # plan is the same at every size, and the texts are not sorted.
