@@ -52,9 +52,9 @@ def _assigned(batches, pivots: list[list[float]]):
             yield frame[["vec_id", "vector", "cell", "distance"]]
 
 
-def _reach(batches, pivots: list[list[float]], cells: list[int], nearest: list[float], k: int):
+def _reach(batches, pivots: list[list[float]], cells: list[int], nearest: list[float], ids: list[int], k: int):
     """For each query and cell, the least distance from the pivot that can matter; the least per batch and group."""
-    p, of, d = np.array(pivots), np.array(cells), np.array(nearest)
+    p, of, d, owners = np.array(pivots), np.array(cells), np.array(nearest), np.array(ids)
     for frame in batches:
         if not len(frame):
             continue
@@ -62,8 +62,9 @@ def _reach(batches, pivots: list[list[float]], cells: list[int], nearest: list[f
         norm = np.sqrt((q * q).sum(1)) * (1 + _SLACK)
         to_pivot = q @ p.T
         sure = to_pivot[:, of] - norm[:, None] * d
-        # One of the summarised vectors may be the query's own row, hence the (k + 1)-th.
-        bound = np.sort(sure, axis=1)[:, -(k + 1)] if len(of) > k else np.full(len(q), -np.inf)
+        # Rows that share the query's id are no candidates.
+        sure[owners == frame["vec_id"].to_numpy()[:, None]] = -np.inf
+        bound = np.sort(sure, axis=1)[:, -k] if len(of) >= k else np.full(len(q), -np.inf)
         with np.errstate(divide="ignore", invalid="ignore"):
             need = (bound[:, None] - to_pivot) / norm[:, None]
         # A zero query scores 0 everywhere: everything matters.
@@ -122,16 +123,21 @@ def knn_join(
     chosen = choose_pivots(np.array(sample), pivots).tolist()
     cells = materialise(rows.mapInPandas(partial(_assigned, pivots=chosen), _CELLS), "voronoi-cells")
 
-    # The summaries: k + 1 distances per cell, and counts. Their number depends on the parameters alone.
-    nearness = F.row_number().over(Window.partitionBy("cell").orderBy("distance"))
+    # The summaries: of each cell the distances of the k + 1 nearest ids, by their nearest row, and counts. Their
+    # number depends on the parameters alone; k of them are of other ids than a query's.
+    nearness = F.row_number().over(Window.partitionBy("cell").orderBy("distance", "vec_id"))
     near = (
-        cells.select("cell", "distance", nearness.alias("n")).filter(F.col("n") <= k + 1).select("cell", "distance")
+        cells.groupBy("cell", "vec_id")
+        .agg(F.min("distance").alias("distance"))
+        .withColumn("n", nearness)
+        .filter(F.col("n") <= k + 1)
     ).collect()
-    of, nearest = [r["cell"] for r in near], [r["distance"] for r in near]
+    of, nearest, owners = ([r[c] for r in near] for c in ("cell", "distance", "vec_id"))
     questions = cells.filter(is_query)
     least = (
         questions.mapInPandas(
-            partial(_reach, pivots=chosen, cells=of, nearest=nearest, k=k), "group int, cell int, least double"
+            partial(_reach, pivots=chosen, cells=of, nearest=nearest, ids=owners, k=k),
+            "group int, cell int, least double",
         )
         .groupBy("group", "cell")
         .agg(F.min("least").alias("least"))
