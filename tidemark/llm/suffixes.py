@@ -6,7 +6,8 @@ share that place, so one suffix stands for some thirty of them. The passes:
 
 1. digit: the ``GRAM`` bytes at the place. Suffixes alone in their group are unique and finished.
 2. digit: everything the suffix stands for. Suffixes equal in it are repeats of the earliest and finished;
-   where a first digit holds several such classes, their earliest suffixes go on.
+   where a first digit holds several such classes, their earliest suffixes go on. A very common first digit is
+   counted beforehand and spread by what its suffixes stand for; all its classes go on.
 3. digit: each passage of those, to full depth. Equal groups are exactly the repeated passages.
 
 Digits are compared by hashes, of 64 bits each, of the bytes they stand for (passage: 64 bits of the gram and
@@ -34,6 +35,8 @@ LENGTH, GRAM = 100, 32
 BUCKET_BYTES = 1 << 24
 #: Suffixes of one first digit that go on together; the passages of a more common one are spread by their hash.
 HOT_SUFFIXES = 1 << 13
+#: Suffixes of one first digit that meet in one task; a more common one is spread. Chunks that hold it once do not count.
+HOT_GRAM = 1 << 15
 #: Passage starts in one block of the search for synchronising positions: positions fit in 16 bits.
 _BLOCK = 1 << 16
 _K1, _K2, _K3 = (np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -154,12 +157,36 @@ def _by_bucket(chunk: int, bucket: np.ndarray, *columns: np.ndarray) -> pd.DataF
     return pd.DataFrame(rows, columns=["bucket", "chunk", "packed"])
 
 
-def _send_suffixes(frames: Iterator[pd.DataFrame], buckets: int, length: int, gram: int) -> Iterator[pd.DataFrame]:
+def _count_grams(frames: Iterator[pd.DataFrame], length: int, gram: int) -> Iterator[pd.DataFrame]:
+    """The first digits that several suffixes of a chunk have, and how many."""
+    for frame in frames:
+        for _, row in frame.iterrows():
+            s = _Suffixes(row, length, gram)
+            grams, n = np.unique(s.gram[~s.repeat], return_counts=True)
+            yield pd.DataFrame({"gram": grams[n > 1].view(np.int64), "n": n[n > 1]})
+
+
+def _parts(gram: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Over how many parts each first digit is spread; ``hot`` has those of more than one in ascending order."""
+    grams, parts = hot
+    if not len(grams):
+        return np.ones(len(gram), np.uint64)
+    at = np.minimum(np.searchsorted(grams, gram), len(grams) - 1)
+    return np.where(grams[at] == gram, parts[at], np.uint64(1))
+
+
+def _suffix_bucket(gram: np.ndarray, span: np.ndarray, buckets: int, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    parts = _parts(gram, hot)
+    spread = np.where(parts > 1, _mix(gram, span % parts), gram)
+    return (spread % np.uint64(buckets)).astype(np.int64)
+
+
+def _send_suffixes(frames: Iterator[pd.DataFrame], buckets: int, hot: tuple, length: int, gram: int) -> Iterator[pd.DataFrame]:
     for frame in frames:
         for _, row in frame.iterrows():
             s = _Suffixes(row, length, gram)
             go = np.flatnonzero(~s.repeat)
-            bucket = (s.gram[go] % np.uint64(buckets)).astype(np.int64)
+            bucket = _suffix_bucket(s.gram[go], s.span[go], buckets, hot)
             yield _by_bucket(row["chunk"], bucket, s.gram[go], s.span[go], s.doc[go], s.start[go])
 
 
@@ -173,8 +200,11 @@ def _answers(frame: pd.DataFrame, decide: Callable) -> pd.DataFrame:
     )
 
 
-def _decide_suffixes(gram, span, doc, start) -> np.ndarray:
-    """0 unique, 1 repeat, else 2 + log2 of the parts over which the passages of this first digit are spread."""
+def _decide_suffixes(gram, span, doc, start, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """0 unique, 1 repeat, else 2 + log2 of the parts over which the passages of this first digit are spread.
+
+    A first digit that is spread itself may have other classes in other parts: none of its suffixes is unique.
+    """
     earliest = _earliest(gram, span, doc, start)
     order = np.lexsort((span, gram))
     g, s = gram[order], span[order]
@@ -182,6 +212,8 @@ def _decide_suffixes(gram, span, doc, start) -> np.ndarray:
     new_class = new_gram | np.append(True, s[1:] != s[:-1])
     which = np.cumsum(new_gram) - 1
     classes = np.bincount(which, new_class).astype(np.int64)[which]
+    spread = _parts(g, hot).astype(np.int64)
+    classes = np.where(spread > 1, np.maximum(2, classes * spread), classes)
     parts = np.ceil(np.log2(np.maximum(1, classes / HOT_SUFFIXES))).astype(np.uint8)
     out = np.empty(len(gram), np.uint8)
     out[order] = np.where(classes > 1, 2 + parts, 0)
@@ -193,8 +225,8 @@ def _decide_passages(gram, passage, doc, start) -> np.ndarray:
     return (~_earliest(gram, passage, doc, start)).astype(np.uint8)
 
 
-def _answer_suffixes(frame: pd.DataFrame) -> pd.DataFrame:
-    return _answers(frame, _decide_suffixes)
+def _answer_suffixes(frame: pd.DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> pd.DataFrame:
+    return _answers(frame, partial(_decide_suffixes, hot=hot))
 
 
 def _answer_passages(frame: pd.DataFrame) -> pd.DataFrame:
@@ -214,10 +246,10 @@ def _place_answers(bucket: np.ndarray, answers: pd.DataFrame) -> np.ndarray:
 class _Passages:
     """What a chunk knows after the second digit: repeated suffixes, and the passages that are still open."""
 
-    def __init__(self, s: _Suffixes, answers: pd.DataFrame, buckets: int):
+    def __init__(self, s: _Suffixes, answers: pd.DataFrame, buckets: int, hot: tuple[np.ndarray, np.ndarray]):
         go = np.flatnonzero(~s.repeat)
         status = np.ones(len(s.low), np.uint8)
-        status[go] = _place_answers((s.gram[go] % np.uint64(buckets)).astype(np.int64), answers)
+        status[go] = _place_answers(_suffix_bucket(s.gram[go], s.span[go], buckets, hot), answers)
         self.repeated = status == 1
         open_ = np.flatnonzero(status > 1)
         count = s.high[open_] - s.low[open_] + 1
@@ -231,10 +263,10 @@ class _Passages:
         self.bucket = (_mix(self.gram, spread) % np.uint64(buckets)).astype(np.int64)
 
 
-def _send_passages(_key, chunk: pd.DataFrame, answers: pd.DataFrame, buckets: int, length: int, gram: int) -> pd.DataFrame:
+def _send_passages(_key, chunk: pd.DataFrame, answers: pd.DataFrame, buckets: int, hot: tuple, length: int, gram: int) -> pd.DataFrame:
     out = [pd.DataFrame({"bucket": [], "chunk": [], "packed": []})]
     for _, row in chunk.iterrows():
-        p = _Passages(_Suffixes(row, length, gram), answers, buckets)
+        p = _Passages(_Suffixes(row, length, gram), answers, buckets, hot)
         go = np.flatnonzero(~p.repeat)
         out.append(
             _by_bucket(row["chunk"], p.bucket[go], p.gram[go], p.hash[go], p.doc[go], p.start[go])
@@ -242,11 +274,11 @@ def _send_passages(_key, chunk: pd.DataFrame, answers: pd.DataFrame, buckets: in
     return out[-1]
 
 
-def _covered(row, answers: pd.DataFrame, buckets: int, length: int, gram: int) -> tuple[_Suffixes, np.ndarray]:
+def _covered(row, answers: pd.DataFrame, buckets: int, hot: tuple, length: int, gram: int) -> tuple[_Suffixes, np.ndarray]:
     """The chunk, and for each of its bytes whether a passage that also starts earlier covers it."""
     s = _Suffixes(row, length, gram)
     step = answers["step"].to_numpy() if len(answers) else np.zeros(0)
-    p = _Passages(s, answers[step == 0], buckets)
+    p = _Passages(s, answers[step == 0], buckets, hot)
     go = np.flatnonzero(~p.repeat)
     p.repeat[go] = _place_answers(p.bucket[go], answers[step == 1]) == 1
     edge = np.zeros(len(s.data) + 1, np.int32)
@@ -257,10 +289,10 @@ def _covered(row, answers: pd.DataFrame, buckets: int, length: int, gram: int) -
     return s, np.cumsum(edge[:-1], dtype=np.int32) > 0
 
 
-def _digest(_key, chunk: pd.DataFrame, answers: pd.DataFrame, buckets: int, length: int, gram: int) -> pd.DataFrame:
+def _digest(_key, chunk: pd.DataFrame, answers: pd.DataFrame, buckets: int, hot: tuple, length: int, gram: int) -> pd.DataFrame:
     out = []
     for _, row in chunk.iterrows():
-        s, covered = _covered(row, answers, buckets, length, gram)
+        s, covered = _covered(row, answers, buckets, hot, length, gram)
         for doc_id, end, size in zip(s.rows.column("doc_id").to_pylist(), s.ends.tolist(), s.sizes.tolist()):
             gone = covered[end - size : end]
             kept = s.data[end - size : end][~gone]
@@ -286,11 +318,11 @@ def _whole_characters(data: np.ndarray, covered: np.ndarray) -> np.ndarray:
     return covered
 
 
-def _cleaned(_key, chunk: pa.Table, answers: pa.Table, text_at: int, buckets: int, length: int, gram: int) -> pa.Table:
+def _cleaned(_key, chunk: pa.Table, answers: pa.Table, text_at: int, buckets: int, hot: tuple, length: int, gram: int) -> pa.Table:
     frame = answers.to_pandas()
     parts = []
     for row in chunk.to_pylist():
-        s, covered = _covered(row, frame, buckets, length, gram)
+        s, covered = _covered(row, frame, buckets, hot, length, gram)
         keep = ~_whole_characters(s.data, covered)
         texts = [
             s.data[end - size : end][keep[end - size : end]].tobytes().decode("utf-8", "replace")
@@ -300,17 +332,27 @@ def _cleaned(_key, chunk: pa.Table, answers: pa.Table, text_at: int, buckets: in
     return pa.concat_tables(parts)
 
 
-def _sorted_passes(rows: DataFrame, length: int, gram: int, chunk_bytes: int) -> tuple[DataFrame, DataFrame, int]:
-    """The chunks of the documents and the answers to all their digits."""
+def _sorted_passes(rows: DataFrame, length: int, gram: int, chunk_bytes: int) -> tuple[DataFrame, DataFrame, dict]:
+    """The chunks of the documents, the answers to all their digits, and what the steps have to know."""
     total = input_bytes(rows)
     chunks = chunked(rows, total, chunk_bytes)
     buckets = int(max(12, -(-total // BUCKET_BYTES)))
-    options = {"buckets": buckets, "length": length, "gram": gram}
+    counted = (
+        chunks.mapInPandas(partial(_count_grams, length=length, gram=gram), "gram long, n long")
+        .groupBy("gram")
+        .agg(F.sum("n").alias("n"))
+        .filter(F.col("n") > HOT_GRAM)
+        .collect()  # at most one in HOT_GRAM suffixes
+    )
+    grams = np.array([r["gram"] for r in counted], np.int64).view(np.uint64)
+    parts = np.array([-(-r["n"] // HOT_GRAM) for r in counted], np.uint64)
+    hot = grams[np.argsort(grams)], parts[np.argsort(grams)]
+    options = {"buckets": buckets, "hot": hot, "length": length, "gram": gram}
     # Read once by file splits: this step needs no particular distribution.
     first = materialise(
         chunks.mapInPandas(partial(_send_suffixes, **options), _MESSAGE)
         .groupBy("bucket")
-        .applyInPandas(_answer_suffixes, _MESSAGE),
+        .applyInPandas(partial(_answer_suffixes, hot=hot), _MESSAGE),
         "suffix-answers",
     )
     second = materialise(
@@ -322,7 +364,7 @@ def _sorted_passes(rows: DataFrame, length: int, gram: int, chunk_bytes: int) ->
         "passage-answers",
     )
     answers = first.withColumn("step", F.lit(0)).unionByName(second.withColumn("step", F.lit(1)))
-    return chunks, answers, buckets
+    return chunks, answers, options
 
 
 def repeated_passages(
@@ -338,12 +380,12 @@ def repeated_passages(
     no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    chunks, answers, buckets = _sorted_passes(rows, length, gram, chunk_bytes)
+    chunks, answers, options = _sorted_passes(rows, length, gram, chunk_bytes)
     return (
         chunks.groupBy("chunk")
         .cogroup(answers.groupBy("chunk"))
         .applyInPandas(
-            partial(_digest, buckets=buckets, length=length, gram=gram),
+            partial(_digest, **options),
             "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string",
         )
     )
@@ -358,11 +400,11 @@ def without_repeats(
     stays valid. NULL texts become empty.
     """
     rows = docs.select(*[F.col("doc_id").cast("long").alias("doc_id") if c == "doc_id" else F.col(c) for c in docs.columns])
-    chunks, answers, buckets = _sorted_passes(rows, length, gram, chunk_bytes)
+    chunks, answers, options = _sorted_passes(rows, length, gram, chunk_bytes)
     return (
         chunks.groupBy("chunk")
         .cogroup(answers.groupBy("chunk"))
         .applyInArrow(
-            partial(_cleaned, text_at=rows.columns.index("text"), buckets=buckets, length=length, gram=gram), rows.schema
+            partial(_cleaned, text_at=rows.columns.index("text"), **options), rows.schema
         )
     )
