@@ -12,6 +12,7 @@ Groups are formed inside a partition, so nothing is exchanged; only the last gro
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -87,12 +88,33 @@ def fill(sizes: list[int], capacity: int = CAPACITY) -> np.ndarray:
 
 
 class WordTokenizer:
-    """Ids of whole texts for a tokenizer that drops white space: each distinct word is tokenised once."""
+    """Ids of whole texts for a tokenizer that drops white space: each distinct word is tokenised once.
+
+    The added tokens of its file are found in the text as it stands, before it is lower-cased and split, and are one
+    id each. Of the words that are left none is an added token, whatever it looks like in lower case.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(t.normalized or t.single_word or not t.special for t in added.values()):
+            raise ValueError("added tokens that are not literals of the original text")
+        #: By a key that no word has: the literal behind a space.
+        self.added = {b" " + t.content.encode(): i.to_bytes(4, "little") for i, t in added.items()}
+        literals = sorted((re.escape(k[1:]) for k in self.added), key=len, reverse=True)
+        self.literal = re.compile(b"(" + b"|".join(literals) + b")") if literals else None
         self.tokenizer.encode_special_tokens = True
-        self.memory: dict[bytes, bytes] = {}
+        self.memory: dict[bytes, bytes] = dict(self.added)
+
+    def _words(self, text: str) -> list[bytes]:
+        # bytes.lower and bytes.split know ASCII only, which the tokenizer treats alike.
+        data = text.encode("utf-8", "surrogatepass")
+        if self.literal is None or not self.literal.search(data):
+            return data.lower().split()
+        words = []
+        for i, part in enumerate(self.literal.split(data)):
+            words += [b" " + part] if i % 2 else part.lower().split()
+        return words
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -100,8 +122,7 @@ class WordTokenizer:
         while at < len(texts):
             split, size = [], 0
             while at < len(texts) and (not split or size < TEXT_BLOCK):
-                # bytes.lower and bytes.split know ASCII only, which the tokenizer treats alike.
-                split.append(texts[at].encode("utf-8", "surrogatepass").lower().split())
+                split.append(self._words(texts[at]))
                 size += len(texts[at])
                 at += 1
             self._learn(split)
@@ -111,7 +132,7 @@ class WordTokenizer:
     def _learn(self, split: list[list[bytes]]) -> None:
         words = set().union(*split)
         if len(self.memory) + len(words) > REMEMBERED:
-            self.memory = {w: self.memory[w] for w in words & self.memory.keys()}
+            self.memory = {w: self.memory[w] for w in words & self.memory.keys()} | self.added
         fresh = words.difference(self.memory)
         # A word of ASCII letters is one piece for the tokenizer, and one more sign behind it another: these
         # need its merges only. All other words go through it whole.
@@ -219,8 +240,8 @@ def pack_documents(
     """Pieces of all documents in windows of at most ``capacity`` tokens.
 
     One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``, and with
-    ``with_ids`` the tokens as ``ids``. A document is the ids of its whole text, without special tokens, and
-    ``end_id``; NULL or empty texts are ``end_id`` alone. Every id is in one piece, and a window has no gaps.
+    ``with_ids`` the tokens as ``ids``. A document is the ids of its whole text (``add_special_tokens=False``;
+    added tokens that the text itself holds are ids of their own) and ``end_id``; NULL or empty texts are ``end_id`` alone. Every id is in one piece, and a window has no gaps.
     Long texts fill windows of their own and send only the rest to be packed. A NULL id stays NULL; repeated
     rows are packed each; an empty table gives no rows. ``sequence_id`` says which partition made the window.
     """
