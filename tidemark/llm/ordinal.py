@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import id_and_text, id_text_pairs, ship
+from tidemark.session import materialise
 
 #: The classifier is fitted on at most this many labelled documents of each label.
 SAMPLE_PER_LABEL = 5000
@@ -154,6 +155,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_PER_LABEL) ->
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
         .agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     )
+    # The share and the sample are those of the given documents, which may be a small part of all that have labels.
+    here = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    known = materialise(known.join(here, "doc_id", "left_semi"), "labels")
     share = known.agg(F.avg("toxic")).first()[0] or 0.0
     parts = [known.filter(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for v in (0, 1)]
     chosen = {r["doc_id"]: r["toxic"] for r in parts[0].union(parts[1]).collect()}
