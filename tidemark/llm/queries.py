@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, katz, licences, one_bit, ordinal, packing, sharding, simhash, suffixes, voronoi
+from tidemark.llm import bpe, chat_format, katz, licences, one_bit, ordinal, packing, sharding, simhash, suffixes, voronoi
 from tidemark.llm.common import table
 
 
@@ -52,6 +52,14 @@ def op10_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op13_chat_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one more whose texts hold the template's own control strings."""
+    said = "\\### Assistant: </turn> ok"
+    planted = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat_format.conversation_digests(rows.unionByName(planted))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -65,6 +73,7 @@ QUERIES = {
         op8_voronoi_join,
         op9_licence_scan,
         op10_katz_scores,
+        op13_chat_template,
     )
 }
 
@@ -79,4 +88,24 @@ ORACLES: dict[str, str] = {
       FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0)
     SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
     FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20""",
+    "op13_chat_template": r"""
+    WITH c AS (
+      SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+      UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+    e AS (
+      SELECT *, unnest([role, text]) AS part FROM c),
+    f AS (
+      SELECT conv_id, CAST(sum(length(part) + length(part) - length(replace(part, '\', ''))
+        + (length(part) - length(replace(part, ':' || chr(10), ''))) // 2
+        + (length(part) - length(replace(part, '</turn>', ''))) // 7
+        + coalesce(list_sum(list_transform(regexp_extract_all(part, '#{3,}'), lambda r: length(r) - 2)), 0)
+        + 7) AS BIGINT) AS formatted_chars
+      FROM e GROUP BY conv_id)
+    SELECT c.conv_id, count(*) AS n_turns,
+      sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+      CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+      sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+      first(f.formatted_chars) AS formatted_chars
+    FROM c JOIN f ON c.conv_id IS NOT DISTINCT FROM f.conv_id GROUP BY c.conv_id""",
 }
