@@ -19,6 +19,7 @@ COLUMNS = {
     "op8": "query_id bigint, rank int, vec_id bigint, score bigint",
     "op9": "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double",
     "op10": "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double",
+    "op12": "vec_id bigint, component int, n bigint, deviation bigint, whitened double, explained double, identity_error double",
     "op13": "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint",
 }
 
@@ -54,6 +55,8 @@ def test_columns_and_rows(spark, tables, edge_rows, name):
     rows = df.collect()
     if op in ("op1", "op8"):
         assert {r["query_id"] for r in rows} == {0, 20, 40}
+    elif op == "op12":
+        assert {r["vec_id"] for r in rows} == set(range(60)) and {r["n"] for r in rows} == {60}
     elif op == "op13":
         assert {r["conv_id"] for r in rows} == {-7, None, *range(7)}
     elif op == "op2":

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat_format, katz, licences, one_bit, ordinal, packing, sharding, simhash, suffixes, voronoi
+from tidemark.llm import bpe, chat_format, katz, licences, one_bit, ordinal, packing, sharding, simhash, suffixes, voronoi, whitening
 from tidemark.llm.common import table
 
 
@@ -52,6 +52,10 @@ def op10_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op13_chat_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one more whose texts hold the template's own control strings."""
     said = "\\### Assistant: </turn> ok"
@@ -73,6 +77,7 @@ QUERIES = {
         op8_voronoi_join,
         op9_licence_scan,
         op10_katz_scores,
+        op12_embedding_whitening,
         op13_chat_template,
     )
 }
