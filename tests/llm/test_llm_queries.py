@@ -19,6 +19,7 @@ COLUMNS = {
     "op8": "query_id bigint, rank int, vec_id bigint, score bigint",
     "op9": "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double",
     "op10": "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double",
+    "op11": "doc_id bigint, n_runs bigint, start bigint, length bigint, period bigint, exponent_milli bigint, runs_sha256 string, collapsed_sha256 string",
     "op12": "vec_id bigint, component int, n bigint, deviation bigint, whitened double, explained double, identity_error double",
     "op13": "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint",
 }

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat_format, katz, licences, one_bit, ordinal, packing, sharding, simhash, suffixes, voronoi, whitening
+from tidemark.llm import bpe, chat_format, katz, licences, one_bit, ordinal, packing, periodic, sharding, simhash, suffixes, voronoi, whitening
 from tidemark.llm.common import table
 
 
@@ -52,6 +52,33 @@ def op10_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score_documents(table(spark, sf_dir, "documents"))
 
 
+def _with_planted_runs(docs: DataFrame) -> DataFrame:
+    """Every tenth document by checksum of its id repeats a stretch of its own words to its end."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    n, g = F.size(words), F.floor(h / 10)
+    docs = docs.select("doc_id", "text", words.alias("words"), n.alias("n"), g.alias("g"), ((h % 10 == 0) & (n > 0)).alias("planted"))
+    a = F.pmod("g", "n").cast("int")
+    p = (F.lit(1) + F.floor((F.col("n") - a) / (F.lit(3) + F.col("g") % 8))).cast("int")
+    again = F.flatten(F.array_repeat(F.slice("words", a + 1, p), F.ceil((F.col("n") - a) / p).cast("int")))
+    planted = F.concat(F.slice("words", 1, a), F.slice(again, 1, F.col("n") - a))
+    return docs.select("doc_id", F.when(F.col("planted"), F.array_join(planted, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(_with_planted_runs(table(spark, sf_dir, "documents")))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    best = [F.col(f"strongest.{c}").alias(c) for c in ("start", "length", "period")]
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *best,
+        F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda line: F.concat(line, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -77,6 +104,7 @@ QUERIES = {
         op8_voronoi_join,
         op9_licence_scan,
         op10_katz_scores,
+        op11_periodic_runs,
         op12_embedding_whitening,
         op13_chat_template,
     )
