@@ -168,7 +168,7 @@ class _Joined:
         ends = inside == sizes[chosen][self.doc]
         self.words = np.empty(len(inside), np.int64)
         self.words[~ends] = words[(inside + first[chosen][self.doc])[~ends]]
-        self.words[ends] = len(words) + np.arange(len(chosen))
+        self.words[ends] = words.max(initial=0) + 1 + np.arange(len(chosen))
 
     def add(self, runs: list[Run], out: list[list[Run]]) -> None:
         """Runs go to their documents, with places counted from the document's first word."""
