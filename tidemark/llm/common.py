@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import zipfile
 from collections.abc import Iterable, Iterator
@@ -60,3 +62,22 @@ def id_text_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list, lis
         edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(ids)]
         for start, stop in zip(edges, edges[1:]):
             yield ids.slice(start, stop - start).to_pylist(), texts.slice(start, stop - start).to_pylist()
+
+
+def text_slices(batch: pa.RecordBatch, text_at: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with a few MB of text each; a longer text comes alone."""
+    sizes = pc.binary_length(batch.column(text_at)).fill_null(0).to_numpy(zero_copy_only=False)
+    group = (np.cumsum(sizes) - sizes) // SLICE_BYTES
+    edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+    for start, stop in zip(edges, edges[1:]):
+        yield batch.slice(start, stop - start)
+
+
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task: the worker is used again, by other stages too."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library; it keeps what was freed
+        pass

@@ -1,5 +1,8 @@
 """Near copies: texts whose sets of word shingles have a Jaccard similarity of at least 0.8. No such pair is missed.
 
+First the SimHash fingerprints of the sets meet by their balls (``simhash.link_fingerprints``), which finds most copies that
+differ little; then a prefix filter finds the rest, of which a ball that small misses many. Every pair is verified.
+
 A set shares at least 0.8 of itself with every near copy, so of two near copies the first 0.2 + 1 shingles of each, in
 one fixed order of all shingles, have one in common (prefix filter). Sets meet by these shingles and each pair is
 verified on the whole sets, unless parity bitmaps of the two already bound it below 0.8. Shingles that are frequent
@@ -8,7 +11,7 @@ in a sample come last in the order; the sample decides what a run costs, not wha
 Sets first meet the smallest set of their shingle; then, where a shingle joins sets of several components, the
 others of different components meet. A large group of copies thus costs one pair each.
 
-A SimHash ball that holds the same pairs is out of reach: at similarity 0.8 some 10 of 64 bits differ in the mean.
+A SimHash ball that holds all such pairs is out of reach: at similarity 0.8 some 10 of 64 bits differ in the mean.
 """
 
 from __future__ import annotations
@@ -22,9 +25,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import id_and_text, id_text_pairs, ship
+from tidemark.llm.common import give_back, id_and_text, id_text_pairs, ship
 from tidemark.llm.components import stars
-from tidemark.llm.simhash import first_of_groups
+from tidemark.llm.simhash import RADIUS, first_of_groups, link_fingerprints
 from tidemark.session import materialise
 
 SHINGLE_WORDS, SEED = 5, 42
@@ -54,6 +57,15 @@ def _name(own: np.ndarray) -> int:
     return int(np.array([xxhash.xxh64_intdigest(own.tobytes(), SEED)], np.uint64).view(np.int64)[0])
 
 
+def _fingerprint(own: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half of the hashes of the set."""
+    bits = np.zeros(64, np.int64)
+    for at in range(0, len(own), 1 << 16):
+        part = own[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8)
+        bits += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * bits > len(own), bitorder="little").view(np.int64)[0])
+
+
 def _parity(own: np.ndarray) -> bytes:
     """A bit is 1 if an odd number of the set falls on it: two sets differ in at least as many members as bits.
 
@@ -76,7 +88,7 @@ def _differ(a: bytes, b: bytes) -> int:
 
 def _prefixes(batches: Iterator[pa.RecordBatch], frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
     for ids, texts in id_text_pairs(batches):
-        names, sizes, prefixes, bits = [], [], [], []
+        names, sizes, prefixes, bits, prints, commons = [], [], [], [], [], []
         for text in texts:
             own = shingles(text)
             size = len(own)
@@ -85,7 +97,9 @@ def _prefixes(batches: Iterator[pa.RecordBatch], frequent: np.ndarray) -> Iterat
             names.append(_name(own))
             sizes.append(size)
             bits.append(_parity(own))
+            prints.append(_fingerprint(own))
             prefixes.append(own_order[: size - -(-SIMILAR * size // OF) + 1])
+            commons.append(max(0, len(prefixes[-1]) - (size - int(common.sum()))))
         offsets = np.cumsum([0, *map(len, prefixes)])
         flat = np.concatenate([np.zeros(0, np.int64), *prefixes])
         yield pa.RecordBatch.from_arrays(
@@ -94,10 +108,13 @@ def _prefixes(batches: Iterator[pa.RecordBatch], frequent: np.ndarray) -> Iterat
                 pa.array(names, pa.int64()),
                 pa.array(sizes, pa.int64()),
                 pa.array(bits, pa.binary()),
+                pa.array(prints, pa.int64()),
+                pa.array(commons, pa.int32()),
                 pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat)),
             ],
-            ["doc_id", "value", "size", "bits", "prefix"],
+            ["doc_id", "value", "size", "bits", "print", "common", "prefix"],
         )
+    give_back()
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,11 +152,12 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b, near = batch.column("a"), batch.column("b"), []
         for x, y in zip(batch.column("own_a"), batch.column("own_b")):
-            x, y = np.frombuffer(x.as_py(), np.int64), np.frombuffer(y.as_py(), np.int64)
+            x, y = np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64)
             shared = len(np.intersect1d(x, y, assume_unique=True))
             near.append(OF * shared >= SIMILAR * (len(x) + len(y) - shared))
         near = pa.array(near, pa.bool_())
         yield pa.RecordBatch.from_arrays([a.filter(near), b.filter(near)], ["a", "b"])
+    give_back()
 
 
 def _frequent(docs: DataFrame) -> np.ndarray:
@@ -203,31 +221,49 @@ def near_copies(docs: DataFrame) -> DataFrame:
     options = {"frequent": _frequent(docs)}
     hashed = materialise(
         id_and_text(docs).mapInArrow(
-            partial(_prefixes, **options), "doc_id long, value long, size long, bits binary, prefix array<long>"
+            partial(_prefixes, **options), "doc_id long, value long, size long, bits binary, print long, common int, prefix array<long>"
         ),
         "prefixes",
     )
     distinct = materialise(
-        hashed.groupBy("value").agg(F.min("doc_id").alias("first"), F.first("size").alias("size"), F.first("bits").alias("bits")),
+        hashed.groupBy("value").agg(
+            F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in ("size", "bits", "print")]
+        ),
         "distinct-sets",
     )
-    # Equal sets have equal prefixes: one of each is enough.
-    tokens = (
-        hashed.select("value", "size", "prefix")
-        .dropDuplicates(["value"])
-        .select("value", "size", F.explode("prefix").alias("token"))
+    # Sets of one fingerprint meet the smallest of them, and these meet by the balls of their fingerprints.
+    prints = materialise(distinct.groupBy("print").agg(F.min_by("value", F.struct("size", "value")).alias("leader")), "prints")
+    met = link_fingerprints(prints.select(F.col("print").alias("value")), RADIUS)
+    for side in ("a", "b"):
+        met = met.join(prints.select(F.col("print").alias(side), F.col("leader").alias(f"set_{side}")), side)
+    alike = distinct.select("print", "value").join(prints, "print").filter("value <> leader")
+    balls = met.select(F.col("set_a").alias("a"), F.col("set_b").alias("b")).union(alike.select("leader", "value"))
+    ball_links = _near(balls, distinct, docs)
+    ball_roots = stars(ball_links).select(F.col("a").alias("value"), F.col("b").alias("root"))
+
+    # Equal sets have equal prefixes: one of each is enough. ``common``: so many of a prefix, its last, are frequent ones.
+    at, length = F.posexplode("prefix").alias("at", "token"), F.size("prefix").alias("n_prefix")
+    tokens = hashed.select("value", "size", "common", "prefix").dropDuplicates(["value"])
+    tokens = tokens.select("value", "size", "common", length, at).select(
+        "value", "size", "token", (F.col("at") >= F.col("n_prefix") - F.col("common")).alias("frequent")
     )
-    # One exchange; of most shingles a single set has one.
+    # Of most shingles a single set has one: one exchange, to which each brings few rows. The frequent ones are at most
+    # MOST_FREQUENT and are added up before they are sent, so that their rows are not.
     meeting = Window.partitionBy("token")
-    shared = materialise(
-        tokens.withColumn("n", F.count("*").over(meeting))
-        .withColumn("leader", F.min(F.struct("size", "value")).over(meeting))
-        .filter("n > 1")
-        .select("token", "value", "size", "n", F.col("leader.value").alias("leader"), F.col("leader.size").alias("least")),
-        "shared",
-    )
+    leader = F.min(F.struct("size", "value"))
+    rare = tokens.filter(~F.col("frequent")).withColumn("n", F.count("*").over(meeting)).withColumn("leader", leader.over(meeting))
+    frequent = tokens.filter("frequent")
+    led_by = frequent.groupBy("token").agg(F.count("*").alias("n"), leader.alias("leader"))
+    frequent = frequent.join(F.broadcast(led_by), "token")
+    columns = ["token", "value", "size", "n", F.col("leader.value").alias("leader"), F.col("leader.size").alias("least")]
+    shared = rare.filter("n > 1").select(*columns).union(frequent.filter("n > 1").select(*columns))
+    shared = materialise(shared, "shared")
     led = shared.filter((F.col("value") != F.col("leader")) & (OF * F.col("least") >= SIMILAR * F.col("size")))
-    first_links = _near(led.select(F.col("leader").alias("a"), F.col("value").alias("b")), distinct, docs)
+    led = led.select(F.col("leader").alias("a"), F.col("value").alias("b")).distinct()
+    for side in ("a", "b"):
+        led = led.join(ball_roots.select(F.col("value").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
+    led = led.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    first_links = ball_links.union(_near(led, distinct, docs))
     roots = stars(first_links).select(F.col("a").alias("value"), F.col("b").alias("root"))
 
     # Sets of different components that share a shingle and have not met.

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import id_and_text, id_text_pairs, ship
+from tidemark.llm.common import give_back, id_and_text, id_text_pairs, ship, text_slices
 from tidemark.session import materialise
 
 #: The classifier is fitted on at most this many labelled documents of each label.
@@ -140,14 +140,15 @@ def fit(documents: list[np.ndarray], toxic: np.ndarray, toxic_share: float) -> O
 
 def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for ids, texts in id_text_pairs(batches):
-        packed = [np.fromiter(features(t), np.uint32).tobytes() for t in texts]
+        packed = [np.sort(np.fromiter(features(t), np.uint32)).tobytes() for t in texts]
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "f"])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_PER_LABEL) -> OrdinalModel:
     """Fit on a bounded sample: of each label, the ``sample`` labelled ids of least hash.
 
-    Labels that are NULL or have no document are left out; of several labels of one id the toxic one counts.
+    Labels that are NULL or have no document are left out; of several labels of one id the toxic one counts, of several
+    texts of one id that whose features come last in byte order.
     """
     ship(docs.sparkSession)
     known = (
@@ -170,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_PER_LABEL) ->
         .mapInArrow(_feature_batches, "doc_id long, f binary")
         .collect()
     )
-    rows = sorted({r["doc_id"]: r["f"] for r in rows}.items())
+    rows = sorted(dict(sorted((r["doc_id"], bytes(r["f"])) for r in rows)).items())
     if not rows:
         return OrdinalModel({}, (50.0, 60.0))
     arrays = [np.frombuffer(f, np.uint32) for _, f in rows]
@@ -203,13 +204,23 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel, threshold: float = THRE
     return id_and_text(docs).mapInArrow(partial(_score_batches, model=model, threshold=threshold), SCHEMA)
 
 
+def _keep_batches(
+    batches: Iterator[pa.RecordBatch], text_at: int, model: OrdinalModel, threshold: float
+) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in text_slices(batch, text_at):
+            texts = part.column(text_at).fill_null("").to_pylist()
+            yield part.filter(pa.array([model.above(t)[0] < threshold for t in texts], pa.bool_()))
+    give_back()
+
+
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the rows judged toxic, all columns kept as they are."""
+    """``docs`` without the rows judged toxic, all columns and rows otherwise as they are.
+
+    Every row is judged by its whole text, whatever its id: repeated rows stay or go together, and rows with a NULL id
+    are judged like others. A NULL or empty text is judged by the thresholds alone and stays.
+    """
     model = train(docs, labels)
     ship(docs.sparkSession)
-
-    @F.arrow_udf("boolean")
-    def toxic(texts: pa.Array) -> pa.Array:
-        return pa.array([model.above(t.as_py() or "")[0] >= threshold for t in texts], pa.bool_())
-
-    return docs.filter(~toxic(F.col("text")))
+    keep = partial(_keep_batches, text_at=docs.columns.index("text"), model=model, threshold=threshold)
+    return docs.mapInArrow(keep, docs.schema)

@@ -24,15 +24,15 @@ from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from tidemark.llm.common import id_and_text, id_text_pairs, ship
+from tidemark.llm.common import give_back, id_and_text, id_text_pairs, ship
 
 CAPACITY = 2048
 #: Rests are cut into pieces of this many tokens; smaller pieces make fuller windows and more cuts.
 PIECE = 512
 #: Windows that are filled together.
 GROUP_WINDOWS = 256
-#: Words remembered by a worker with their ids; a full memory keeps those of the text at hand.
-REMEMBERED = 800_000
+#: Words remembered by a worker with their ids, in two halves; when one is full, it takes the place of the older one.
+REMEMBERED = 1_600_000
 #: Characters whose new words are tokenised together.
 TEXT_BLOCK = 1 << 22
 
@@ -87,6 +87,24 @@ def fill(sizes: list[int], capacity: int = CAPACITY) -> np.ndarray:
         k += 1
 
 
+# One printable sign for each byte, as byte-level tokenizers name them: bytes that are no printable Latin-1 signs get
+# the code points from 256 on, in their order.
+_HIDDEN = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE)]
+_SIGNS = {b: 256 + i for i, b in enumerate(_HIDDEN)}
+#: Letters below this code point are composed and have simple lower-case forms, but for one.
+_LATIN, _NOT_SIMPLE = "\u0250", "\u0130"
+
+
+def _letters(word: bytes) -> str | None:
+    """A word of nothing but Latin letters in lower case, as the signs of its bytes; None for any other word."""
+    if word.isascii():
+        return word.decode() if word.isalpha() else None
+    text = word.decode("utf-8", "surrogatepass")
+    if not text.isalpha() or max(text) >= _LATIN or _NOT_SIMPLE in text:
+        return None
+    return text.lower().encode().decode("latin-1").translate(_SIGNS)
+
+
 class WordTokenizer:
     """Ids of whole texts for a tokenizer that drops white space: each distinct word is tokenised once.
 
@@ -94,7 +112,8 @@ class WordTokenizer:
     id each. Of the words that are left none is an added token, whatever it looks like in lower case.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
+        self.remembered = remembered
         self.tokenizer = Tokenizer.from_file(path)
         added = self.tokenizer.get_added_tokens_decoder()
         if any(t.normalized or t.single_word or not t.special for t in added.values()):
@@ -105,6 +124,7 @@ class WordTokenizer:
         self.literal = re.compile(b"(" + b"|".join(literals) + b")") if literals else None
         self.tokenizer.encode_special_tokens = True
         self.memory: dict[bytes, bytes] = dict(self.added)
+        self.older: dict[bytes, bytes] = {}
 
     def _words(self, text: str) -> list[bytes]:
         # bytes.lower and bytes.split know ASCII only, which the tokenizer treats alike.
@@ -125,36 +145,45 @@ class WordTokenizer:
                 split.append(self._words(texts[at]))
                 size += len(texts[at])
                 at += 1
-            self._learn(split)
+            self._learn(set().union(*split))
             for words in split:
                 yield b"".join(map(self.memory.__getitem__, words))
 
-    def _learn(self, split: list[list[bytes]]) -> None:
-        words = set().union(*split)
-        if len(self.memory) + len(words) > REMEMBERED:
-            self.memory = {w: self.memory[w] for w in words & self.memory.keys()} | self.added
-        fresh = words.difference(self.memory)
-        # A word of ASCII letters is one piece for the tokenizer, and one more sign behind it another: these
+    def _learn(self, words: set[bytes]) -> None:
+        if len(self.memory) + len(words) > self.remembered // 2:
+            self.older, self.memory = self.memory, dict(self.added)
+        memory, older = self.memory, self.older
+        fresh = words.difference(memory)
+        if older:
+            again = fresh.intersection(older)
+            memory.update(zip(again, map(older.__getitem__, again)))
+            fresh -= again
+        # A word of Latin letters is one piece for the tokenizer, and one more sign behind it another: these
         # need its merges only. All other words go through it whole.
-        plain = {w for w in fresh if w.isalpha()}
-        ended = {w for w in fresh if w[-1] < 0x80 and not w[-1:].isalnum() and w[:-1].isalpha()}
-        others = fresh - plain - ended | {w[-1:] for w in ended} - self.memory.keys()
-        plain |= {w[:-1] for w in ended} - self.memory.keys()
         merge = self.tokenizer.model.tokenize
-        for w in plain:
-            self.memory[w] = array("I", [t.id for t in merge(w.decode())]).tobytes()
-        others = list(others)
-        for start in range(0, len(others), 1 << 14):
-            part = others[start : start + (1 << 14)]
+        ended, others = [], set()
+        for w in fresh:
+            if (letters := _letters(w)) is not None:
+                memory[w] = array("I", [t.id for t in merge(letters)]).tobytes()
+            elif w[-1] < 0x80 and not w[-1:].isalnum() and (letters := _letters(w[:-1])) is not None:
+                ended.append((w, w[:-1], letters))
+                others.add(w[-1:])
+            else:
+                others.add(w)
+        rest = list(others - memory.keys())
+        for start in range(0, len(rest), 1 << 14):
+            part = rest[start : start + (1 << 14)]
             encoded = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            self.memory.update(zip(part, [array("I", e.ids).tobytes() for e in encoded]))
-        for w in ended:
-            self.memory[w] = self.memory[w[:-1]] + self.memory[w[-1:]]
+            memory.update(zip(part, [array("I", e.ids).tobytes() for e in encoded]))
+        for w, stem, letters in ended:
+            if (ids := memory.get(stem)) is None:
+                ids = memory[stem] = array("I", [t.id for t in merge(letters)]).tobytes()
+            memory[w] = ids + memory[w[-1:]]
 
 
 @lru_cache(maxsize=2)
-def _loaded(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
+def _loaded(path: str, remembered: int) -> WordTokenizer:
+    return WordTokenizer(path, remembered)
 
 
 class _Packer:
@@ -213,9 +242,9 @@ class _Packer:
 
 
 def _pack_batches(
-    batches: Iterator[pa.RecordBatch], name: str, end_id: int, capacity: int, piece: int, with_ids: bool
+    batches: Iterator[pa.RecordBatch], name: str, end_id: int, capacity: int, piece: int, with_ids: bool, remembered: int
 ) -> Iterator[pa.RecordBatch]:
-    tokenizer = _loaded(SparkFiles.get(name))
+    tokenizer = _loaded(SparkFiles.get(name), remembered)
     packer = _Packer(TaskContext.get().partitionId() << 36, capacity, piece, with_ids)
     end = end_id.to_bytes(4, "little")
     for ids, texts in id_text_pairs(batches):
@@ -227,6 +256,8 @@ def _pack_batches(
                 yield packer.take()
     packer.flush()
     yield packer.take()
+    del packer
+    give_back()
 
 
 def pack_documents(
@@ -236,6 +267,7 @@ def pack_documents(
     capacity: int = CAPACITY,
     piece: int = PIECE,
     with_ids: bool = False,
+    remembered: int = REMEMBERED,
 ) -> DataFrame:
     """Pieces of all documents in windows of at most ``capacity`` tokens.
 
@@ -244,9 +276,10 @@ def pack_documents(
     added tokens that the text itself holds are ids of their own) and ``end_id``; NULL or empty texts are ``end_id`` alone. Every id is in one piece, and a window has no gaps.
     Long texts fill windows of their own and send only the rest to be packed. A NULL id stays NULL; repeated
     rows are packed each; an empty table gives no rows. ``sequence_id`` says which partition made the window.
+    ``remembered`` words with their ids stay in a worker's memory; fewer cost time, the result is the same.
     """
     ship(docs.sparkSession)
     docs.sparkSession.sparkContext.addFile(tokenizer)  # a vocabulary of fixed size
-    options = {"name": tokenizer.rsplit("/", 1)[-1], "end_id": end_id, "capacity": capacity, "piece": piece}
+    options = {"name": tokenizer.rsplit("/", 1)[-1], "end_id": end_id, "capacity": capacity, "piece": piece, "remembered": remembered}
     schema = PIECES + (", ids array<int>" if with_ids else "")
     return id_and_text(docs).mapInArrow(partial(_pack_batches, with_ids=with_ids, **options), schema)
