@@ -17,7 +17,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, Jaccard similarity of at least 0.8."""
+    """One document of each group of near copies stays: five-word shingles, Jaccard similarity of at least 0.8.
+
+    Fingerprints meet by SimHash balls first; the pairs that lie outside of every ball are found by a prefix filter. Of rows
+    that share an id one stays; of rows with a NULL id one of each text stays.
+    """
     return near_copies.one_of_each(docs)
 
 
@@ -30,8 +34,12 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Windows of at most 2048 tokens: one row per piece, with its ids."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True)
+    """Windows of at most 2048 tokens: one row per piece, with its ids.
+
+    Workers serve all stages, so each remembers fewer words than a job that only packs.
+    """
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack_documents(docs, vocabulary, with_ids=True, remembered=200_000)
 
 
 STAGES = [
