@@ -1,6 +1,6 @@
 """Every registered query with its equivalent SQL, over the supplied tables."""
 
-from catalogue import cycles, filters, index, maintain, report, sources, store, trend
+from catalogue import cycles, filters, index, joins, maintain, report, sources, store, trend
 from catalogue.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "cycles", "filters", "index", "maintain", "report", "sources", "store", "trend"]
+__all__ = ["ORACLES", "QUERIES", "cycles", "filters", "index", "joins", "maintain", "report", "sources", "store", "trend"]
