@@ -121,6 +121,7 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, texts in id_text_pairs(batches):
         for text in texts:
             yield pa.RecordBatch.from_arrays([pa.array(shingles(text))], ["token"])
+    give_back()
 
 
 def _sets(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -133,6 +134,7 @@ def _sets(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iterator[pa.
                 [pa.array([_name(o) for o in owns], pa.int64()), pa.array([o.tobytes() for o in owns], pa.binary())],
                 ["value", "own"],
             )
+    give_back()
 
 
 def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,6 +148,7 @@ def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared = (both - differ) // 2
         near = pa.array(OF * shared >= SIMILAR * (both - shared))
         yield pa.RecordBatch.from_arrays([batch.column(c).filter(near) for c in ("a", "b")], ["a", "b"])
+    give_back()
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
