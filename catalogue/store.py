@@ -14,14 +14,14 @@ from catalogue.index import tidy_composition, tidy_index
 from catalogue.registry import query
 from catalogue.sources import _SQL_PAGES, _history_payloads
 from catalogue.trend import _CUTOFF, _SQL_BACKFILL, _SQL_STRICT, START, _late, _stored_index
-from catalogue.views import PART_RULES, SQL_EVQ, events_daily_by_type, shipping_daily, table
+from catalogue.views import PART_RULES, SQL_EVQ, SQL_LIN, events_daily_by_type, shipping_daily, table
 from tidemark.operators import classify as cl
 from tidemark.operators import index as ix
 from tidemark.operators import maintain as mt
 from tidemark.operators import trend as tr
 from tidemark.plans import history, market
 from tidemark.schema import PRICES
-from tidemark.session import scratch_path
+from tidemark.session import materialise, scratch_path
 from tidemark.sources import payloads, prices, results
 
 _ROWS = "coin_id, quote, date, open, high, low, close, volume_from, volume_to"
@@ -213,9 +213,7 @@ def i03_two_fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _shipping_store(spark: SparkSession, sf_dir: str) -> str:
     path = scratch_path(spark, "store")
-    rows = shipping_daily(spark, sf_dir).withColumn("quote", F.lit("BTC"))
-    missing = {c: F.lit(None).cast("double") for c in _VALUES if c not in rows.columns}
-    prices.write_prices(rows.withColumns(missing).select(*PRICES.fieldNames()), path)
+    prices.write_prices(_shipping_prices(spark, sf_dir), path)
     return path
 
 
@@ -264,6 +262,83 @@ def t15_coverage_by_quote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ix.coverage(events_daily_by_type(spark, sf_dir))
 
 
+@query(
+    "t15_stored_coverage",
+    f"""SELECT coin_id, quote, min(date) AS start_date, max(date) AS end_date, count(*) AS days
+    FROM ({SQL_EVQ}) GROUP BY ALL""",
+)
+def t15_stored_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coverage of a store from its month summaries, after an increment."""
+    return market.stored_coverage(spark, _two_writes(spark, sf_dir, events_daily_by_type(spark, sf_dir)))
+
+
+def _two_writes(spark: SparkSession, sf_dir: str, rows: DataFrame) -> str:
+    path = scratch_path(spark, "store")
+    late = F.date_format("date", "yyyyMMdd").cast("int") % 3 == 0
+    prices.write_prices(rows.filter(~late), path)
+    prices.merge_into_store(spark, path, rows.filter(late))
+    return path
+
+
+def _shipping_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = shipping_daily(spark, sf_dir).withColumn("quote", F.lit("BTC"))
+    missing = {c: F.lit(None).cast("double") for c in _VALUES if c not in rows.columns}
+    return rows.withColumns(missing).select(*PRICES.fieldNames())
+
+
+def _sql_stored_trend(start: str, end: str) -> str:
+    return f"""SELECT coin_id, round(a, 8) AS a, round(b, 6) AS b, round(r2, 6) AS r2, n_points FROM (
+      SELECT coin_id, regr_slope(y, x) AS a, regr_intercept(y, x) AS b, regr_r2(y, x) AS r2, count(*) AS n_points
+      FROM (SELECT coin_id, date, datediff('day', DATE '{start}', date)::DOUBLE AS x,
+              close / first_value(close) OVER (PARTITION BY coin_id ORDER BY date) AS y FROM ({SQL_LIN}))
+      WHERE date BETWEEN DATE '{start}' AND DATE '{end}' GROUP BY coin_id HAVING count(*) >= 30)"""
+
+
+def _rounded(trend: DataFrame) -> DataFrame:
+    return trend.select("coin_id", *[F.round(c, n).alias(c) for c, n in (("a", 8), ("b", 6), ("r2", 6))], "n_points")
+
+
+@query("p01_stored_trend", _sql_stored_trend("1994-03-01", "1997-08-31"))
+def p01_stored_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fits merged from month summaries alone, after an increment."""
+    path = _two_writes(spark, sf_dir, _shipping_prices(spark, sf_dir))
+    return _rounded(market.stored_trend(spark, path, "BTC", date(1994, 3, 1), date(1997, 8, 31)))
+
+
+@query("p01_stored_trend_cut", _sql_stored_trend("1994-03-17", "1997-08-12"))
+def p01_stored_trend_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where the window cuts two months, which are read from the prices."""
+    path = _two_writes(spark, sf_dir, _shipping_prices(spark, sf_dir))
+    return _rounded(market.stored_trend(spark, path, "BTC", date(1994, 3, 17), date(1997, 8, 12)))
+
+
+_SQL_ZEROS = f"""SELECT coin_id, quote, date, open, high, low, volume_from, volume_to,
+    CASE WHEN coin_id LIKE '%3' AND day(date) < 20 THEN 0.0::DOUBLE ELSE close END AS close FROM ({SQL_EVQ})"""
+
+
+@query(
+    "s04_after_cut_merge",
+    f"""WITH px AS ({_SQL_ZEROS}), f AS (SELECT coin_id, quote, min(date) FILTER (close > 0) AS first FROM px GROUP BY ALL)
+    SELECT {_ROWS} FROM px JOIN f USING (coin_id, quote) WHERE first IS NULL OR date >= first""",
+)
+def s04_after_cut_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A merge that ended when its new rows were in place but neither old rows trimmed nor the state written, then run again."""
+    path = scratch_path(spark, "store")
+    zero = F.col("coin_id").like("%3") & (F.dayofmonth("date") < 20)
+    rows = events_daily_by_type(spark, sf_dir).withColumn("close", F.when(zero, 0.0).otherwise(F.col("close")))
+    # Days 1 to 10 with zeros, which a series without a positive close keeps.
+    prices.write_prices(rows.filter(F.dayofmonth("date") <= 10), path)
+    delta = rows.filter(F.dayofmonth("date") > 10)
+    cut = prices.scan_prices(spark, path).unionByName(delta.filter("quote <> 'CLICK'").select(*PRICES.fieldNames()))
+    cut = materialise(cut, "cut")
+    prices.delete_folder(spark, f"{path}/_series/_SUCCESS")
+    prices.delete_folder(spark, f"{path}/_months")
+    months = cut.withColumn("month", F.date_format("date", "yyyy-MM"))
+    months.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("quote", "month").parquet(path)
+    prices.merge_into_store(spark, path, delta)
+    return prices.scan_prices(spark, path)
+
+
 @query(
     "t15_coverage_of_quote",
     f"""SELECT coin_id, min(date) AS start_date, max(date) AS end_date, count(*) AS days

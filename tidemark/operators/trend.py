@@ -64,6 +64,64 @@ def linear_trend(
     )
 
 
+def linear_trend_from_months(
+    summaries: DataFrame,
+    start: date = TREND_START,
+    as_of: date | None = None,
+    min_points: int = TREND_MIN_POINTS,
+    edges: DataFrame | None = None,
+    base: str = "series",
+) -> DataFrame:
+    """``linear_trend`` merged from one row per series and month (``sources.prices.summarise``), of one quote.
+
+    Only months that lie within [start, as_of] as a whole count; ``edges`` are summaries of the parts of the months at both ends
+    that belong to the window. Sums around the means of months are moved to the mean of all by the offset of the
+    means, so nothing cancels. Base "series" takes the first price from all months, also those before the window.
+    """
+    if base not in BASES:
+        raise ValueError(f"base must be one of {BASES}")
+    month_start = F.to_date(F.concat("month", F.lit("-01")))
+    inside = month_start >= F.lit(start)
+    if as_of is not None:
+        inside = inside & (F.last_day(month_start) <= F.lit(as_of))
+    columns = ["coin_id", "n", "first_date", "first", "mean_x", "mean_y", "xx", "xy", "yy"]
+    rows = summaries.filter(F.col("n") > 0).select(*columns, inside.alias("_in"))
+    if edges is not None:
+        rows = rows.unionByName(edges.filter(F.col("n") > 0).select(*columns, F.lit(True).alias("_in")))
+    if base == "window":
+        rows = rows.filter("_in")
+    series = Window.partitionBy("coin_id")
+    n = F.when(F.col("_in"), F.col("n")).otherwise(F.lit(0))
+    rows = rows.withColumn("_n", n).withColumns(
+        {f"_mean_{c}": F.sum(F.col("_n") * F.col(f"mean_{c}")).over(series) / F.nullif(F.sum("_n").over(series), F.lit(0)) for c in "xy"}
+    )
+    off_x, off_y = (F.col(f"mean_{c}") - F.col(f"_mean_{c}") for c in "xy")
+
+    def merged(own: str, offset: Column) -> Column:
+        return F.sum(F.when(F.col("_in"), F.col(own) + F.col("_n") * offset))
+
+    fit = rows.groupBy("coin_id").agg(
+        merged("xx", off_x * off_x).alias("_xx"),
+        merged("xy", off_x * off_y).alias("_xy"),
+        merged("yy", off_y * off_y).alias("_yy"),
+        *[F.first(c).alias(c) for c in ("_mean_x", "_mean_y")],
+        F.min_by("first", "first_date").alias("_base"),
+        F.sum("_n").alias("n_points"),
+    )
+    slope = F.col("_xy") / F.nullif(F.col("_xx"), F.lit(0.0))
+    first = F.nullif(F.col("_base"), F.lit(0.0))
+    origin = F.unix_date(F.lit(start)).cast("double")
+    squared = F.col("_xy") * F.col("_xy") / F.nullif(F.col("_xx") * F.col("_yy"), F.lit(0.0))
+    r2 = F.when(F.col("_xx") > 0, F.when(F.col("_yy") > 0, squared).otherwise(F.lit(1.0)))
+    return fit.filter(F.col("n_points") >= min_points).select(
+        "coin_id",
+        (slope / first).alias("a"),
+        ((F.col("_mean_y") - slope * (F.col("_mean_x") - origin)) / first).alias("b"),
+        r2.alias("r2"),
+        "n_points",
+    )
+
+
 def _by_date(index: DataFrame) -> DataFrame:
     """Index value per date. Grouping proves the bound that allows a broadcast: one row per calendar date.
 
@@ -106,39 +164,36 @@ def backfill(
     """Extend each series back to the start of the index with the index scaled to meet it.
 
     At the first date f of an entity, k = price / index(f); before f the series is index * k. Only
-    entities with f < ``cutoff`` are kept. The dates before f are generated per entity and looked up in
-    the index by equality; the index has one row per calendar date, so it is small by construction.
+    entities with f < ``cutoff`` are kept. The dates before f are generated from the entity's first row and looked up in
+    the index by equality; the index has one row per calendar date, so it is small by construction. The series are
+    read once and shuffled once, by entity.
     """
-    by_date = F.broadcast(_by_date(index))
-    first_index = index.select(F.min("date")).scalar()
-    own = prices.select("coin_id", "date", F.col(value).alias("price")).filter(F.col("price").isNotNull())
-    firsts = (
-        own.groupBy("coin_id")
-        .agg(F.min("date").alias("first_date"), F.min_by("price", "date").alias("first_price"))
-        .filter(F.col("first_date") < F.lit(cutoff))
+    order = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # One row per calendar date, with the first of them.
+    by_date = F.broadcast(_by_date(index).select("date", "index_price", F.min("date").over(order).alias("_low")))
+    series = Window.partitionBy("coin_id").orderBy("date")
+    own = (
+        prices.select("coin_id", "date", F.col(value).alias("price"))
+        .filter(F.col("price").isNotNull())
+        .withColumn("_n", F.row_number().over(series))
+        .withColumn("_first", F.first("date").over(series))
+        .filter(F.col("_first") < F.lit(cutoff))
     )
-    scaled = (
-        firsts.withColumnRenamed("first_date", "date")
-        .join(by_date, "date")
+    meets = own.join(by_date, "date", "left").withColumn("_k", F.col("price") / F.nullif(F.col("index_price"), F.lit(0.0)))
+    grows = (F.col("_n") == 1) & F.col("_k").isNotNull() & (F.col("_low") < F.col("date"))
+    days = F.when(grows, F.sequence("_low", "date")).otherwise(F.array("date"))
+    filled = meets.select("coin_id", "price", "_k", F.col("date").alias("_own"), F.explode(days).alias("date"))
+    backfilled = F.col("date") < F.col("_own")
+    return (
+        filled.join(by_date.select("date", "index_price"), "date", "left")
+        .filter(~backfilled | F.col("index_price").isNotNull())
         .select(
             "coin_id",
-            F.col("date").alias("first_date"),
-            (F.col("first_price") / F.nullif(F.col("index_price"), F.lit(0.0))).alias("k"),
-        )
-        .filter(F.col("k").isNotNull())
-        .withColumn("_low", first_index)
-        .filter(F.col("_low") < F.col("first_date"))
-    )
-    prepended = (
-        scaled.select(
-            "coin_id", "k", F.explode(F.sequence("_low", F.date_sub("first_date", 1))).alias("date")
+            "date",
+            F.when(backfilled, F.col("index_price") * F.col("_k")).otherwise(F.col("price")).alias("price"),
+            backfilled.alias("is_backfilled"),
         )
-        .join(by_date, "date")
-        .select("coin_id", "date", (F.col("index_price") * F.col("k")).alias("price"))
-        .withColumn("is_backfilled", F.lit(True))
     )
-    kept = own.join(firsts.select("coin_id"), "coin_id", "left_semi")
-    return kept.withColumn("is_backfilled", F.lit(False)).unionByName(prepended)
 
 
 def start_at_one(

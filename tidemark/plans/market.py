@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from calendar import monthrange
 from collections.abc import Sequence
 from datetime import date, timedelta
 
@@ -20,9 +21,10 @@ from tidemark.operators.cycles import (
     label_dates,
 )
 from tidemark.operators.index import IndexResult, compute_index, in_range
-from tidemark.params import DEFAULT_QUOTE, DEFAULT_RULES, INDEX_TOP_N, VOLUME_WINDOW, RuleSet
+from tidemark.operators.trend import linear_trend_from_months
+from tidemark.params import DEFAULT_QUOTE, DEFAULT_RULES, INDEX_TOP_N, TREND_MIN_POINTS, TREND_START, VOLUME_WINDOW, RuleSet
 from tidemark.session import materialise
-from tidemark.sources.prices import scan_prices, series_state
+from tidemark.sources.prices import month_summaries, scan_prices, series_state, summarise
 from tidemark.sources.results import read_composition, read_index, write_result
 
 
@@ -111,3 +113,45 @@ def chart_tables(
         "day_totals": report.day_totals(composition),
         "grid": report.availability_grid(composition),
     }
+
+
+def stored_trend(
+    spark: SparkSession,
+    path: str,
+    quote: str,
+    start: date = TREND_START,
+    as_of: date | None = None,
+    min_points: int = TREND_MIN_POINTS,
+    base: str = "series",
+) -> DataFrame:
+    """``linear_trend`` of a stored quote from its month summaries.
+
+    Of the prices only the months are read that the window cuts: none, if it starts on the first day of a month and has no end
+    or ends on the last of one.
+    """
+    months = month_summaries(spark, path).filter(F.col("quote") == quote.upper())
+    edges = None
+    for low, high in _cut_months(start, as_of):
+        part = summarise(scan_prices(spark, path, quote, low, high))
+        edges = part if edges is None else edges.unionByName(part)
+    return linear_trend_from_months(months, start, as_of, min_points, edges, base)
+
+
+def _cut_months(start: date, as_of: date | None) -> list[tuple[date, date]]:
+    """The parts of months at both ends of [start, as_of]; one part if both ends lie in one month."""
+    last = as_of or date.max
+    month_end = start.replace(day=monthrange(start.year, start.month)[1])
+    parts = [(start, min(month_end, last))] if start.day > 1 or last < month_end else []
+    if as_of and as_of > month_end and as_of.day < monthrange(as_of.year, as_of.month)[1]:
+        parts.append((as_of.replace(day=1), as_of))
+    return [(low, high) for low, high in parts if low <= high]
+
+
+def stored_coverage(spark: SparkSession, path: str, quote: str | None = None) -> DataFrame:
+    """``operators.index.coverage`` of a store from its month summaries; no price file is read."""
+    months = month_summaries(spark, path)
+    keys = ["coin_id"] if quote else ["coin_id", "quote"]
+    rows = months.filter(F.col("quote") == quote.upper()) if quote else months
+    return rows.groupBy(*keys).agg(
+        F.min("first_day").alias("start_date"), F.max("last_day").alias("end_date"), F.sum("days").alias("days")
+    )

@@ -3,7 +3,11 @@
 Layout ``<path>/quote=BTC/month=2024-01/*.parquet``. A scan names its quote and dates and reads only the
 partitions it needs; an increment reads and rewrites only the months it touches. ``<path>/_series`` holds one row per
 series (first and last date, first positive close, first volume), so that neither an increment nor a
-daily index has to look at the whole history. Ids are stored in their safe form, one row per key, NULL for NaN.
+daily index has to look at the whole history. ``<path>/_months`` holds one row per series and month, from which fits
+and coverage are merged. Ids are stored in their safe form, one row per key, NULL for NaN.
+
+A write may end at any point. Both side tables count only where their write is known to be complete, and are made again from
+the prices otherwise.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from tidemark.functions import clean_double, month_partition, pair_name_fields,
 from tidemark.operators.maintain import PAIR, prefer_pair_rows, upsert_keep_last
 from tidemark.schema import OHLCV, PAIR_FILE_ROWS, PRICES
 from tidemark.session import materialise
-from tidemark.sources.files import delete_folder, store_exists
+from tidemark.sources.files import delete_folder, is_complete, partitions_of, store_exists
 
 _PARTITIONS = ("quote", "month")
 _STORED = T.StructType(
@@ -155,6 +159,7 @@ def write_prices(prices: DataFrame, path: str, trim: bool = True) -> None:
         raise FileExistsError(f"{path} exists; use merge_into_store")
     _overwrite_partitions(_laid_out(series_rows(prices, trim)), path)
     series_state(spark, path)
+    month_summaries(spark, path)
 
 
 def write_bucketed(prices: DataFrame, table: str, buckets: int) -> None:
@@ -223,11 +228,11 @@ def _state_of(rows: DataFrame) -> DataFrame:
 def series_state(spark: SparkSession, path: str) -> DataFrame:
     """One row per stored series: ``coin_id, quote, first_date, first_close, first_volume, last_date``.
 
-    Kept by every write. Where it is missing (another program wrote the store, or a write was cut
-    short) it is made from one scan.
+    Kept by every write. Where it is missing or its own write did not come to an end (another program wrote the store, or a
+    write was cut short) it is made from one scan.
     """
-    if not store_exists(spark, _state_path(path)):
-        _state_of(scan_prices(spark, path)).write.parquet(_state_path(path))
+    if not is_complete(spark, _state_path(path)):
+        _state_of(scan_prices(spark, path)).write.mode("overwrite").parquet(_state_path(path))
     return spark.read.schema(_STATE).parquet(_state_path(path))
 
 
@@ -235,6 +240,68 @@ def _state_path(path: str) -> str:
     return f"{path}/_series"
 
 
+_SUMMARY = T.StructType(
+    [T.StructField("coin_id", T.StringType(), True), T.StructField("days", T.LongType(), True)]
+    + [T.StructField(name, T.DateType(), True) for name in ("first_day", "last_day", "first_date", "last_date")]
+    + [T.StructField("n", T.LongType(), True)]
+    + [T.StructField(n, T.DoubleType(), True) for n in ("first", "last", "mean_x", "mean_y", "xx", "xy", "yy")]
+    + [T.StructField(name, T.StringType(), True) for name in _PARTITIONS]
+)
+
+
+def _months_path(path: str) -> str:
+    return f"{path}/_months"
+
+
+def summarise(rows: DataFrame, value: str = "close") -> DataFrame:
+    """One row per series and month, from which straight-line fits can be merged.
+
+    ``days`` and ``first_day, last_day`` are of all rows; the rest of those with a ``value``: their number ``n``, first and last
+    date and value, the means of x (days since 1970) and y, and the sums of squares and products around them.
+    """
+    x, y = F.unix_date("date").cast("double"), F.col(value)
+    known = F.when(y.isNotNull(), F.col("date"))
+    x = F.when(y.isNotNull(), x)
+    month = month_partition(F.col("date")).alias("month")
+    n = F.count(y)
+    return rows.groupBy("coin_id", "quote", month).agg(
+        F.count("*").alias("days"),
+        F.min("date").alias("first_day"),
+        F.max("date").alias("last_day"),
+        F.min(known).alias("first_date"),
+        F.max(known).alias("last_date"),
+        n.alias("n"),
+        F.min_by(y, known).alias("first"),
+        F.max_by(y, known).alias("last"),
+        F.avg(x).alias("mean_x"),
+        F.avg(y).alias("mean_y"),
+        (F.var_pop(x) * n).alias("xx"),
+        (F.covar_pop(x, y) * n).alias("xy"),
+        (F.var_pop(y) * n).alias("yy"),
+    ).select(*_SUMMARY.fieldNames())
+
+
+def _write_summaries(rows: DataFrame, path: str) -> None:
+    laid_out = summarise(rows).hint("rebalance", *[F.col(c) for c in _PARTITIONS]).sortWithinPartitions(*_PARTITIONS, "coin_id")
+    _overwrite_partitions(laid_out, _months_path(path))
+
+
+def month_summaries(spark: SparkSession, path: str) -> DataFrame:
+    """``summarise`` of the whole store, kept by every write.
+
+    A write removes the partitions it is about to change before it touches the prices. Those that the store has and this
+    table lacks are made from a scan of just these months.
+    """
+    missing = set(partitions_of(spark, path, _PARTITIONS)) - set(partitions_of(spark, _months_path(path), _PARTITIONS))
+    if missing:
+        wanted = [dict(zip(_PARTITIONS, values)) for values in sorted(missing)]
+        stored = _partitions(spark.read.schema(_STORED).parquet(path), wanted)
+        _write_summaries(stored.select(*PRICES.fieldNames()), path)
+    if not partitions_of(spark, _months_path(path), _PARTITIONS):
+        return spark.createDataFrame([], _SUMMARY)
+    return spark.read.schema(_SUMMARY).parquet(_months_path(path))
+
+
 def _span_months(series: DataFrame) -> DataFrame:
     """(quote, month) of every month from the first to the last date of each series."""
     months = F.sequence(F.trunc("first_date", "MM"), F.col("last_date"), F.expr("interval 1 month"))
@@ -249,10 +316,11 @@ def merge_into_store(spark: SparkSession, path: str, delta: DataFrame, replace:
     With ``replace`` the series in the delta take the place of the stored ones. Other series are left alone.
     Only the (quote, month) partitions that change are read and rewritten: the series state tells where
     stored series start. Only a series whose start can move to a later day is read as a whole: one without
-    a positive close so far that gets one, and one whose first positive close or first volume is overwritten by
-    none. Running it twice with the same delta gives the same store. Replacement is per partition, not one
-    transaction over all of them; the state is removed first and written last, so a merge that is cut short
-    leaves none, and the next one makes it anew. A store that does not exist yet is created.
+    a positive close so far that gets one, one whose first positive close or first volume is overwritten by
+    none, and one that starts before its first positive close, as a merge that was cut short may leave it. Running it twice
+    with the same delta gives the same store. Replacement is per partition, not one transaction over all of them; side
+    tables are removed first and written last, so that a merge that is cut short at any point is mended by the next one with
+    the same delta. A store that does not exist yet is created.
     """
     if not store_exists(spark, path):
         write_prices(delta, path)
@@ -274,7 +342,8 @@ def merge_into_store(spark: SparkSession, path: str, delta: DataFrame, replace:
             .select(*_STATE.fieldNames())
         )
         gained = known.filter(F.col("first_close").isNull() & F.col("_close").isNotNull())
-        whole = lost.union(gained.select(*_STATE.fieldNames())).distinct()
+        untrimmed = known.filter(F.col("first_date") < F.col("first_close"))
+        whole = lost.union(gained.union(untrimmed).select(*_STATE.fieldNames())).distinct()
     whole = materialise(whole, "whole-series")
 
     # One entry per (quote, month), like the folder listing itself, so they become literal partition filters.
@@ -311,12 +380,15 @@ def merge_into_store(spark: SparkSession, path: str, delta: DataFrame, replace:
         state.join(arriving, keys, "left_anti").unionByName(renewed).unionByName(grown), "series-state"
     )
     delete_folder(spark, _state_path(path))
+    for row in touched:
+        delete_folder(spark, f"{_months_path(path)}/quote={row['quote']}/month={row['month']}")
     _overwrite_partitions(_laid_out(staged), path)
     kept = {(r["quote"], r["month"]) for r in _months_of(staged).collect()}
     for row in touched:  # overwriting by partition leaves those in place whose last rows were trimmed
         if (row["quote"], row["month"]) not in kept:
             delete_folder(spark, f"{path}/quote={row['quote']}/month={row['month']}")
-    following.write.parquet(_state_path(path))
+    _write_summaries(staged, path)
+    following.write.mode("overwrite").parquet(_state_path(path))
 
 
 def _partitions(rows: DataFrame, wanted: list) -> DataFrame:
