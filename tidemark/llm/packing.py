@@ -242,7 +242,7 @@ class _Packer:
 
 
 def _pack_batches(
-    batches: Iterator[pa.RecordBatch], name: str, end_id: int, capacity: int, piece: int, with_ids: bool, remembered: int
+    batches: Iterator[pa.RecordBatch], name: str, end_id: int, capacity: int, piece: int, with_ids: bool, remembered: int, forget: bool
 ) -> Iterator[pa.RecordBatch]:
     tokenizer = _loaded(SparkFiles.get(name), remembered)
     packer = _Packer(TaskContext.get().partitionId() << 36, capacity, piece, with_ids)
@@ -256,7 +256,9 @@ def _pack_batches(
                 yield packer.take()
     packer.flush()
     yield packer.take()
-    del packer
+    if forget:
+        del packer, tokenizer
+        _loaded.cache_clear()
     give_back()
 
 
@@ -268,6 +270,7 @@ def pack_documents(
     piece: int = PIECE,
     with_ids: bool = False,
     remembered: int = REMEMBERED,
+    forget: bool = False,
 ) -> DataFrame:
     """Pieces of all documents in windows of at most ``capacity`` tokens.
 
@@ -276,10 +279,11 @@ def pack_documents(
     added tokens that the text itself holds are ids of their own) and ``end_id``; NULL or empty texts are ``end_id`` alone. Every id is in one piece, and a window has no gaps.
     Long texts fill windows of their own and send only the rest to be packed. A NULL id stays NULL; repeated
     rows are packed each; an empty table gives no rows. ``sequence_id`` says which partition made the window.
-    ``remembered`` words with their ids stay in a worker's memory; fewer cost time, the result is the same.
+    ``remembered`` words with their ids stay in a worker's memory, until the end of a task if it is to ``forget`` them and the
+    tokenizer; both cost time, the result is the same.
     """
     ship(docs.sparkSession)
     docs.sparkSession.sparkContext.addFile(tokenizer)  # a vocabulary of fixed size
-    options = {"name": tokenizer.rsplit("/", 1)[-1], "end_id": end_id, "capacity": capacity, "piece": piece, "remembered": remembered}
+    options = {"name": tokenizer.rsplit("/", 1)[-1], "end_id": end_id, "capacity": capacity, "piece": piece, "remembered": remembered, "forget": forget}
     schema = PIECES + (", ids array<int>" if with_ids else "")
     return id_and_text(docs).mapInArrow(partial(_pack_batches, with_ids=with_ids, **options), schema)
