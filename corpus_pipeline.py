@@ -39,10 +39,10 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Windows of at most 2048 tokens: one row per piece, with its ids.
 
-    Workers serve all stages, so each remembers fewer words than a job that only packs.
+    Workers serve all stages, so each remembers fewer words than in a job that only packs, and those for one task.
     """
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
-    return packing.pack_documents(docs, vocabulary, with_ids=True, remembered=200_000)
+    return packing.pack_documents(docs, vocabulary, with_ids=True, remembered=300_000, forget=True)
 
 
 STAGES = [
