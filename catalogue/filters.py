@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from catalogue.registry import query
 from catalogue.views import PART_RULES, SQL_EV, SQL_EVQ, SQL_PRT, events_daily, events_daily_by_type, parts, table
 from tidemark.operators import classify as cl
+from tidemark.operators import rule_tables as rt
 from tidemark.operators.maintain import single_quote
 
 CUTOFF = date(2024, 1, 2)
@@ -75,6 +76,46 @@ def f06_eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cl.classify(parts(spark, sf_dir), PART_RULES, "index")
 
 
+@query("f05_rule_table", SQL_CLASSIFIED)
+def f05_rule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rules as a table that is joined by keys."""
+    return rt.classify_by_tables(parts(spark, sf_dir), rt.rule_table(spark, PART_RULES), reasons=PART_RULES)
+
+
+# Rules made from the data itself: beginnings, ends and inner strings of "id name"
+_SQL_MADE = """SELECT DISTINCT 'prefix' AS form, lower(p_brand) || '-' || p_size || ' ' AS value FROM part WHERE p_size > 45
+    UNION SELECT 'contains', right(p_brand, 1) || '-' || p_size || ' ' || substr(p_name, 1, 3) FROM part WHERE p_partkey % 7 = 0
+    UNION SELECT 'suffix', p_size || ' ' || p_name FROM part WHERE p_partkey % 11 = 0"""
+
+
+@query(
+    "f03_many_rules",
+    f"""WITH t AS (SELECT p_partkey, lower(p_brand) || '-' || p_size AS id, p_name AS name,
+      lower(p_brand) || '-' || p_size || ' ' || lower(p_name) AS text FROM part),
+    r AS ({_SQL_MADE})
+    SELECT p_partkey, id, name, CASE WHEN
+      text IN (SELECT t.text FROM t JOIN r ON r.form = 'prefix' AND starts_with(t.text, lower(r.value)))
+      OR text IN (SELECT t.text FROM t JOIN r ON r.form = 'suffix' AND ends_with(t.text, lower(r.value)))
+      OR text IN (SELECT t.text FROM t JOIN r ON r.form = 'contains' AND contains(t.text, lower(r.value)))
+      THEN 'Wrapped/Staked/Bridged token' END AS reason FROM t""",
+)
+def f03_many_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules whose number grows with the data."""
+    part = table(spark, sf_dir, "part")
+    size = F.col("p_size").cast("string")
+    code = F.concat_ws("-", F.lower("p_brand"), size)
+    inner = F.concat(F.right("p_brand", F.lit(1)), F.lit("-"), size, F.lit(" "), F.substring("p_name", 1, 3))
+    forms = (
+        part.filter("p_size > 45").select(F.lit("prefix").alias("form"), F.concat(code, F.lit(" ")).alias("value")),
+        part.filter("p_partkey % 7 = 0").select(F.lit("contains").alias("form"), inner.alias("value")),
+        part.filter("p_partkey % 11 = 0").select(F.lit("suffix").alias("form"), F.concat_ws(" ", size, "p_name").alias("value")),
+    )
+    rules = forms[0].unionByName(forms[1]).unionByName(forms[2]).distinct()
+    rules = rules.select(F.lit("wrapped").alias("kind"), F.lit("id_name").alias("field"), "form", "value")
+    entities = part.select("p_partkey", code.alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("symbol"))
+    return rt.classify_by_tables(entities, rules).drop("symbol")
+
+
 @query(
     "f07_split_url",
     f"""SELECT id AS coin_id, name, symbol, reason, '{_PAGE}/' || upper(symbol) || '/overview' AS url
