@@ -1,4 +1,8 @@
-"""Licence scans: Aho-Corasick over words for notices and tags, shunting-yard for licence expressions."""
+"""Licence scans: Aho-Corasick over words for notices and identifier tags, shunting-yard for licence expressions.
+
+One automaton runs over the words of a text, lower-cased and joined by single spaces. It knows the phrases of notices and the
+words of identifier tags; a tag is parsed from the place where it was found.
+"""
 
 from __future__ import annotations
 
@@ -19,29 +23,81 @@ BASE_PHRASES = {
     "apache license version 2": "apache-2",
     "cc by nc": "cc-by-nc",
 }
-#: Further notices that the method knows.
+#: Further notices that the method knows, as words.
 NOTICES = {
     "mit license": "mit",
     "the mit license": "mit",
+    "permission is hereby granted free of charge to any person obtaining a copy": "mit",
+    "isc license": "isc",
+    "permission to use copy modify and or distribute this software for any purpose": "isc",
     "apache license 2": "apache-2",
     "licensed under apache 2": "apache-2",
+    "licensed under the apache license": "apache-2",
+    "apache software license version 1": "apache-1",
     "gnu general public license version 3": "gpl-3",
+    "gnu general public license v3": "gpl-3",
+    "gnu gpl v3": "gpl-3",
+    "gplv3": "gpl-3",
     "gnu general public license version 2": "gpl-2",
+    "gnu general public license v2": "gpl-2",
+    "gnu gpl v2": "gpl-2",
+    "gplv2": "gpl-2",
     "gnu lesser general public license": "lgpl",
+    "gnu library general public license": "lgpl",
     "gnu affero general public license": "agpl",
+    "gnu free documentation license": "gfdl",
     "mozilla public license": "mpl",
+    "eclipse public license": "epl",
+    "common development and distribution license": "cddl",
+    "european union public licence": "eupl",
     "bsd 2 clause": "bsd-2-clause",
+    "simplified bsd license": "bsd-2-clause",
     "bsd 3 clause": "bsd-3-clause",
+    "new bsd license": "bsd-3-clause",
+    "redistribution and use in source and binary forms": "bsd",
+    "boost software license": "bsl",
+    "artistic license": "artistic",
+    "zlib license": "zlib",
+    "do what the fuck you want to public license": "wtfpl",
+    "this is free and unencumbered software released into the public domain": "unlicense",
+    "the unlicense": "unlicense",
+    "sil open font license": "ofl",
+    "python software foundation license": "psf",
+    "microsoft public license": "ms-pl",
+    "open database license": "odbl",
+    "creative commons attribution noncommercial sharealike": "cc-by-nc-sa",
+    "creative commons attribution noncommercial noderivatives": "cc-by-nc-nd",
     "creative commons attribution noncommercial": "cc-by-nc",
     "creative commons attribution sharealike": "cc-by-sa",
+    "creative commons attribution noderivatives": "cc-by-nd",
+    "creative commons attribution 4": "cc-by",
+    "creative commons attribution 3": "cc-by",
+    "cc by sa": "cc-by-sa",
+    "cc by nd": "cc-by-nd",
+    "cc by nc sa": "cc-by-nc-sa",
+    "cc by nc nd": "cc-by-nc-nd",
     "creative commons zero": "cc0",
+    "cc0 1": "cc0",
     "all rights reserved": "proprietary",
+    "proprietary and confidential": "proprietary",
 }
-TAG = "spdx license identifier"
+#: The tag of an identifier, its words, and the exceptions that may follow ``with``.
+TAG = "spdx-license-identifier"
+TAG_WORDS = "spdx license identifier"
+EXCEPTIONS = {
+    "classpath-exception-2.0", "gcc-exception-3.1", "llvm-exception", "autoconf-exception-3.0", "bison-exception-2.2",
+    "openssl-exception", "linux-syscall-note", "font-exception-2.0", "ocaml-lgpl-linking-exception", "swift-exception",
+    "libtool-exception", "qt-lgpl-exception-1.1", "u-boot-exception-2.0", "wxwindows-exception-3.1",
+}
 #: How much reuse a licence permits, from 0 to 1; what is not listed counts as UNLISTED.
 PERMITS = {
-    "cc0": 1.0, "mit": 1.0, "bsd-2-clause": 1.0, "bsd-3-clause": 1.0, "apache-2": 0.9, "mpl": 0.6,
-    "cc-by-sa": 0.6, "lgpl": 0.5, "gpl-2": 0.4, "gpl-3": 0.4, "agpl": 0.3, "cc-by-nc": 0.2, "proprietary": 0.0,
+    "cc0": 1.0, "unlicense": 1.0, "wtfpl": 1.0, "0bsd": 1.0, "mit": 1.0, "mit-0": 1.0, "isc": 1.0, "x11": 1.0, "zlib": 1.0,
+    "bsd": 1.0, "bsd-2-clause": 1.0, "bsd-3-clause": 1.0, "bsl": 1.0, "ncsa": 1.0, "postgresql": 1.0, "curl": 1.0, "upl": 1.0,
+    "apache-2": 0.9, "apache-1": 0.9, "psf": 0.9, "python-2": 0.9, "php-3.01": 0.9, "ms-pl": 0.9, "w3c": 0.9, "vim": 0.9,
+    "bsd-4-clause": 0.9, "afl-3": 0.9, "ecl-2": 0.9, "openssl": 0.9, "cc-by": 0.9, "ofl": 0.8, "artistic": 0.7, "ruby": 0.7,
+    "mpl": 0.6, "epl": 0.6, "cddl": 0.6, "ms-rl": 0.6, "odbl": 0.6, "cc-by-sa": 0.6, "lgpl": 0.5, "eupl": 0.5, "gfdl": 0.4,
+    "gpl-2": 0.4, "gpl-3": 0.4, "agpl": 0.3, "sspl": 0.2, "cc-by-nd": 0.2, "cc-by-nc": 0.2, "cc-by-nc-sa": 0.2,
+    "cc-by-nc-nd": 0.1, "proprietary": 0.0,
 }
 UNLISTED = 0.3
 #: What an exception (``with``) adds.
@@ -57,8 +113,10 @@ _ARROW = pa.schema(
 )
 # Words are 0-9, a-z and everything beyond ASCII; the rest separates.
 _SEPARATE = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
-_TAG_LINE = re.compile(r"spdx-license-identifier\s*:[ \t]*([^\r\n]*)")
-_PIECE = re.compile(r"[()]|[a-z0-9][a-z0-9.+:-]*")
+_WORD = re.compile(b"[0-9a-z\x80-\xff]+")
+_AFTER_TAG = re.compile(rb"\s*:[ \t]*([^\r\n]*)")
+# An identifier ends in a letter, a digit or a plus: a full stop or comma behind it ends the sentence.
+_PIECE = re.compile(r"[()]|[a-z0-9](?:[a-z0-9.+:-]*[a-z0-9+])?\+?")
 _BINDING = {"or": 1, "and": 2, "with": 3}
 _VERSIONS = re.compile(r"(-only|-or-later|\+)$|(?<=\d)\.0(?=$|-)")
 
@@ -68,7 +126,7 @@ def canonical(identifier: str) -> str:
     name = identifier.lower()
     while (shorter := _VERSIONS.sub("", name)) != name:
         name = shorter
-    return re.sub(r"^(cc-by(-nc)?(-sa)?(-nd)?|cc0|mpl|lgpl|agpl)-[\d.]+$", r"\1", name)
+    return re.sub(r"^(cc-by(-nc)?(-sa)?(-nd)?|cc0|mpl|lgpl|agpl|epl|cddl|eupl|ofl|bsl|artistic|gfdl|odbl|sspl|upl|psf)-[\d.]+$", r"\1", name)
 
 
 def postfix(expression: str) -> list[str] | None:
@@ -107,54 +165,73 @@ def postfix(expression: str) -> list[str] | None:
 
 
 def evaluate(expression: str) -> tuple[frozenset[str], float] | None:
-    """Labels named by a licence expression, and what it permits: ``or`` lets choose, ``and`` binds to both."""
+    """Labels named by a licence expression, and what it permits: ``or`` lets choose, ``and`` binds to both.
+
+    An exception adds RELIEF to what its licence permits if it is a known one.
+    """
     order = postfix(expression)
     if order is None:
         return None
-    stack: list[tuple[frozenset[str], float]] = []
+    stack: list[tuple[frozenset[str], float, str]] = []
     for piece in order:
         if piece not in _BINDING:
             label = canonical(piece)
-            stack.append((frozenset([label]), PERMITS.get(label, UNLISTED)))
+            stack.append((frozenset([label]), PERMITS.get(label, UNLISTED), piece))
             continue
-        (right, r), (left, value) = stack.pop(), stack.pop()
+        (right, r, written), (left, value, _) = stack.pop(), stack.pop()
         if piece == "with":
-            stack.append((left, min(1.0, value + RELIEF)))
+            stack.append((left, min(1.0, value + RELIEF * (written in EXCEPTIONS)), ""))
         else:
-            stack.append((left | right, max(value, r) if piece == "or" else min(value, r)))
-    return stack[0]
+            stack.append((left | right, max(value, r) if piece == "or" else min(value, r), ""))
+    return stack[0][:2]
 
 
 @lru_cache(maxsize=1)
 def _automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
-    for phrase in {*BASE_PHRASES, *NOTICES, TAG}:
-        found.add_word(f" {phrase} ", phrase)
+    for phrase in {*BASE_PHRASES, *NOTICES, TAG_WORDS}:
+        found.add_word(f" {phrase} ", (phrase, phrase.count(" ") + 1))
     found.make_automaton()
     return found
 
 
+def _tagged(lowered: bytes, tags: list[int]) -> Iterator[str]:
+    """The rest of the line behind each tag, whose first words have these numbers in ascending order."""
+    if not tags:
+        return
+    words = enumerate(_WORD.finditer(lowered))
+    number, found = next(words)
+    for tag in tags:
+        while number < tag:
+            number, found = next(words)
+        stop = found.start() + len(TAG)
+        if lowered[found.start() : stop] == TAG.encode() and (line := _AFTER_TAG.match(lowered, stop)):
+            yield line[1].decode("utf-8", "surrogatepass")
+
+
 def scan(text: str) -> tuple:
     """Everything but the id of a result row."""
     lowered = text.encode("utf-8", "surrogatepass").lower()
     words = lowered.translate(_SEPARATE).split()
     joined = f" {b' '.join(words).decode('utf-8', 'surrogatepass')} "
-    places, base, labels, permits, tagged = [], set(), set(), [], False
-    for end, phrase in _automaton().iter(joined):
-        if phrase == TAG:
-            tagged = True
+    places, base, labels, permits, tags = [], set(), set(), [], []
+    counted, word = 0, 0  # words that end before the character ``counted``
+    for end, (phrase, length) in _automaton().iter(joined):
+        word += joined.count(" ", counted, end)
+        counted = end
+        if phrase == TAG_WORDS:
+            tags.append(word - length)
             continue
         if phrase in BASE_PHRASES:
-            places.append(joined.count(" ", 0, end - len(phrase) - 1))
+            places.append(word - length)
             base.add(BASE_PHRASES[phrase])
         label = BASE_PHRASES.get(phrase) or NOTICES[phrase]
         labels.add(label)
         permits.append(PERMITS.get(label, UNLISTED))
-    if tagged:
-        for line in _TAG_LINE.findall(lowered.decode("utf-8", "surrogatepass")):
-            if found := evaluate(line):
-                labels |= found[0]
-                permits.append(found[1])
+    for expression in _tagged(lowered, tags):
+        if found := evaluate(expression):
+            labels |= found[0]
+            permits.append(found[1])
     return (
         len(words),
         len(places),
