@@ -3,7 +3,7 @@
 Documents are ordered by (hash of the text, doc_id), so equal texts are neighbours and even one text that
 makes up a third of all rows can be cut anywhere. Each round counts, in one aggregate over the narrow key
 table, the exact bytes below every probe; the probes of a splitter lie evenly inside the interval that still
-holds it. When every splitter meets the tolerance the rows move once, to the run that holds them.
+holds it. When every splitter meets the tolerance the whole documents move once, to the run that holds them.
 
 All of it is DataFrame code. What reaches the driver is ``runs x PROBES`` numbers per round at most.
 """
@@ -33,18 +33,18 @@ def _unsigned_hex(value: Column) -> Column:
     return F.lpad(F.hex(value.bitwiseXOR(F.lit(_SIGN))), 16, "0")
 
 
+def _size(text: Column) -> Column:
+    return (F.coalesce(F.octet_length(text), F.lit(0)) + F.lit(ROW_OVERHEAD)).cast("long")
+
+
+def _key(text: Column, doc_id: Column) -> Column:
+    """The 128-bit sort key as 32 hex digits. A NULL id sorts first."""
+    return F.concat(_unsigned_hex(F.xxhash64(F.coalesce(text, F.lit("")))), _unsigned_hex(F.coalesce(doc_id.cast("long"), F.lit(_SIGN))))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, size, text_crc32 and the 128-bit sort key (32 hex digits). A NULL id sorts first."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    doc_id = F.col("doc_id").cast("long")
-    return docs.select(
-        doc_id.alias("doc_id"),
-        (F.octet_length(text) + F.lit(ROW_OVERHEAD)).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.concat(
-            _unsigned_hex(F.xxhash64(text)), _unsigned_hex(F.coalesce(doc_id, F.lit(_SIGN)))
-        ).alias("key"),
-    )
+    """``size`` and ``key`` of every document: all that the search for boundaries needs."""
+    return docs.select(_size(F.col("text")).alias("size"), _key(F.col("text"), F.col("doc_id")).alias("key"))
 
 
 @dataclass
@@ -125,37 +125,53 @@ def _position(key: Column, splitters: list[str], low: int, high: int) -> Column:
     )
 
 
-def shard_documents(
+def move_documents(
     docs: DataFrame, shards: int = 40, tolerance: float = 0.001, run_bytes: int = RUN_BYTES
 ) -> DataFrame:
-    """Documents dealt to ``shards`` shards of nearly equal bytes, sorted within each.
+    """Whole documents dealt to ``shards`` shards of nearly equal bytes: ``document, shard, slot``, sorted within each run.
 
-    Result: ``doc_id, size, text_crc32, law, shard, slot, grown_shard``; one row per input row. ``size`` is
-    the UTF-8 bytes of the text plus 16 (NULL text: 16). ``slot`` counts from 0 in the order of the key.
-    Equal texts stand together and are divided only where a boundary falls among them, by ``doc_id``.
-    Rows equal in text and id are interchangeable and stay on one side. A NULL ``doc_id`` sorts before all
-    others. An empty table gives no rows. ``grown_shard`` is NULL under this law (``bytes``).
+    ``document`` is a struct of all columns as they came, so no name can clash. A document's size is the UTF-8 bytes of its
+    text plus 16 (NULL text: 16). ``slot`` counts from 0 in the order of the key. Equal texts stand together and are
+    divided only where a boundary falls among them, by ``doc_id``. Rows equal in text and id are interchangeable and stay
+    on one side. A NULL ``doc_id`` sorts before all others. An empty table gives no rows.
     """
     keys = materialise(keyed(docs), "shard-keys")
     total = keys.agg(F.sum("size")).first()[0] or 0
     per_shard = min(MAX_RUNS_PER_SHARD, max(1, -(-total // (shards * run_bytes))))
     splitters = find_splitters(keys, shards * per_shard, tolerance)
-    placed = keys.withColumn("run", _position(F.col("key"), splitters, 0, len(splitters)))
-    shard = F.floor(F.col("run") / per_shard).cast("int")
-
-    within = F.row_number().over(Window.partitionBy("run").orderBy("key", "doc_id")) - 1
-    slots = placed.withColumn("slot", within.cast("long"))
+    run = _position(F.col("key"), splitters, 0, len(splitters))
+    rows = docs.select(F.struct(*docs.columns).alias("document"), _key(F.col("text"), F.col("doc_id")).alias("key"))
+    rows = rows.withColumn("run", run)
+    within = F.row_number().over(Window.partitionBy("run").orderBy("key")) - 1
+    placed = rows.withColumn("slot", within.cast("long"))
     if per_shard > 1:
         # One number per run (at most shards x MAX_RUNS_PER_SHARD): the slots that earlier runs of its shard take.
-        counted = bisect_counts(placed, per_shard)
+        counted = bisect_counts(keys.select(run.alias("run")), per_shard)
         offsets = keys.sparkSession.createDataFrame(counted, "run int, before long")
-        slots = slots.join(F.broadcast(offsets), "run").withColumn("slot", F.col("slot") + F.col("before"))
-    return slots.select(
-        "doc_id",
-        "size",
-        "text_crc32",
+        placed = placed.join(F.broadcast(offsets), "run").withColumn("slot", F.col("slot") + F.col("before"))
+    return placed.select("document", F.floor(F.col("run") / per_shard).cast("int").alias("shard"), "slot")
+
+
+def write_shards(docs: DataFrame, path: str, **options) -> None:
+    """The moved documents as Parquet, a folder for each shard, with their slots; a shard of several runs has several files."""
+    moved = move_documents(docs, **options)
+    names = [c for c in docs.columns if c not in ("shard", "slot")]
+    columns = [F.col("document")[c].alias(c) for c in names]
+    moved.select(*columns, "shard", "slot").write.partitionBy("shard").parquet(path)
+
+
+def shard_documents(docs: DataFrame, shards: int = 40, **options) -> DataFrame:
+    """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` of every document, read from it where it was moved to.
+
+    ``size`` and ``text_crc32`` are of the moved text (NULL: of an empty one). ``grown_shard`` is NULL under this law (``bytes``).
+    """
+    text = F.col("document.text")
+    return move_documents(docs, shards, **options).select(
+        F.col("document.doc_id").cast("long").alias("doc_id"),
+        _size(text).alias("size"),
+        F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
         F.lit("bytes").alias("law"),
-        shard.alias("shard"),
+        "shard",
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
