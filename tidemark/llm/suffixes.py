@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.chunks import CHUNK_BYTES, chunked, contents, pack, unpack
-from tidemark.llm.common import input_bytes
+from tidemark.llm.common import give_back, input_bytes
 from tidemark.session import materialise
 
 LENGTH, GRAM = 100, 32
@@ -193,11 +193,14 @@ def _send_suffixes(frames: Iterator[pd.DataFrame], buckets: int, hot: tuple, len
 def _answers(frame: pd.DataFrame, decide: Callable) -> pd.DataFrame:
     """One array of answers per message of a bucket, in the order of the message."""
     blocks = [unpack(b) for b in frame["packed"]]
-    answers = decide(*[np.concatenate(c) for c in zip(*blocks)])
-    edges = np.cumsum([len(b[0]) for b in blocks])[:-1]
-    return pd.DataFrame(
-        {"bucket": frame["bucket"], "chunk": frame["chunk"], "packed": [pack(a) for a in np.split(answers, edges)]}
-    )
+    sizes = [len(b[0]) for b in blocks]
+    columns = [np.concatenate(c) for c in zip(*blocks)]
+    del blocks
+    answers = decide(*columns)
+    del columns
+    give_back()
+    packed = [pack(a) for a in np.split(answers, np.cumsum(sizes)[:-1])]
+    return pd.DataFrame({"bucket": frame["bucket"], "chunk": frame["chunk"], "packed": packed})
 
 
 def _decide_suffixes(gram, span, doc, start, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -271,6 +274,8 @@ def _send_passages(_key, chunk: pd.DataFrame, answers: pd.DataFrame, buckets: in
         out.append(
             _by_bucket(row["chunk"], p.bucket[go], p.gram[go], p.hash[go], p.doc[go], p.start[go])
         )
+        del p, go
+    give_back()
     return out[-1]
 
 
@@ -286,6 +291,8 @@ def _covered(row, answers: pd.DataFrame, buckets: int, hot: tuple, length: int,
     np.add.at(edge, s.high[p.repeated] + length, -1)
     np.add.at(edge, p.at[p.repeat], 1)
     np.add.at(edge, p.at[p.repeat] + length, -1)
+    del p, go
+    give_back()
     return s, np.cumsum(edge[:-1], dtype=np.int32) > 0
 
 
@@ -332,11 +339,13 @@ def _cleaned(_key, chunk: pa.Table, answers: pa.Table, text_at: int, buckets: in
     return pa.concat_tables(parts)
 
 
-def _sorted_passes(rows: DataFrame, length: int, gram: int, chunk_bytes: int) -> tuple[DataFrame, DataFrame, dict]:
+def _sorted_passes(
+    rows: DataFrame, length: int, gram: int, chunk_bytes: int, bucket_bytes: int
+) -> tuple[DataFrame, DataFrame, dict]:
     """The chunks of the documents, the answers to all their digits, and what the steps have to know."""
     total = input_bytes(rows)
     chunks = chunked(rows, total, chunk_bytes)
-    buckets = int(max(12, -(-total // BUCKET_BYTES)))
+    buckets = int(max(12, -(-total // bucket_bytes)))
     counted = (
         chunks.mapInPandas(partial(_count_grams, length=length, gram=gram), "gram long, n long")
         .groupBy("gram")
@@ -380,7 +389,7 @@ def repeated_passages(
     no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    chunks, answers, options = _sorted_passes(rows, length, gram, chunk_bytes)
+    chunks, answers, options = _sorted_passes(rows, length, gram, chunk_bytes, BUCKET_BYTES)
     return (
         chunks.groupBy("chunk")
         .cogroup(answers.groupBy("chunk"))
@@ -392,7 +401,11 @@ def repeated_passages(
 
 
 def without_repeats(
-    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chunk_bytes: int = CHUNK_BYTES
+    docs: DataFrame,
+    length: int = LENGTH,
+    gram: int = GRAM,
+    chunk_bytes: int = CHUNK_BYTES,
+    bucket_bytes: int = BUCKET_BYTES,
 ) -> DataFrame:
     """``docs`` with the repeated passages cut out of ``text``; all columns and rows stay.
 
@@ -400,7 +413,7 @@ def without_repeats(
     stays valid. NULL texts become empty.
     """
     rows = docs.select(*[F.col("doc_id").cast("long").alias("doc_id") if c == "doc_id" else F.col(c) for c in docs.columns])
-    chunks, answers, options = _sorted_passes(rows, length, gram, chunk_bytes)
+    chunks, answers, options = _sorted_passes(rows, length, gram, chunk_bytes, bucket_bytes)
     return (
         chunks.groupBy("chunk")
         .cogroup(answers.groupBy("chunk"))
