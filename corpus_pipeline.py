@@ -28,9 +28,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that also start earlier are cut out of the texts; ``n_chars`` follows the text.
 
-    Chunks are half as large as in a job of its own, since workers serve all stages; the result is the same.
+    Chunks and buckets are half as large as in a job of its own, since workers serve all stages; the result is the same.
     """
-    cut = suffixes.without_repeats(docs, chunk_bytes=1 << 21)
+    cut = suffixes.without_repeats(docs, chunk_bytes=1 << 21, bucket_bytes=1 << 23)
     if "n_chars" in cut.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return cut
