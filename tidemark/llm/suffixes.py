@@ -340,7 +340,7 @@ def _cleaned(_key, chunk: pa.Table, answers: pa.Table, text_at: int, buckets: in
 
 
 def _sorted_passes(
-    rows: DataFrame, length: int, gram: int, chunk_bytes: int, bucket_bytes: int
+    rows: DataFrame, length: int, gram: int, chunk_bytes: int, bucket_bytes: int = BUCKET_BYTES
 ) -> tuple[DataFrame, DataFrame, dict]:
     """The chunks of the documents, the answers to all their digits, and what the steps have to know."""
     total = input_bytes(rows)
