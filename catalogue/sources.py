@@ -4,7 +4,10 @@ the shared folder where a file is needed, and read back with the library's reade
 from __future__ import annotations
 
 from datetime import date
+from functools import partial
+from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +17,7 @@ from catalogue.cycles import WINDOW as SHIP_WINDOW
 from catalogue.filters import SQL_CLASSIFIED, classified_parts
 from catalogue.index import tidy_composition, tidy_index
 from catalogue.registry import query
-from catalogue.views import SQL_EVQ, events_daily_by_type, shipping_daily, table
+from catalogue.views import SQL_EVQ, SQL_LIN, events_daily_by_type, shipping_daily, table
 from tidemark.functions import pair_name_fields, sanitise_id
 from tidemark.operators import maintain as mt
 from tidemark.operators.classify import accepted, skipped
@@ -61,6 +64,44 @@ def _layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _save_pair(frame: pd.DataFrame, folder: str) -> pd.DataFrame:
+    """One file of the file-per-pair layout: a data frame with the dates as its index, the pair in the file name."""
+    coin, quote = frame["coin_id"].iat[0], frame["quote"].iat[0]
+    rows = frame.set_index(pd.DatetimeIndex(pd.to_datetime(frame["date"]), name="date")).sort_index()
+    name = coin if quote == "LEGACY" else f"{coin}-{quote.lower()}"
+    rows[["close", "volume_to"]].to_parquet(f"{folder}/{name}.parquet")
+    return pd.DataFrame({"file": [name]})
+
+
+def _pair_folder(spark: SparkSession, sf_dir: str) -> str:
+    """Each series once as a legacy file; in two quotes where its first letter says so. A task writes what one pair holds."""
+    folder = scratch_path(spark, "pairs").removeprefix("file:")
+    Path(folder).mkdir(parents=True)
+    quotes = F.when(F.col("coin_id").startswith("n"), F.array(F.lit("LEGACY"), F.lit("USD"))).otherwise(
+        F.array(F.lit("LEGACY"), F.lit("BTC"), F.lit("USD"))
+    )
+    rows = shipping_daily(spark, sf_dir).withColumn("quote", F.explode(quotes))
+    rows = rows.withColumn("close", F.when(F.col("quote") == "LEGACY", F.col("close") + 1).otherwise(F.col("close")))
+    rows.groupBy("coin_id", "quote").applyInPandas(partial(_save_pair, folder=folder), "file string").collect()
+    return folder
+
+
+_SQL_PAIRS = f"""SELECT coin_id, quote, date, CASE WHEN coin_id LIKE 'n%' AND quote = 'BTC' THEN close + 1 ELSE close END AS close, volume_to
+    FROM ({SQL_LIN}) CROSS JOIN (VALUES ('BTC'), ('USD')) AS q(quote)"""
+
+
+@query("s01_pair_files", _SQL_PAIRS)
+def s01_pair_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pair files of a folder; the legacy file counts where there is none in the default quote."""
+    return prices.load_pair_files(spark, _pair_folder(spark, sf_dir)).select("coin_id", "quote", "date", "close", "volume_to")
+
+
+@query("s01_one_pair", f"SELECT date, close, volume_to FROM ({_SQL_PAIRS}) WHERE coin_id = 'ro' AND quote = 'USD'")
+def s01_one_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One pair; its file alone is opened."""
+    return prices.get_prices(spark, _pair_folder(spark, sf_dir), "ro", "usd").select("date", "close", "volume_to")
+
+
 @query(
     "s02_legacy_precedence",
     f"""WITH r AS ({_SQL_LAYOUT})
@@ -243,6 +284,31 @@ def s09_symbol_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return payloads.parse_symbol_maps(raw)
 
 
+@query(
+    "s09_symbol_files",
+    """SELECT c_name AS key, CAST(c_custkey AS VARCHAR) AS "Id", c_name AS "Name", c_mktsegment AS "Symbol",
+      CAST(NULL AS VARCHAR) AS "CoinName", c_name || ' (' || c_mktsegment || ')' AS "FullName"
+    FROM customer""",
+)
+def s09_symbol_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbol dictionaries of a hundred entries, one to a file, read by the library's reader."""
+    info = F.struct(
+        F.col("c_custkey").cast("string").alias("Id"),
+        F.col("c_name").alias("Name"),
+        F.col("c_mktsegment").alias("Symbol"),
+        F.concat("c_name", F.lit(" ("), "c_mktsegment", F.lit(")")).alias("FullName"),
+    )
+    pages = (
+        table(spark, sf_dir, "customer")
+        .select("c_name", info.alias("info"), F.floor(F.col("c_custkey") / 100).alias("page"))
+        .groupBy("page")
+        .agg(F.map_from_entries(F.collect_list(F.struct("c_name", "info"))).alias("Data"))
+    )
+    path = scratch_path(spark, "symbols")
+    pages.select(F.to_json(F.struct("Data")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return payloads.read_symbol_dictionary(spark, path)
+
+
 @query(
     "s10_accepted_roundtrip",
     f"""SELECT id, symbol, name, market_cap, p_partkey AS position FROM ({SQL_CLASSIFIED}) WHERE reason IS NULL""",

@@ -50,6 +50,34 @@ def test_pair_files(spark, tmp_path):
     assert legacy == {"eth", "old"}
 
 
+def test_one_pair_opens_one_file(spark, tmp_path):
+    index = pd.date_range("2024-01-01", periods=3)
+    for name in ("eth-btc", "eth", "eth-usd", "sol-btc", "sol", "a_b-usd", *(f"c{i}-btc" for i in range(40))):
+        pd.DataFrame({"close": [1.0, 2.0, 3.0]}, index=index).to_parquet(tmp_path / f"{name}.parquet")
+
+    def opened(df) -> int:
+        """Files that the scans of an executed plan read, by their own count."""
+        df.collect()
+        found, todo = 0, [df._jdf.queryExecution().executedPlan()]
+        while todo:
+            node = todo.pop()
+            node = node.executedPlan() if node.nodeName() == "AdaptiveSparkPlan" else node
+            if node.nodeName().startswith("Scan binaryFile"):
+                found += node.metrics().apply("numFiles").value()
+            children = node.children()
+            todo += [children.apply(i) for i in range(children.size())]
+        return found
+
+    folder = str(tmp_path)
+    assert opened(prices.read_pair_files(spark, folder, ["eth"], ["usd"])) == 1
+    assert opened(prices.read_pair_files(spark, folder, ["sol"], ["btc"])) == 2  # and its legacy file
+    assert opened(prices.read_pair_files(spark, folder, quotes=["USD"])) == 2
+    assert opened(prices.read_pair_files(spark, folder, [])) == 0
+    got = prices.get_prices(spark, folder, "a.b", "usd").collect()
+    assert [(r["coin_id"], r["close"]) for r in got] == [("a_b", 1.0), ("a_b", 2.0), ("a_b", 3.0)]
+    assert prices.get_prices(spark, folder, "none").count() == 0
+
+
 def test_sanitised_ids(spark):
     df = spark.createDataFrame([("coin/with:special",), ("a-b_c9",), ("é.ß 2",)], "i string")
     assert [r[0] for r in df.select(sanitise_id(F.col("i"))).collect()] == ["coin_with_special", "a-b_c9", "é_ß_2"]

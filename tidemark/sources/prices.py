@@ -13,7 +13,7 @@ the prices otherwise.
 from __future__ import annotations
 
 import io
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from datetime import date
 
 import pandas as pd
@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions import clean_double, month_partition, pair_name_fields, sanitise_id
 from tidemark.operators.maintain import PAIR, prefer_pair_rows, upsert_keep_last
+from tidemark.params import DEFAULT_QUOTE
 from tidemark.schema import OHLCV, PAIR_FILE_ROWS, PRICES
 from tidemark.session import materialise
 from tidemark.sources.files import delete_folder, is_complete, partitions_of, store_exists
@@ -63,17 +64,25 @@ def _decode_pair_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame
             yield rows.assign(error=None)
 
 
-def decode_pair_files(spark: SparkSession, path: str) -> DataFrame:
+def decode_pair_files(
+    spark: SparkSession, path: str, coins: Sequence[str] | None = None, quotes: Sequence[str] | None = None
+) -> DataFrame:
     """Rows of all pair files, and a row with ``error`` for each that cannot be read.
 
+    ``coins`` (in any form of the id) and ``quotes`` choose files by their names; Spark drops the others when it lists the folder, on any file system,
+    and opens none of them. Legacy files count as files of the default quote.
+
     The files were saved from data frames one by one, so their physical types differ (nanosecond dates,
     whole numbers or doubles in the same column), which the parquet source cannot read under one
     schema. Spark lists and distributes the files, each of them tens of KB, and tasks decode them.
     """
-    files = (
-        spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("path", "content")
-    )
-    return files.mapInPandas(_decode_pair_files, _DECODED)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+    coin, quote, _ = pair_name_fields(F.col("_metadata.file_name"))
+    if coins is not None:
+        files = files.filter(coin.isin([sanitise_id(F.lit(c)) for c in coins]))
+    if quotes is not None:
+        files = files.filter(quote.isin([q.upper() for q in quotes]))
+    return files.select("path", "content").mapInPandas(_decode_pair_files, _DECODED)
 
 
 def pair_file_rows(decoded: DataFrame) -> DataFrame:
@@ -93,18 +102,28 @@ def skipped_pair_files(decoded: DataFrame) -> DataFrame:
     return decoded.filter(F.col("error").isNotNull()).select("file", "error")
 
 
-def read_pair_files(spark: SparkSession, path: str) -> DataFrame:
-    """Read the file-per-pair layout (``eth-btc.parquet``, legacy ``eth.parquet``) as long rows.
+def read_pair_files(
+    spark: SparkSession, path: str, coins: Sequence[str] | None = None, quotes: Sequence[str] | None = None
+) -> DataFrame:
+    """Read the file-per-pair layout (``eth-btc.parquet``, legacy ``eth.parquet``) as long rows, of all or of some pairs.
 
     Unreadable files are skipped; ``skipped_pair_files`` lists them. Missing columns are NULL, NaN becomes
     NULL, dates are cut to the day. Result: ``PRICES`` columns plus ``is_legacy``.
     """
-    return pair_file_rows(decode_pair_files(spark, path))
+    return pair_file_rows(decode_pair_files(spark, path, coins, quotes))
 
 
-def load_pair_files(spark: SparkSession, path: str) -> DataFrame:
+def load_pair_files(
+    spark: SparkSession, path: str, coins: Sequence[str] | None = None, quotes: Sequence[str] | None = None
+) -> DataFrame:
     """Pair files as the reader sees them: a legacy file counts only where the pair file is absent."""
-    return prefer_pair_rows(read_pair_files(spark, path))
+    return prefer_pair_rows(read_pair_files(spark, path, coins, quotes))
+
+
+def get_prices(spark: SparkSession, path: str, coin: str, quote: str = DEFAULT_QUOTE) -> DataFrame:
+    """The series of one pair in the file-per-pair layout, by date; its file, or the legacy one, is all that is opened."""
+    rows = load_pair_files(spark, path, [coin], [quote])
+    return rows.select(*PRICES.fieldNames()).orderBy("date")
 
 
 def series_rows(prices: DataFrame, trim: bool = False) -> DataFrame:
