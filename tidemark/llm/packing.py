@@ -12,6 +12,7 @@ Groups are formed inside a partition, so nothing is exchanged; only the last gro
 from __future__ import annotations
 
 import heapq
+import json
 import re
 import zlib
 from array import array
@@ -95,14 +96,106 @@ _SIGNS = {b: 256 + i for i, b in enumerate(_HIDDEN)}
 _LATIN, _NOT_SIMPLE = "\u0250", "\u0130"
 
 
-def _letters(word: bytes) -> str | None:
-    """A word of nothing but Latin letters in lower case, as the signs of its bytes; None for any other word."""
+def _letters(word: bytes) -> bytes | None:
+    """A word of nothing but Latin letters, in lower case; None for any other word."""
     if word.isascii():
-        return word.decode() if word.isalpha() else None
+        return word if word.isalpha() else None
     text = word.decode("utf-8", "surrogatepass")
     if not text.isalpha() or max(text) >= _LATIN or _NOT_SIMPLE in text:
         return None
-    return text.lower().encode().decode("latin-1").translate(_SIGNS)
+    return text.lower().encode()
+
+
+class WordMerges:
+    """The merges of a word-level BPE model for many short words at once.
+
+    Words of one length are a matrix of ids. In every round each row merges its leftmost pair of least rank, found in a table
+    with open addressing, and the matrix loses a column; rows without a pair leave.
+    """
+
+    #: Longer words are left to the tokenizer, whose time grows more slowly with the length.
+    LONGEST = 48
+    _NONE = np.int32(np.iinfo(np.int32).max)
+    _BITS = 19
+
+    def __init__(self, model: dict):
+        vocabulary, end = model["vocab"], model["end_of_word_suffix"]
+        signs = [chr(_SIGNS.get(b, b)) for b in range(256)]
+        self.inner = np.array([vocabulary[c] for c in signs], np.int32)
+        self.last = np.array([vocabulary[c + end] for c in signs], np.int32)
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        left, right, made = (np.array([vocabulary[t] for t in c], np.int64) for c in zip(*[(a, b, a + b) for a, b in pairs]))
+        if max(vocabulary.values()) >= 1 << 16:
+            raise ValueError("ids of merged tokens must fit 16 bits")
+        self.made = made.astype(np.int32)
+        self.keys = np.zeros(1 << self._BITS, np.uint32)
+        self.ranks = np.full(1 << self._BITS, self._NONE, np.int32)
+        keys, ranks = (left << 16 | right).astype(np.uint32), np.arange(len(left), dtype=np.int32)
+        slots, self.probes = self._slot(keys), 0
+        while len(keys):  # whoever finds its slot free takes it; the last one to write stays
+            free = self.ranks[slots] == self._NONE
+            self.keys[slots[free]], self.ranks[slots[free]] = keys[free], ranks[free]
+            rest = self.ranks[slots] != ranks
+            keys, ranks, slots = keys[rest], ranks[rest], (slots[rest] + 1) & ((1 << self._BITS) - 1)
+            self.probes += 1
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint32(0x9E3779B1)) >> np.uint32(32 - self._BITS)).astype(np.int64)
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = left.astype(np.uint32) << np.uint32(16) | right.astype(np.uint32)
+        slots = self._slot(keys)
+        found = self.ranks[slots]
+        open_ = np.flatnonzero((self.keys[slots] != keys) & (found != self._NONE))
+        found[open_] = self._NONE
+        for step in range(1, self.probes):
+            if not len(open_):
+                break
+            at = (slots[open_] + step) & ((1 << self._BITS) - 1)
+            ranks, hit = self.ranks[at], self.keys[at] == keys[open_]
+            found[open_[hit]] = ranks[hit]
+            open_ = open_[~hit & (ranks != self._NONE)]
+        return found
+
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """Little-endian 32-bit ids of each word, none of which is empty or longer than LONGEST."""
+        lengths = np.array([len(w) for w in words])
+        order = np.argsort(lengths, kind="stable")
+        out: list[bytes] = [b""] * len(words)
+        edges = np.flatnonzero(np.diff(lengths[order], prepend=-1)).tolist() + [len(words)]
+        for start, stop in zip(edges, edges[1:]):
+            members = order[start:stop]
+            raw = np.frombuffer(b"".join([words[i] for i in members.tolist()]), np.uint8).reshape(len(members), -1)
+            for rows, ids in self._merge(raw):
+                size, data = 4 * ids.shape[1], ids.astype("<u4").tobytes()
+                for i, row in enumerate(members[rows].tolist()):
+                    out[row] = data[i * size : (i + 1) * size]
+        return out
+
+    def _merge(self, raw: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Finished rows of a matrix of bytes with their ids."""
+        ids = self.inner[raw]
+        ids[:, -1] = self.last[raw[:, -1]]
+        rows = np.arange(len(raw))
+        ranks = self._rank(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(len(ids), -1)
+        while len(rows):
+            if not ranks.shape[1]:
+                yield rows, ids
+                return
+            at = ranks.argmin(axis=1)
+            best = ranks[np.arange(len(rows)), at]
+            merging = best != self._NONE
+            if not merging.all():
+                yield rows[~merging], ids[~merging]
+                rows, ids, ranks, at, best = rows[merging], ids[merging], ranks[merging], at[merging], best[merging]
+            line, place = np.arange(len(rows)), np.arange(ids.shape[1] - 1)
+            ids = np.where(place <= at[:, None], ids[:, :-1], ids[:, 1:])
+            ids[line, at] = self.made[best]
+            ranks = np.where(place[:-1] < at[:, None], ranks[:, :-1], ranks[:, 1:])
+            for shift in (-1, 0):
+                near = np.flatnonzero((at + shift >= 0) & (at + shift < ranks.shape[1]))
+                pair = at[near] + shift
+                ranks[near, pair] = self._rank(ids[near, pair], ids[near, pair + 1])
 
 
 class WordTokenizer:
@@ -115,6 +208,8 @@ class WordTokenizer:
     def __init__(self, path: str, remembered: int = REMEMBERED):
         self.remembered = remembered
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            self.merges = WordMerges(json.load(file)["model"])
         added = self.tokenizer.get_added_tokens_decoder()
         if any(t.normalized or t.single_word or not t.special for t in added.values()):
             raise ValueError("added tokens that are not literals of the original text")
@@ -160,25 +255,31 @@ class WordTokenizer:
             fresh -= again
         # A word of Latin letters is one piece for the tokenizer, and one more sign behind it another: these
         # need its merges only. All other words go through it whole.
-        merge = self.tokenizer.model.tokenize
+        plain: dict[bytes, bytes] = {}
         ended, others = [], set()
         for w in fresh:
-            if (letters := _letters(w)) is not None:
-                memory[w] = array("I", [t.id for t in merge(letters)]).tobytes()
-            elif w[-1] < 0x80 and not w[-1:].isalnum() and (letters := _letters(w[:-1])) is not None:
-                ended.append((w, w[:-1], letters))
-                others.add(w[-1:])
+            if w.isalpha():  # ASCII
+                plain[w] = w
+            elif (end := w[-1]) < 0x80 and not w[-1:].isalnum():
+                if (letters := _letters(w[:-1])) is not None and letters:
+                    ended.append((w, w[:-1]))
+                    plain[w[:-1]] = letters
+                    others.add(bytes((end,)))
+                else:
+                    others.add(w)
+            elif (letters := _letters(w)) is not None:
+                plain[w] = letters
             else:
                 others.add(w)
-        rest = list(others - memory.keys())
+        short = [w for w in plain if w not in memory and len(plain[w]) <= WordMerges.LONGEST]
+        memory.update(zip(short, self.merges.encode([plain[w] for w in short])))
+        rest = list((others | plain.keys()) - memory.keys())
         for start in range(0, len(rest), 1 << 14):
             part = rest[start : start + (1 << 14)]
             encoded = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
             memory.update(zip(part, [array("I", e.ids).tobytes() for e in encoded]))
-        for w, stem, letters in ended:
-            if (ids := memory.get(stem)) is None:
-                ids = memory[stem] = array("I", [t.id for t in merge(letters)]).tobytes()
-            memory[w] = ids + memory[w[-1:]]
+        for w, stem in ended:
+            memory[w] = memory[stem] + memory[w[-1:]]
 
 
 @lru_cache(maxsize=2)
