@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from catalogue.registry import query
 from catalogue.views import SQL_EV, SQL_EVQ, SQL_LIN, events_daily, events_daily_by_type, shipping_daily, sql_members
 from tidemark.operators import index as ix
-from tidemark.operators import rolling
+from tidemark.operators import rolling, wide
 from tidemark.operators.maintain import single_quote
 
 WINDOW, TOP_N = 7, 10
@@ -45,6 +46,25 @@ def tidy_composition(rows: DataFrame) -> DataFrame:
     )
 
 
+@query(
+    "t01_wide_frame",
+    f"PIVOT (SELECT coin_id, date, close FROM ({SQL_LIN})) ON coin_id USING max(close) GROUP BY date",
+)
+def t01_wide_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column for each entity; all of them fit one block."""
+    prices = shipping_daily(spark, sf_dir)
+    (block,) = wide.blocks(prices)
+    return wide.wide_block(prices, block)
+
+
+@query("t01_wide_and_back", f"SELECT coin_id, date, close FROM ({SQL_EV}) WHERE close IS NOT NULL")
+def t01_wide_and_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All entities in blocks of columns, and back."""
+    prices = events_daily(spark, sf_dir).select("coin_id", "date", "close")
+    frames = [wide.long_rows(frame) for frame in wide.wide_frames(prices)]
+    return reduce(DataFrame.unionByName, frames)
+
+
 @query(
     "t01_calendar_align",
     f"""
