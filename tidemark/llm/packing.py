@@ -205,8 +205,8 @@ class WordTokenizer:
     id each. Of the words that are left none is an added token, whatever it looks like in lower case.
     """
 
-    def __init__(self, path: str, remembered: int = REMEMBERED):
-        self.remembered = remembered
+    def __init__(self, path: str, remembered: int = REMEMBERED, text_block: int = TEXT_BLOCK):
+        self.remembered, self.text_block = remembered, text_block
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
             self.merges = WordMerges(json.load(file)["model"])
@@ -236,7 +236,7 @@ class WordTokenizer:
         at = 0
         while at < len(texts):
             split, size = [], 0
-            while at < len(texts) and (not split or size < TEXT_BLOCK):
+            while at < len(texts) and (not split or size < self.text_block):
                 split.append(self._words(texts[at]))
                 size += len(texts[at])
                 at += 1
@@ -283,8 +283,8 @@ class WordTokenizer:
 
 
 @lru_cache(maxsize=2)
-def _loaded(path: str, remembered: int) -> WordTokenizer:
-    return WordTokenizer(path, remembered)
+def _loaded(path: str, remembered: int, text_block: int) -> WordTokenizer:
+    return WordTokenizer(path, remembered, text_block)
 
 
 class _Packer:
@@ -343,9 +343,17 @@ class _Packer:
 
 
 def _pack_batches(
-    batches: Iterator[pa.RecordBatch], name: str, end_id: int, capacity: int, piece: int, with_ids: bool, remembered: int, forget: bool
+    batches: Iterator[pa.RecordBatch],
+    name: str,
+    end_id: int,
+    capacity: int,
+    piece: int,
+    with_ids: bool,
+    remembered: int,
+    text_block: int,
+    forget: bool,
 ) -> Iterator[pa.RecordBatch]:
-    tokenizer = _loaded(SparkFiles.get(name), remembered)
+    tokenizer = _loaded(SparkFiles.get(name), remembered, text_block)
     packer = _Packer(TaskContext.get().partitionId() << 36, capacity, piece, with_ids)
     end = end_id.to_bytes(4, "little")
     for ids, texts in id_text_pairs(batches):
@@ -371,6 +379,7 @@ def pack_documents(
     piece: int = PIECE,
     with_ids: bool = False,
     remembered: int = REMEMBERED,
+    text_block: int = TEXT_BLOCK,
     forget: bool = False,
 ) -> DataFrame:
     """Pieces of all documents in windows of at most ``capacity`` tokens.
@@ -381,10 +390,12 @@ def pack_documents(
     Long texts fill windows of their own and send only the rest to be packed. A NULL id stays NULL; repeated
     rows are packed each; an empty table gives no rows. ``sequence_id`` says which partition made the window.
     ``remembered`` words with their ids stay in a worker's memory, until the end of a task if it is to ``forget`` them and the
-    tokenizer; both cost time, the result is the same.
+    tokenizer, and ``text_block`` characters are split into words at a time: all three trade time for memory, the result is
+    the same.
     """
     ship(docs.sparkSession)
     docs.sparkSession.sparkContext.addFile(tokenizer)  # a vocabulary of fixed size
-    options = {"name": tokenizer.rsplit("/", 1)[-1], "end_id": end_id, "capacity": capacity, "piece": piece, "remembered": remembered, "forget": forget}
+    options = {"name": tokenizer.rsplit("/", 1)[-1], "end_id": end_id, "capacity": capacity, "piece": piece}
+    options |= {"remembered": remembered, "text_block": text_block, "forget": forget}
     schema = PIECES + (", ids array<int>" if with_ids else "")
     return id_and_text(docs).mapInArrow(partial(_pack_batches, with_ids=with_ids, **options), schema)
