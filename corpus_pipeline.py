@@ -28,9 +28,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that also start earlier are cut out of the texts; ``n_chars`` follows the text.
 
-    Chunks and buckets are half as large as in a job of its own, since workers serve all stages; the result is the same.
+    Chunks and buckets are smaller than in a job of its own, since workers serve all stages; the result is the same.
     """
-    cut = suffixes.without_repeats(docs, chunk_bytes=1 << 21, bucket_bytes=1 << 23)
+    cut = suffixes.without_repeats(docs, chunk_bytes=1 << 21, bucket_bytes=1 << 22)
     if "n_chars" in cut.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return cut
@@ -42,7 +42,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Workers serve all stages, so each remembers fewer words than in a job that only packs, and those for one task.
     """
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
-    return packing.pack_documents(docs, vocabulary, with_ids=True, remembered=300_000, forget=True)
+    return packing.pack_documents(docs, vocabulary, with_ids=True, remembered=150_000, text_block=1 << 20, forget=True)
 
 
 STAGES = [
