@@ -82,3 +82,12 @@ def test_chains_and_large_groups_through_both_rounds(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {r.doc_id: r.component_id for r in near_copies.near_copies(docs).collect()}
     assert got == brute(rows)[1]
+
+
+def test_repeated_ids_and_a_clashing_column(spark):
+    rows = [(1, "a b c d e f", "x"), (1, "g h i j k l m", "y"), (2, "a b c d e f", "z"), (None, "n", None), (None, "n", "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row_of_id string")
+    kept = near_copies.one_of_each(docs)
+    assert kept.columns == docs.columns
+    got = kept.collect()
+    assert sorted((r["doc_id"] or 0) for r in got) == [0, 1] and {r["_row_of_id"] for r in got if r["doc_id"]} <= {"x", "y"}

@@ -204,5 +204,7 @@ def first_of_groups(docs: DataFrame, groups: DataFrame) -> DataFrame:
     if not groups.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
         first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
         marker = "_row_of_id"
+        while marker in docs.columns:
+            marker += "_"
         named = named.withColumn(marker, F.row_number().over(first)).filter(F.col(marker) == 1).drop(marker)
     return named.unionByName(docs.filter(F.col("doc_id").isNull()).dropDuplicates(["text"]))
