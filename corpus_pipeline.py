@@ -42,7 +42,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Workers serve all stages, so each remembers fewer words than in a job that only packs, and those for one task.
     """
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
-    return packing.pack_documents(docs, vocabulary, with_ids=True, remembered=150_000, text_block=1 << 20, forget=True)
+    return packing.pack_documents(docs, vocabulary, with_ids=True, remembered=60_000, text_block=1 << 19, forget=True)
 
 
 STAGES = [
