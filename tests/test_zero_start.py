@@ -12,6 +12,7 @@ from tests.test_queries import _rows
 duckdb = pytest.importorskip("duckdb")
 NAMES = [
     "p01_trend",
+    "p02_rising",
 ]
 
 
