@@ -13,6 +13,7 @@ duckdb = pytest.importorskip("duckdb")
 NAMES = [
     "p01_trend",
     "p02_rising",
+    "p03_top10",
 ]
 
 
