@@ -329,8 +329,10 @@ def _span_months(series: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def merge_into_store(spark: SparkSession, path: str, delta: DataFrame, replace: bool = False) -> None:
-    """Upsert ``delta`` into the store: newest wins per date, leading zeros trimmed.
+def merge_into_store(
+    spark: SparkSession, path: str, delta: DataFrame, replace: bool = False, trim: bool = True
+) -> None:
+    """Upsert ``delta`` into the store: newest wins per date, with ``trim`` leading zeros trimmed.
 
     With ``replace`` the series in the delta take the place of the stored ones. Other series are left alone.
     Only the (quote, month) partitions that change are read and rewritten: the series state tells where
@@ -339,10 +341,11 @@ def merge_into_store(spark: SparkSession, path: str, delta: DataFrame, replace:
     none, and one that starts before its first positive close, as a merge that was cut short may leave it. Running it twice
     with the same delta gives the same store. Replacement is per partition, not one transaction over all of them; side
     tables are removed first and written last, so that a merge that is cut short at any point is mended by the next one with
-    the same delta. A store that does not exist yet is created.
+    the same delta. A store that does not exist yet is created. Without ``trim`` every row of a series stays, in a store that
+    was made so as well.
     """
     if not store_exists(spark, path):
-        write_prices(delta, path)
+        write_prices(delta, path, trim)
         return
     keys = list(PAIR)
     delta = materialise(series_rows(delta), "delta")
@@ -362,7 +365,9 @@ def merge_into_store(spark: SparkSession, path: str, delta: DataFrame, replace:
         )
         gained = known.filter(F.col("first_close").isNull() & F.col("_close").isNotNull())
         untrimmed = known.filter(F.col("first_date") < F.col("first_close"))
-        whole = lost.union(gained.union(untrimmed).select(*_STATE.fieldNames())).distinct()
+        # Without trimming, a series is read as a whole only where its first close or volume is lost.
+        starting = gained.union(untrimmed) if trim else known.limit(0)
+        whole = lost.union(starting.select(*_STATE.fieldNames())).distinct()
     whole = materialise(whole, "whole-series")
 
     # One entry per (quote, month), like the folder listing itself, so they become literal partition filters.
@@ -380,7 +385,7 @@ def merge_into_store(spark: SparkSession, path: str, delta: DataFrame, replace:
             .select(*keys, F.least("first_close", "_close").alias("_first"))
         )
         starts = moved.unionByName(steady)
-    starts = materialise(starts.filter(F.col("_first").isNotNull()), "starts")
+    starts = materialise(starts.filter(F.col("_first").isNotNull() & F.lit(trim)), "starts")
 
     def from_start(rows: DataFrame) -> DataFrame:
         kept = rows.join(starts, keys, "left")
