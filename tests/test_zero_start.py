@@ -17,6 +17,7 @@ NAMES = [
     "s04_replace_one_pair",
     "s04_store_merge",
     "s04_store_roundtrip",
+    "s04_whole_store",
 ]
 
 
