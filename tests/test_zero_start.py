@@ -18,6 +18,7 @@ NAMES = [
     "s04_store_merge",
     "s04_store_roundtrip",
     "s04_whole_store",
+    "s05_odd_ids_stored",
 ]
 
 
