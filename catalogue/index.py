@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from datetime import date
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,8 +60,7 @@ def t01_wide_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 def t01_wide_and_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All entities in blocks of columns, and back."""
     prices = events_daily(spark, sf_dir).select("coin_id", "date", "close")
-    frames = [wide.long_rows(frame) for frame in wide.wide_frames(prices)]
-    return reduce(DataFrame.unionByName, frames)
+    return wide.long_all(*wide.wide_all(prices))
 
 
 @query(

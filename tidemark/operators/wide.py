@@ -1,4 +1,7 @@
-"""Wide frames, a column for each entity, in blocks of bounded width, and back to long rows."""
+"""Wide frames, a column for each entity, in blocks of bounded width, and back to long rows.
+
+``wide_frames`` names the columns after the entities, a plan for each block; ``wide_all`` has all blocks in one plan.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.numbering import running
+from tidemark.session import materialise
 
 #: Columns of a block: a plan stays small, and a row of a block stays within a page.
 BLOCK = 500
@@ -64,6 +68,37 @@ def wide_frames(prices: DataFrame, size: int = BLOCK, value: str = "close", enti
         yield wide_block(prices, block, value, entity)
 
 
+def wide_all(
+    prices: DataFrame, size: int = BLOCK, value: str = "close", entity: str = "coin_id", date: str = "date"
+) -> tuple[DataFrame, DataFrame]:
+    """All blocks in one frame, and the ids of their columns: one plan, however many entities there are.
+
+    The frame has ``block, date, c0 .. c<size - 1>``, one row for each block and date on which any entity of the block has a
+    row; the ids are ``block, place, <entity>``, in their order. Only the number of columns comes to the driver.
+    """
+    if size < 1:
+        raise ValueError("a block has at least one entity")
+    ids = prices.select(F.col(entity).alias("id")).filter(F.col("id").isNotNull()).distinct()
+    at = F.col("_n") - 1
+    names = running(ids, [F.asc("id")], number="_n").select(
+        F.floor(at / size).alias("block"), (at % size).cast("int").alias("place"), F.col("id").alias(entity)
+    )
+    names = materialise(names, "wide-names")
+    places = range((names.agg(F.max("place")).first()[0] or 0) + 1)  # one column without entities
+    rows = prices.select(entity, F.col(date).alias("date"), F.col(value).alias("value")).join(names, entity)
+    wide = rows.groupBy("block", "date").pivot("place", list(places)).agg(F.first("value"))
+    return wide.select("block", F.col("date").alias(date), *[F.col(f"`{i}`").alias(f"c{i}") for i in places]), names
+
+
+def long_all(
+    wide: DataFrame, names: DataFrame, value: str = "close", entity: str = "coin_id", date: str = "date"
+) -> DataFrame:
+    """The rows of a frame of all blocks: one for each date and entity that has a value."""
+    cells = F.array(*[F.col(c) for c in wide.columns if c not in ("block", date)])
+    long = wide.select("block", F.col(date), F.posexplode(cells).alias("place", value)).filter(F.col(value).isNotNull())
+    return long.join(names, ["block", "place"]).select(entity, date, value)
+
+
 def long_rows(wide: DataFrame, value: str = "close", entity: str = "coin_id", date: str = "date") -> DataFrame:
     """The rows of a wide block: one for each date and entity that has a value."""
     names: Sequence[str] = [c for c in wide.columns if c != date]
