@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.chunks import pack, unpack
-from tidemark.llm.common import id_and_text, id_text_pairs, input_bytes, ship
+from tidemark.llm.common import give_back, id_and_text, id_text_pairs, input_bytes, ship
 from tidemark.session import materialise, scratch_path
 
 RELIABLE, SPARED = 5, 0.05
@@ -56,10 +56,10 @@ def _tokenised(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[
     """Chunks of word numbers. Words are numbered by first appearance in the chunk; 0 is the end of a text."""
     made = TaskContext.get().partitionId() << 32
 
-    def chunk(ids: list, tokens: list[list[int]], numbers: dict[bytes, int]) -> pa.RecordBatch:
+    def chunk(ids: list, tokens: list[np.ndarray], numbers: dict[bytes, int]) -> pa.RecordBatch:
         nonlocal made
         made += 1
-        flat = np.fromiter(chain.from_iterable(tokens), np.uint32)
+        flat = np.concatenate(tokens)
         return pa.RecordBatch.from_pydict(
             {
                 "chunk": pa.array([made - 1], pa.int64()),
@@ -80,13 +80,15 @@ def _tokenised(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[
         for doc_id, text in zip(batch_ids, texts):
             words = text.encode("utf-8", "surrogatepass").lower().split()
             ids.append(doc_id)
-            tokens.append([*map(numbers.__getitem__, words), END])
+            tokens.append(np.fromiter(chain(map(numbers.__getitem__, words), [END]), np.uint32, len(words) + 1))
             size += len(text)
             if size >= chunk_bytes:
                 yield chunk(ids, tokens, numbers)
                 ids, tokens, numbers, size = [], [], numbering(), 0
     if ids:
         yield chunk(ids, tokens, numbers)
+    del ids, tokens, numbers
+    give_back()
 
 
 class _Chunk:
@@ -96,10 +98,10 @@ class _Chunk:
         self.ids = [int(i) if i else None for i in row["doc_ids"].decode().split(",")]
         self.sizes = np.frombuffer(row["sizes"], np.int64)
         raw = zstandard.decompress(row["tokens"], max_output_size=1 << 32)
-        self.tokens = np.frombuffer(raw, np.uint32).astype(np.int64)
+        self.tokens = np.frombuffer(raw, np.uint32)
         self.words = zstandard.decompress(row["words"], max_output_size=1 << 32).split(b" ")
         self.held = np.array([held_out(i) for i in self.ids])
-        self.doc = np.repeat(np.arange(len(self.ids)), self.sizes)
+        self.doc = np.repeat(np.arange(len(self.ids), dtype=np.int32), self.sizes)
         self.trains = ~self.held[self.doc]
         self.bucket_of_word = np.array([zlib.crc32(w) for w in self.words], np.int64)
 
@@ -120,7 +122,9 @@ def _send_words(frames: Iterator[pd.DataFrame], buckets: int) -> Iterator[pd.Dat
                 (b, row["chunk"], pack(counts[part]), zstandard.compress(b" ".join([c.words[i] for i in part]), 3))
                 for b, part in _by_bucket(c.bucket_of_word % buckets)
             ]
+            del c
             yield pd.DataFrame(rows, columns=["bucket", "chunk", "packed", "words"])
+    give_back()
 
 
 def _frequencies(counts: np.ndarray) -> np.ndarray:
@@ -143,6 +147,8 @@ def _answer_words(frame: pd.DataFrame, buckets: int) -> pd.DataFrame:
         for chunk, own in zip(frame["chunk"], words)
     ]
     rows.append((bucket, -1, pack(_frequencies(np.array([n for n in totals.values() if n], np.int64)))))
+    del words, totals, ids
+    give_back()
     return pd.DataFrame(rows, columns=["bucket", "chunk", "packed"])
 
 
@@ -213,11 +219,17 @@ class _Pairs(_Chunk):
         self.count[order], self.id[order] = counts, ids
         starts = np.cumsum(self.sizes) - self.sizes
         begin = len(self.words)
-        history = np.concatenate([[begin], self.tokens[:-1]])
-        history[starts] = begin
+        # One array of a number for each token at a time: history * (begin + 1) + token
+        key = np.empty(len(self.tokens), np.int64)
+        key[1:] = self.tokens[:-1]
+        key[starts] = begin
+        key *= begin + 1
+        key += self.tokens
         self.history_count = np.append(self.count, documents)
         history_id = np.append(self.id, START)
-        key, self.pair_of = np.unique(history * (begin + 1) + self.tokens, return_inverse=True)
+        key, pair_of = np.unique(key, return_inverse=True)
+        self.pair_of = pair_of.astype(np.int32)
+        del pair_of
         self.h, self.w = key // (begin + 1), key % (begin + 1)
         self.seen_here = np.bincount(self.pair_of[self.trains], minlength=len(key))
         held = np.zeros(len(key), bool)
@@ -263,6 +275,8 @@ def _send_pairs(_key, chunk: pd.DataFrame, answers: pd.DataFrame, **options) ->
                 p.count[p.w[p.ask[own]]].astype(np.uint64),
             )
             rows.append((b, row["chunk"], pairs, pack(np.sort(p.rest_id[rest]))))
+        del p, questions, rests
+    give_back()
     return pd.DataFrame(rows, columns=["bucket", "chunk", "packed", "words"])
 
 
@@ -276,6 +290,7 @@ def _answer_pairs(frame: pd.DataFrame, unigrams: Unigrams) -> pd.DataFrame:
     blocks = [unpack(b) for b in frame["packed"]]
     edges = np.cumsum([len(b[0]) for b in blocks])
     h, w, here, count_w = (np.concatenate(c) for c in zip(*blocks))
+    del blocks
     order = np.lexsort((w, h))
     h, w = h[order], w[order]
     new = np.append(True, (h[1:] != h[:-1]) | (w[1:] != w[:-1])) if len(h) else np.zeros(0, bool)
@@ -286,7 +301,8 @@ def _answer_pairs(frame: pd.DataFrame, unigrams: Unigrams) -> pd.DataFrame:
 
     seen = total > 0
     names, which = np.unique(h[first][seen], return_inverse=True)
-    counts, p = total[seen], unigrams.probability(count_w[order][first][seen].astype(np.int64))
+    counts, p = total[seen], unigrams.probability(count_w[order[first[seen]]].astype(np.int64))
+    del h, w, here, count_w, order, new, first, total, seen
     few = [np.bincount(which[counts == r], minlength=len(names)) for r in range(1, RELIABLE + 1)]
     many = counts > RELIABLE
     table = np.array(
@@ -305,6 +321,8 @@ def _answer_pairs(frame: pd.DataFrame, unigrams: Unigrams) -> pd.DataFrame:
         values = np.where(there, table[:, at], 0.0) if len(names) else np.zeros((len(table), len(asked)))
         rows.append((bucket, chunk, pack(part), pack(*values)))
     rows.append((bucket, -1, pack(_frequencies(counts)), b""))
+    del answer, table, which, counts, p, many
+    give_back()
     return pd.DataFrame(rows, columns=["bucket", "chunk", "packed", "words"])
 
 
@@ -330,8 +348,8 @@ def _score(_key, chunk: pd.DataFrame, answers: pd.DataFrame, unigrams: Unigrams,
         single = unigrams.probability(p.count)
         with np.errstate(divide="ignore"):
             pair = np.where(seen > 0, discount.of(seen) / np.maximum(1, history[p.h]), alpha[p.h] * single[p.w])
-            by_token = np.log10(pair)[p.pair_of]
-        base = np.log10((p.count + 0.1) / (unigrams.tokens + 0.1 * (unigrams.types + 1)))[p.tokens]
+            pair = np.log10(pair)
+        single = np.log10((p.count + 0.1) / (unigrams.tokens + 0.1 * (unigrams.types + 1)))
         n = len(p.ids)
         out.append(
             pd.DataFrame(
@@ -341,11 +359,13 @@ def _score(_key, chunk: pd.DataFrame, answers: pd.DataFrame, unigrams: Unigrams,
                     "n_tokens": p.sizes,
                     "n_known": np.bincount(p.doc, p.count[p.tokens] > 0, n).astype(np.int64),
                     "train_tokens": unigrams.tokens,
-                    "base_score": np.bincount(p.doc, base, n),
-                    "score": np.bincount(p.doc, by_token, n),
+                    "base_score": np.bincount(p.doc, single[p.tokens], n),
+                    "score": np.bincount(p.doc, pair[p.pair_of], n),
                 }
             )
         )
+        del p, seen, left, asked, rests, history, kept, alpha, single, pair
+    give_back()
     return pd.concat(out) if out else pd.DataFrame()
 
 
