@@ -4,12 +4,14 @@ First the SimHash fingerprints of the sets meet by their balls (``simhash.link_f
 differ little; then a prefix filter finds the rest, of which a ball that small misses many. Every pair is verified.
 
 A set shares at least 0.8 of itself with every near copy, so of two near copies the first 0.2 + 1 shingles of each, in
-one fixed order of all shingles, have one in common (prefix filter). Sets meet by these shingles and each pair is
+one fixed order of all shingles, have one in common (prefix filter). All they share stands from the first common one
+on, so two sets meet by a shingle only if enough of both is left from there (positional filter). Each pair is
 verified on the whole sets, unless parity bitmaps of the two already bound it below 0.8. Shingles that are frequent
-in a sample come last in the order; the sample decides what a run costs, not what it finds.
+in a sample come last in the order, the most frequent at the end; the sample decides what a run costs, not what it finds.
 
-Sets first meet the smallest set of their shingle; then, where a shingle joins sets of several components, the
-others of different components meet. A large group of copies thus costs one pair each.
+Sets first meet the smallest set of their shingle; then, where a shingle joins sets of several components, they meet one
+other of it, as long as that links them and many are left; then the others of different components meet. A large group of
+copies thus costs a few pairs each.
 
 A SimHash ball that holds all such pairs is out of reach: at similarity 0.8 some 10 of 64 bits differ in the mean.
 """
@@ -17,12 +19,13 @@ A SimHash ball that holds all such pairs is out of reach: at similarity 0.8 some
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import give_back, id_and_text, id_text_pairs, ship
@@ -33,10 +36,13 @@ from tidemark.session import materialise
 SHINGLE_WORDS, SEED = 5, 42
 #: The least similarity, as a fraction of whole numbers.
 SIMILAR, OF = 4, 5
-#: Documents of the sample for frequent shingles, the share of it that makes one frequent, and how many are kept.
-SAMPLE, FREQUENT, MOST_FREQUENT = 4096, 0.005, 1 << 16
-#: Least bits of the parity bitmap of a set, and bits of the filter for the ids of the texts that are read as sets.
-PARITY_BITS, ID_BITS = 1024, 1 << 24
+#: Least documents of the sample for frequent shingles, its share of all (one in so many) where that is more, documents of
+#: it that make a shingle frequent, and how many are kept.
+SAMPLE, SHARE, FREQUENT, MOST_FREQUENT = 4096, 16, 4, 1 << 16
+#: Most rounds in which sets meet one of each shingle before all of them meet, and the pairs for a row that call for one.
+ROUNDS, FEW = 4, 32
+#: Least bits of the parity bitmap of a set, 64-bit words that it is folded to for a first look, and bits of the filter for the ids of the texts that are read as sets.
+PARITY_BITS, FOLDED, ID_BITS = 1024, 4, 1 << 24
 
 
 def shingles(text: str, words_per_shingle: int = SHINGLE_WORDS) -> np.ndarray:
@@ -76,6 +82,14 @@ def _parity(own: np.ndarray) -> bytes:
     return np.packbits(counts & 1).tobytes()
 
 
+def _folded(bits: bytes) -> list[int]:
+    """The bitmap at a length of ``FOLDED`` words."""
+    x = np.frombuffer(bits, np.int64)
+    while len(x) > FOLDED:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x.tolist()
+
+
 def _differ(a: bytes, b: bytes) -> int:
     """Differing bits of two bitmaps, at the length of the shorter."""
     x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
@@ -87,13 +101,19 @@ def _differ(a: bytes, b: bytes) -> int:
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """``frequent`` from the most frequent on."""
+    by_name = np.argsort(frequent)
+    names_of_frequent = frequent[by_name]
     for ids, texts in id_text_pairs(batches):
         names, sizes, prefixes, bits, prints, commons = [], [], [], [], [], []
         for text in texts:
             own = shingles(text)
             size = len(own)
-            common = np.isin(own, frequent)
-            own_order = np.concatenate([own[~common], own[common]])
+            at = np.searchsorted(names_of_frequent, own)
+            common = at < len(frequent)
+            common[common] = names_of_frequent[at[common]] == own[common]
+            last = own[common][np.argsort(-by_name[at[common]])]
+            own_order = np.concatenate([own[~common], last])
             names.append(_name(own))
             sizes.append(size)
             bits.append(_parity(own))
@@ -108,11 +128,12 @@ def _prefixes(batches: Iterator[pa.RecordBatch], frequent: np.ndarray) -> Iterat
                 pa.array(names, pa.int64()),
                 pa.array(sizes, pa.int64()),
                 pa.array(bits, pa.binary()),
+                pa.array([_folded(b) for b in bits], pa.list_(pa.int64())),
                 pa.array(prints, pa.int64()),
                 pa.array(commons, pa.int32()),
                 pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat)),
             ],
-            ["doc_id", "value", "size", "bits", "print", "common", "prefix"],
+            ["doc_id", "value", "size", "bits", "folded", "print", "common", "prefix"],
         )
     give_back()
 
@@ -164,15 +185,14 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _frequent(docs: DataFrame) -> np.ndarray:
-    """Shingles of many documents of a sample; their number is bounded."""
-    every = max(1, docs.count() // SAMPLE)
+    """Shingles of many documents of a sample, the most frequent first; their number is bounded."""
+    every = max(1, min(SHARE, docs.count() // SAMPLE))
     sample = id_and_text(docs).filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
-    least = max(8, int(FREQUENT * SAMPLE))
     rows = (
         sample.mapInArrow(_tokens, "token long")
         .groupBy("token")
         .agg(F.count("*").alias("n"))
-        .filter(F.col("n") >= least)
+        .filter(F.col("n") >= FREQUENT)
         .orderBy(F.desc("n"), "token")
         .limit(MOST_FREQUENT)
         .collect()
@@ -211,6 +231,41 @@ def _near(pairs: DataFrame, distinct: DataFrame, docs: DataFrame) -> DataFrame:
     return materialise(both.select("a", "b", "own_a", "own_b").mapInArrow(_verified, "a long, b long"), "near")
 
 
+def _enough(size_a: str, at_a: str, size_b: str, at_b: str) -> Column:
+    """Sets whose first common shingle stands at these places can be similar: what is left of both would be enough to share.
+
+    This bounds the sizes too.
+    """
+    left = F.least(F.col(size_a) - F.col(at_a), F.col(size_b) - F.col(at_b))
+    return (SIMILAR + OF) * left >= SIMILAR * (F.col(size_a) + F.col(size_b))
+
+
+def _apart(rest: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows with the root of their component, of the shingles that several components share."""
+    rest = rest.join(roots, "value", "left").select("token", "value", "size", "at", F.coalesce("root", "value").alias("root"))
+    mixed = rest.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
+    return rest.join(mixed.select("token"), "token", "left_semi")
+
+
+def _crowded(rest: DataFrame) -> bool:
+    """More pairs of different components share a shingle than a few for each row."""
+    by_root = rest.groupBy("token", "root").agg(F.count("*").cast("double").alias("n"))
+    pairs = by_root.groupBy("token").agg(
+        F.sum("n").alias("rows"), ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs")
+    )
+    rows, pairs = pairs.agg(F.sum("rows"), F.sum("pairs")).first()
+    return bool(rows) and pairs > FEW * rows
+
+
+def _meeting_one(rest: DataFrame, turn: int) -> DataFrame:
+    """Pairs ``a, b`` of one set of each shingle, chosen by a hash, and those of other components: at most one for each row."""
+    one = F.min_by(F.struct("value", "size", "at", "root"), F.xxhash64("value", F.lit(turn)))
+    led_by = rest.groupBy("token").agg(one.alias("one"))
+    led_by = led_by.select("token", *[F.col(f"one.{c}").alias(f"{c}_b") for c in ("value", "size", "at", "root")])
+    met = rest.join(led_by, "token").filter((F.col("root") != F.col("root_b")) & _enough("size", "at", "size_b", "at_b"))
+    return met.select(F.least("value", "value_b").alias("a"), F.greatest("value", "value_b").alias("b"))
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """``doc_id, component_id`` for every row with an id.
 
@@ -224,13 +279,13 @@ def near_copies(docs: DataFrame) -> DataFrame:
     options = {"frequent": _frequent(docs)}
     hashed = materialise(
         id_and_text(docs).mapInArrow(
-            partial(_prefixes, **options), "doc_id long, value long, size long, bits binary, print long, common int, prefix array<long>"
+            partial(_prefixes, **options), "doc_id long, value long, size long, bits binary, folded array<long>, print long, common int, prefix array<long>"
         ),
         "prefixes",
     )
     distinct = materialise(
         hashed.groupBy("value").agg(
-            F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in ("size", "bits", "print")]
+            F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in ("size", "bits", "folded", "print")]
         ),
         "distinct-sets",
     )
@@ -248,20 +303,21 @@ def near_copies(docs: DataFrame) -> DataFrame:
     at, length = F.posexplode("prefix").alias("at", "token"), F.size("prefix").alias("n_prefix")
     tokens = hashed.select("value", "size", "common", "prefix").dropDuplicates(["value"])
     tokens = tokens.select("value", "size", "common", length, at).select(
-        "value", "size", "token", (F.col("at") >= F.col("n_prefix") - F.col("common")).alias("frequent")
+        "value", "size", "at", "token", (F.col("at") >= F.col("n_prefix") - F.col("common")).alias("frequent")
     )
     # Of most shingles a single set has one: one exchange, to which each brings few rows. The frequent ones are at most
     # MOST_FREQUENT and are added up before they are sent, so that their rows are not.
     meeting = Window.partitionBy("token")
-    leader = F.min(F.struct("size", "value"))
+    leader = F.min(F.struct("size", "value", "at"))
     rare = tokens.filter(~F.col("frequent")).withColumn("n", F.count("*").over(meeting)).withColumn("leader", leader.over(meeting))
     frequent = tokens.filter("frequent")
     led_by = frequent.groupBy("token").agg(F.count("*").alias("n"), leader.alias("leader"))
     frequent = frequent.join(F.broadcast(led_by), "token")
-    columns = ["token", "value", "size", "n", F.col("leader.value").alias("leader"), F.col("leader.size").alias("least")]
+    columns = ["token", "value", "size", "at", "n"]
+    columns += [F.col(f"leader.{c}").alias(name) for c, name in (("value", "leader"), ("size", "least"), ("at", "leader_at"))]
     shared = rare.filter("n > 1").select(*columns).union(frequent.filter("n > 1").select(*columns))
     shared = materialise(shared, "shared")
-    led = shared.filter((F.col("value") != F.col("leader")) & (OF * F.col("least") >= SIMILAR * F.col("size")))
+    led = shared.filter((F.col("value") != F.col("leader")) & _enough("size", "at", "least", "leader_at"))
     led = led.select(F.col("leader").alias("a"), F.col("value").alias("b")).distinct()
     for side in ("a", "b"):
         led = led.join(ball_roots.select(F.col("value").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
@@ -269,16 +325,28 @@ def near_copies(docs: DataFrame) -> DataFrame:
     first_links = ball_links.union(_near(led, distinct, docs))
     roots = stars(first_links).select(F.col("a").alias("value"), F.col("b").alias("root"))
 
-    # Sets of different components that share a shingle and have not met.
-    rest = shared.filter((F.col("n") > 2) & (F.col("value") != F.col("leader")))
-    rest = rest.join(roots, "value", "left").select("token", "value", "size", F.coalesce("root", "value").alias("root"))
-    mixed = rest.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
-    rest = materialise(rest.join(mixed.select("token"), "token", "left_semi"), "rest")
-    other = rest.select("token", *[F.col(c).alias(f"{c}_b") for c in ("value", "size", "root")])
+    # Sets of different components that share a shingle and have not met. While many could meet, they first meet one of them by
+    # each shingle, another one in each round, so that a large group grows together before its members meet each other.
+    rest = shared.filter((F.col("n") > 2) & (F.col("value") != F.col("leader"))).select("token", "value", "size", "at")
+    rest = materialise(_apart(rest, roots), "rest")
+    for turn in range(ROUNDS):
+        if not _crowded(rest):
+            break
+        found = _near(_meeting_one(rest, turn), distinct, docs)
+        if found.isEmpty():
+            break
+        first_links = first_links.union(found)
+        roots = stars(first_links).select(F.col("a").alias("value"), F.col("b").alias("root"))
+        rest = materialise(_apart(rest.drop("root"), roots), "rest")
+    words = [f"bits_{i}" for i in range(FOLDED)]
+    rest = rest.join(distinct.select("value", *[F.col("folded")[i].alias(c) for i, c in enumerate(words)]), "value")
+    other = rest.select("token", *[F.col(c).alias(f"{c}_b") for c in ("value", "size", "at", "root", *words)])
+    differ = reduce(add, [F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_b"))) for c in words])
     crossed = rest.join(other, "token").filter(
         (F.col("value") < F.col("value_b"))
         & (F.col("root") != F.col("root_b"))
-        & (OF * F.least("size", "size_b") >= SIMILAR * F.greatest("size", "size_b"))
+        & _enough("size", "at", "size_b", "at_b")
+        & ((SIMILAR + OF) * differ <= (OF - SIMILAR) * (F.col("size") + F.col("size_b")))
     )
     second_links = _near(crossed.select(F.col("value").alias("a"), F.col("value_b").alias("b")), distinct, docs)
 
