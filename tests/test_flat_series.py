@@ -43,7 +43,7 @@ def many_partitions(spark):
         spark.conf.set(k, v)
 
 
-@pytest.mark.parametrize("name", ["p01_trend", "p02_rising"])
+@pytest.mark.parametrize("name", ["p01_trend", "p02_rising", "p03_top10"])
 def test_equal_to_the_sql(spark, events, many_partitions, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{events}/events.parquet/*.parquet'")
