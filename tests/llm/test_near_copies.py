@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
 
 from tidemark.llm import near_copies
@@ -91,3 +92,17 @@ def test_repeated_ids_and_a_clashing_column(spark):
     assert kept.columns == docs.columns
     got = kept.collect()
     assert sorted((r["doc_id"] or 0) for r in got) == [0, 1] and {r["_row_of_id"] for r in got if r["doc_id"]} <= {"x", "y"}
+
+
+def test_a_bitmap_tells_long_texts_apart():
+    """Sets of a thousand that share four members of ten: the folded bitmaps rule them out, and do not rule out copies."""
+    rng = np.random.default_rng(5)
+    members = np.unique(rng.integers(-(1 << 62), 1 << 62, 1600))
+    one, other, copy = members[:1000], members[600:], np.concatenate([members[:950], members[1000:1050]])
+
+    def passes(a, b):
+        words = (np.array(near_copies._folded(near_copies._parity(x)), np.int64) for x in (a, b))
+        differ = int(np.bitwise_count(next(words) ^ next(words)).sum())
+        return (near_copies.SIMILAR + near_copies.OF) * differ <= (near_copies.OF - near_copies.SIMILAR) * (len(a) + len(b))
+
+    assert passes(one, copy) and not passes(one, other)

@@ -9,9 +9,9 @@ on, so two sets meet by a shingle only if enough of both is left from there (pos
 verified on the whole sets, unless parity bitmaps of the two already bound it below 0.8. Shingles that are frequent
 in a sample come last in the order, the most frequent at the end; the sample decides what a run costs, not what it finds.
 
-Sets first meet the smallest set of their shingle; then, where a shingle joins sets of several components, they meet one
-other of it, as long as that links them and many are left; then the others of different components meet. A large group of
-copies thus costs a few pairs each.
+Sets first meet the smallest set of their shingle; then, where a shingle joins sets of several components, a few others of
+it, again as long as that links many; then those that are still in different components meet. A large group of copies
+thus costs a few pairs for each of its sets, also where only some of the pairs in it are similar.
 
 A SimHash ball that holds all such pairs is out of reach: at similarity 0.8 some 10 of 64 bits differ in the mean.
 """
@@ -39,10 +39,10 @@ SIMILAR, OF = 4, 5
 #: Least documents of the sample for frequent shingles, its share of all (one in so many) where that is more, documents of
 #: it that make a shingle frequent, and how many are kept.
 SAMPLE, SHARE, FREQUENT, MOST_FREQUENT = 4096, 16, 4, 1 << 16
-#: Most rounds in which sets meet one of each shingle before all of them meet, and the pairs for a row that call for one.
-ROUNDS, FEW = 4, 32
+#: Sets of a shingle that the others meet in a round, most rounds, and the rows for each link found that end them.
+CHOSEN, ROUNDS, SCARCE = 8, 4, 16
 #: Least bits of the parity bitmap of a set, 64-bit words that it is folded to for a first look, and bits of the filter for the ids of the texts that are read as sets.
-PARITY_BITS, FOLDED, ID_BITS = 1024, 4, 1 << 24
+PARITY_BITS, FOLDED, ID_BITS = 1024, 16, 1 << 24
 
 
 def shingles(text: str, words_per_shingle: int = SHINGLE_WORDS) -> np.ndarray:
@@ -208,7 +208,8 @@ def _near(pairs: DataFrame, distinct: DataFrame, docs: DataFrame) -> DataFrame:
             F.col("value").alias(name), F.col("size").alias(f"size_{name}"), F.col("bits").alias(f"bits_{name}")
         )
 
-    bounded = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    bounded = pairs.join(side("a"), "a").join(side("b"), "b")
     pairs = materialise(bounded.mapInArrow(_possible, "a long, b long"), "pairs")
     named = pairs.select(F.col("a").alias("value")).union(pairs.select("b")).distinct()
     place = F.pmod(F.xxhash64("doc_id"), F.lit(ID_BITS)).alias("place")
@@ -240,6 +241,11 @@ def _enough(size_a: str, at_a: str, size_b: str, at_b: str) -> Column:
     return (SIMILAR + OF) * left >= SIMILAR * (F.col(size_a) + F.col(size_b))
 
 
+def _roots(links: DataFrame) -> DataFrame:
+    """``value, root`` of the links that ``stars`` leaves."""
+    return links.select(F.col("a").alias("value"), F.col("b").alias("root"))
+
+
 def _apart(rest: DataFrame, roots: DataFrame) -> DataFrame:
     """Rows with the root of their component, of the shingles that several components share."""
     rest = rest.join(roots, "value", "left").select("token", "value", "size", "at", F.coalesce("root", "value").alias("root"))
@@ -247,23 +253,14 @@ def _apart(rest: DataFrame, roots: DataFrame) -> DataFrame:
     return rest.join(mixed.select("token"), "token", "left_semi")
 
 
-def _crowded(rest: DataFrame) -> bool:
-    """More pairs of different components share a shingle than a few for each row."""
-    by_root = rest.groupBy("token", "root").agg(F.count("*").cast("double").alias("n"))
-    pairs = by_root.groupBy("token").agg(
-        F.sum("n").alias("rows"), ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs")
-    )
-    rows, pairs = pairs.agg(F.sum("rows"), F.sum("pairs")).first()
-    return bool(rows) and pairs > FEW * rows
-
-
-def _meeting_one(rest: DataFrame, turn: int) -> DataFrame:
-    """Pairs ``a, b`` of one set of each shingle, chosen by a hash, and those of other components: at most one for each row."""
-    one = F.min_by(F.struct("value", "size", "at", "root"), F.xxhash64("value", F.lit(turn)))
-    led_by = rest.groupBy("token").agg(one.alias("one"))
-    led_by = led_by.select("token", *[F.col(f"one.{c}").alias(f"{c}_b") for c in ("value", "size", "at", "root")])
+def _meeting_some(rest: DataFrame, turn: int) -> DataFrame:
+    """Pairs ``a, b`` of some sets of each shingle, chosen by hashes, and those of other components: ``CHOSEN`` for each row at most."""
+    columns = ("value", "size", "at", "root")
+    some = [F.min_by(F.struct(*columns), F.xxhash64("value", F.lit(turn * CHOSEN + i))) for i in range(CHOSEN)]
+    led_by = rest.groupBy("token").agg(F.array_distinct(F.array(*some)).alias("some"))
+    led_by = led_by.select("token", F.explode("some").alias("one")).select("token", *[F.col(f"one.{c}").alias(f"{c}_b") for c in columns])
     met = rest.join(led_by, "token").filter((F.col("root") != F.col("root_b")) & _enough("size", "at", "size_b", "at_b"))
-    return met.select(F.least("value", "value_b").alias("a"), F.greatest("value", "value_b").alias("b"))
+    return met.select(F.col("value").alias("a"), F.col("value_b").alias("b"))
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -296,8 +293,6 @@ def near_copies(docs: DataFrame) -> DataFrame:
         met = met.join(prints.select(F.col("print").alias(side), F.col("leader").alias(f"set_{side}")), side)
     alike = distinct.select("print", "value").join(prints, "print").filter("value <> leader")
     balls = met.select(F.col("set_a").alias("a"), F.col("set_b").alias("b")).union(alike.select("leader", "value"))
-    ball_links = _near(balls, distinct, docs)
-    ball_roots = stars(ball_links).select(F.col("a").alias("value"), F.col("b").alias("root"))
 
     # Equal sets have equal prefixes: one of each is enough. ``common``: so many of a prefix, its last, are frequent ones.
     at, length = F.posexplode("prefix").alias("at", "token"), F.size("prefix").alias("n_prefix")
@@ -318,26 +313,21 @@ def near_copies(docs: DataFrame) -> DataFrame:
     shared = rare.filter("n > 1").select(*columns).union(frequent.filter("n > 1").select(*columns))
     shared = materialise(shared, "shared")
     led = shared.filter((F.col("value") != F.col("leader")) & _enough("size", "at", "least", "leader_at"))
-    led = led.select(F.col("leader").alias("a"), F.col("value").alias("b")).distinct()
-    for side in ("a", "b"):
-        led = led.join(ball_roots.select(F.col("value").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
-    led = led.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    first_links = ball_links.union(_near(led, distinct, docs))
-    roots = stars(first_links).select(F.col("a").alias("value"), F.col("b").alias("root"))
+    led = led.select(F.col("leader").alias("a"), F.col("value").alias("b"))
+    links = stars(_near(balls.union(led), distinct, docs))
 
-    # Sets of different components that share a shingle and have not met. While many could meet, they first meet one of them by
-    # each shingle, another one in each round, so that a large group grows together before its members meet each other.
+    # Sets of different components that share a shingle and have not met. While that links many, they first meet some of them
+    # by each shingle, others in each round, so that a large group grows together before its members meet each other.
     rest = shared.filter((F.col("n") > 2) & (F.col("value") != F.col("leader"))).select("token", "value", "size", "at")
-    rest = materialise(_apart(rest, roots), "rest")
+    rest = materialise(_apart(rest, _roots(links)), "rest")
     for turn in range(ROUNDS):
-        if not _crowded(rest):
+        found = _near(_meeting_some(rest, turn), distinct, docs)
+        n = found.count()
+        if n:
+            links = stars(links.union(found))
+            rest = materialise(_apart(rest.drop("root"), _roots(links)), "rest")
+        if SCARCE * n < rest.count():
             break
-        found = _near(_meeting_one(rest, turn), distinct, docs)
-        if found.isEmpty():
-            break
-        first_links = first_links.union(found)
-        roots = stars(first_links).select(F.col("a").alias("value"), F.col("b").alias("root"))
-        rest = materialise(_apart(rest.drop("root"), roots), "rest")
     words = [f"bits_{i}" for i in range(FOLDED)]
     rest = rest.join(distinct.select("value", *[F.col("folded")[i].alias(c) for i, c in enumerate(words)]), "value")
     other = rest.select("token", *[F.col(c).alias(f"{c}_b") for c in ("value", "size", "at", "root", *words)])
@@ -348,12 +338,11 @@ def near_copies(docs: DataFrame) -> DataFrame:
         & _enough("size", "at", "size_b", "at_b")
         & ((SIMILAR + OF) * differ <= (OF - SIMILAR) * (F.col("size") + F.col("size_b")))
     )
-    second_links = _near(crossed.select(F.col("value").alias("a"), F.col("value_b").alias("b")), distinct, docs)
+    last = _near(crossed.select(F.col("value").alias("a"), F.col("value_b").alias("b")), distinct, docs)
+    if not last.isEmpty():
+        links = stars(links.union(last))
 
-    roots = stars(first_links.union(second_links))
-    rooted = distinct.join(roots.select(F.col("a").alias("value"), F.col("b").alias("root")), "value", "left").select(
-        "value", "first", F.coalesce("root", "value").alias("root")
-    )
+    rooted = distinct.join(_roots(links), "value", "left").select("value", "first", F.coalesce("root", "value").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root")
     return hashed.select("doc_id", "value").join(named.select("value", "component_id"), "value").select(
         "doc_id", "component_id"
