@@ -7,12 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import near_copies, ordinal, packing, suffixes
-from tidemark.llm.common import table
+from tidemark.llm.common import small_batches, table
 from tidemark.session import materialise
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go; it learns from the labels among the given documents."""
+    small_batches(spark)
     return ordinal.reject_toxic(docs, table(spark, sf_dir, "labels"))
 
 
@@ -22,6 +23,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Fingerprints meet by SimHash balls first; the pairs that lie outside of every ball are found by a prefix filter. Of rows
     that share an id one stays; of rows with a NULL id one of each text stays.
     """
+    small_batches(spark)
     return near_copies.one_of_each(docs)
 
 
@@ -30,6 +32,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Chunks and buckets are smaller than in a job of its own, since workers serve all stages; the result is the same.
     """
+    small_batches(spark)
     cut = suffixes.without_repeats(docs, chunk_bytes=1 << 21, bucket_bytes=1 << 22)
     if "n_chars" in cut.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -41,6 +44,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Workers serve all stages, so each remembers fewer words than in a job that only packs, and those for one task.
     """
+    small_batches(spark)
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
     return packing.pack_documents(docs, vocabulary, with_ids=True, remembered=60_000, text_block=1 << 19, forget=True)
 

@@ -52,6 +52,18 @@ def input_bytes(docs: DataFrame) -> int:
 #: Text that is turned into Python objects at a time.
 SLICE_BYTES = 1 << 22
 
+#: Bytes of rows sent to a Python worker at a time, where several stages share their workers.
+BATCH_BYTES = 1 << 21
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to Python workers in batches of about BATCH_BYTES, from now on in this session; a longer row goes alone.
+
+    Spark's own limits are 10000 rows and 64 MB. Both sides of the pipe hold a batch outside of the JVM's heap, and its buffers
+    grow by doubling. Results do not depend on the size.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
 
 def id_text_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
     """Lists of ids and texts of a few MB; a longer text comes alone."""

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import os
 import re
 import zlib
 from array import array
@@ -36,6 +37,8 @@ GROUP_WINDOWS = 256
 REMEMBERED = 1_600_000
 #: Characters whose new words are tokenised together.
 TEXT_BLOCK = 1 << 22
+#: Pieces, and tokens where these are returned, that a task hands over at a time.
+OUTPUT_ROWS, OUTPUT_TOKENS = 4096, 1 << 18
 
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -293,6 +296,10 @@ class _Packer:
         self.waiting: list[tuple] = []
         self.waiting_tokens = 0
         self.rows: list[tuple] = []
+        self.row_tokens = 0
+
+    def full(self) -> bool:
+        return len(self.rows) >= OUTPUT_ROWS or (self.with_ids and self.row_tokens >= OUTPUT_TOKENS)
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
         total = len(ids) // 4
@@ -307,6 +314,7 @@ class _Packer:
 
     def _place(self, doc_id, start: int, length: int, total: int, offset: int, ids: bytes) -> None:
         own = ids[4 * start : 4 * (start + length)]
+        self.row_tokens += length
         row = (doc_id, start, length, zlib.crc32(own), total, self.sequence, offset)
         self.rows.append((*row, np.frombuffer(own, "<u4")) if self.with_ids else row)
 
@@ -330,7 +338,7 @@ class _Packer:
         self.waiting, self.waiting_tokens = [], 0
 
     def take(self) -> pa.RecordBatch:
-        rows, self.rows = self.rows, []
+        rows, self.rows, self.row_tokens = self.rows, [], 0
         columns = list(zip(*rows)) or [()] * (len(_FIELDS) + self.with_ids)
         arrays = [pa.array(c, kind) for c, (_, kind) in zip(columns, _FIELDS)]
         names = [n for n, _ in _FIELDS]
@@ -353,6 +361,8 @@ def _pack_batches(
     text_block: int,
     forget: bool,
 ) -> Iterator[pa.RecordBatch]:
+    if forget:  # threads of the tokenizer's own would each keep memory
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
     tokenizer = _loaded(SparkFiles.get(name), remembered, text_block)
     packer = _Packer(TaskContext.get().partitionId() << 36, capacity, piece, with_ids)
     end = end_id.to_bytes(4, "little")
@@ -361,7 +371,7 @@ def _pack_batches(
             packer.add(doc_id, tokens + end)
             if packer.waiting_tokens >= GROUP_WINDOWS * capacity:
                 packer.flush()
-            if len(packer.rows) >= 4096:
+            if packer.full():
                 yield packer.take()
     packer.flush()
     yield packer.take()
@@ -390,7 +400,7 @@ def pack_documents(
     Long texts fill windows of their own and send only the rest to be packed. A NULL id stays NULL; repeated
     rows are packed each; an empty table gives no rows. ``sequence_id`` says which partition made the window.
     ``remembered`` words with their ids stay in a worker's memory, until the end of a task if it is to ``forget`` them and the
-    tokenizer, and ``text_block`` characters are split into words at a time: all three trade time for memory, the result is
+    tokenizer, which then runs in the task's own thread, and ``text_block`` characters are split into words at a time: all three trade time for memory, the result is
     the same.
     """
     ship(docs.sparkSession)
